@@ -89,7 +89,7 @@ class Cells:
                     names=["id", "vec", "cell", "gap"],
                 )
 
-        schema = StructType(df.schema.fields).add("cell", IntegerType()).add("gap", DoubleType())
+        schema = StructType(list(df.schema.fields)).add("cell", IntegerType()).add("gap", DoubleType())
         self.rows = materialize(df.mapInArrow(place, schema), "cells")
         # At most one row per cell comes to the driver.
         found = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("reach"))
@@ -131,7 +131,7 @@ class Cells:
                     names=["id", "vec", "cells"],
                 )
 
-        schema = StructType(queries.select("id", "vec").schema.fields).add("cells", ArrayType(IntegerType()))
+        schema = StructType(list(queries.select("id", "vec").schema.fields)).add("cells", ArrayType(IntegerType()))
         return materialize(queries.mapInArrow(visit, schema), "routes")
 
     def compare(self, routed: DataFrame, *, k: int | None, limit: float | None, digits: int,
@@ -147,18 +147,18 @@ class Cells:
             for cell, n in load.items()
             if self.sizes[cell]
         ]
-        grid = spark.createDataFrame(plan, "cell int, blocks int, groups int")
-        id_hash = F.xxhash64("id")
+        grid = spark.createDataFrame(plan, "cell int, blocks bigint, groups bigint")
+        id_hash, zero = F.xxhash64("id"), F.lit(0).cast("bigint")
         asking = (
             visits.join(grid, "cell")
             .withColumn("grp", F.pmod(id_hash, F.col("groups")))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long"))
+            .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
             .select("cell", "block", "grp", "id", "vec")
         )
         offered = (
             self.rows.join(grid, "cell")
             .withColumn("block", F.pmod(id_hash, F.col("blocks")))
-            .withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).cast("long"))
+            .withColumn("grp", F.explode(F.sequence(zero, F.col("groups") - 1)))
             .select("cell", "block", "grp", "id", "vec")
         )
         left_type = routed.schema["id"].dataType.simpleString()

@@ -53,7 +53,7 @@ def _start(
 def read_batches(spark: SparkSession, sink: str, schema: StructType | str) -> DataFrame:
     """All micro-batch folders of a sink, with the ``batch_id`` of each row."""
     shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    shape = StructType(shape.fields).add("batch_id", "long")
+    shape = StructType(list(shape.fields)).add("batch_id", "long")
     return spark.read.schema(shape).option("basePath", sink).parquet(sink)
 
 
