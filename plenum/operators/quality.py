@@ -73,8 +73,9 @@ def has_width(c: str, width: int) -> Rule:
 
 def violations(df: DataFrame, keys: Sequence[str], *rules: Rule) -> DataFrame:
     """One row per broken rule and row, all rules in one pass."""
-    broken = F.array_compact(F.array(*[F.when(r.broken, F.lit(r.name)) for r in rules]))
-    return df.select(*keys, F.explode(broken).alias("rule"))
+    names = F.array(*[F.when(r.broken, F.lit(r.name)) for r in rules])
+    suspect = df.filter(reduce(Column.__or__, [r.broken for r in rules]))
+    return suspect.select(*keys, F.explode(names).alias("rule")).filter(F.col("rule").isNotNull())
 
 
 def unique_violations(

@@ -107,32 +107,49 @@ def score_rollup(evidence: DataFrame) -> DataFrame:
     """Scores at four grains: overall, per topic, per congress, per congress and topic.
 
     ``evidence`` has ``user_id, member_id, congress, topic, bill_id, vote_id,
-    alignment_score``; a vote belongs to one bill. Votes are collapsed first, then
-    bills, then the grain, so the counts of different bills and votes are plain sums
-    and a busy user-member pair is spread over its votes before it is combined.
-    ``grain`` names the level; the columns a level lacks are NULL.
+    alignment_score``; the score is the mean alignment. A vote belongs to one bill and
+    a bill to one congress. So votes are collapsed first, then bills, and the counts
+    of different bills and votes of every grain are plain sums from there; a busy
+    user-member pair is spread over its votes before it is combined. ``grain`` names
+    the level; the columns a level lacks are NULL.
     """
     pair, unit = ["user_id", "member_id"], ["bill_id", "vote_id"]
-    grains = [[], ["topic"], ["congress"], ["congress", "topic"]]
-    keys = [*pair, "congress", "topic"]
-    grain = (
-        F.when((F.grouping("congress") == 0) & (F.grouping("topic") == 0), "congress_topic")
-        .when(F.grouping("congress") == 0, "congress")
-        .when(F.grouping("topic") == 0, "topic")
-        .otherwise("overall")
-    )
+    all_topics = F.grouping("topic") == 1
     per_vote = evidence.groupingSets(
-        [[F.col(c) for c in (*pair, *g, *unit)] for g in grains], *keys, *unit
+        [[F.col(c) for c in (*pair, "congress", *topic, *unit)] for topic in ([], ["topic"])],
+        *pair, "congress", "topic", *unit,
     ).agg(
-        grain.alias("grain"), F.sum("alignment_score").alias("_sum"), F.count("*").alias("_rows")
+        F.sum("alignment_score").alias("_sum"), F.count("*").alias("_rows"),
+        all_topics.alias("_all_topics"),
     )
-    per_bill = per_vote.groupBy("grain", *keys, "bill_id").agg(
+    keys = [*pair, "congress", "topic", "_all_topics"]
+    per_bill = per_vote.groupBy(*keys, "bill_id").agg(
         F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows"), F.count("*").alias("_votes")
     )
-    return per_bill.groupBy("grain", *keys).agg(
-        (F.sum("_sum").cast("double") / F.sum("_rows")).alias("score"),
-        F.count("*").alias("bills"),
-        F.sum("_votes").alias("votes"),
+    per_congress = per_bill.groupBy(*keys).agg(
+        F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows"),
+        F.sum("_votes").alias("_votes"), F.count("*").alias("_bills"),
+    )
+    lifetime = F.grouping("congress") == 1
+    grain = (
+        F.when(F.col("_all_topics") & lifetime, "overall")
+        .when(F.col("_all_topics"), "congress")
+        .when(lifetime, "topic")
+        .otherwise("congress_topic")
+    )
+    rest = [*pair, "topic", "_all_topics"]
+    return (
+        per_congress.groupingSets(
+            [[F.col(c) for c in (*rest, *congress)] for congress in ([], ["congress"])],
+            *rest, "congress",
+        )
+        .agg(
+            grain.alias("grain"),
+            (F.sum("_sum").cast("double") / F.sum("_rows")).alias("score"),
+            F.sum("_bills").alias("bills"),
+            F.sum("_votes").alias("votes"),
+        )
+        .select("grain", *pair, "congress", "topic", "score", "bills", "votes")
     )
 
 
@@ -164,7 +181,8 @@ def snapshot_scores(
     and its children per congress, per congress and topic, and its highlights, all
     under one snapshot id. Reasoning may be added later and starts as NULL."""
     tables = score_tables(rollup)
-    score_id = F.concat_ws("/", "user_id", "member_id", F.lit(at)).alias("score_id")
+    parts = [F.col(c).cast("string") for c in ("user_id", "member_id")]
+    score_id = F.concat_ws("/", *parts, F.lit(at)).alias("score_id")
     notable = top_alignments(
         evidence, ["user_id", "member_id", "topic"], "alignment_score", ["bill_id", "vote_id"], n
     )

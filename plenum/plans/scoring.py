@@ -180,7 +180,6 @@ def extract_stances(t):
 def evidence(t):
     """Every line item as one member's vote on one bill and one topic, scored for the
     customers of a nation taken together."""
-    discount = F.col("l_discount").cast("decimal(6,4)")
     return (
         t("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount")
         .join(
@@ -195,7 +194,7 @@ def evidence(t):
             F.col("p_type").alias("topic"),
             F.col("l_orderkey").alias("bill_id"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("vote_id"),
-            (discount * 10).alias("alignment_score"),
+            (F.col("l_discount") * 10).alias("alignment_score"),
         )
     )
 
@@ -203,14 +202,14 @@ def evidence(t):
 EVIDENCE_SQL = """SELECT c_nationkey AS user_id, l_suppkey AS member_id,
       year(o_orderdate) AS congress, p_type AS topic, l_orderkey AS bill_id,
       l_orderkey * 10 + l_linenumber AS vote_id,
-      CAST(l_discount AS DECIMAL(6,4)) * 10 AS alignment_score
+      l_discount * 10 AS alignment_score
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey
     JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey"""
 
 SCORE_SQL = f"""SELECT CASE WHEN grouping(congress) = 0 AND grouping(topic) = 0 THEN 'congress_topic'
         WHEN grouping(congress) = 0 THEN 'congress' WHEN grouping(topic) = 0 THEN 'topic'
         ELSE 'overall' END AS grain, user_id, member_id, congress, topic,
-      CAST(sum(alignment_score) AS DOUBLE) / count(*) AS score,
+      round(sum(alignment_score) / count(*), 7) AS score,
       count(DISTINCT bill_id) AS bills, count(DISTINCT vote_id) AS votes
     FROM ({EVIDENCE_SQL})
     GROUP BY GROUPING SETS ((user_id, member_id), (user_id, member_id, topic),
@@ -219,7 +218,12 @@ SCORE_SQL = f"""SELECT CASE WHEN grouping(congress) = 0 AND grouping(topic) = 0
 
 @query("score_rollup", SCORE_SQL)
 def score_rollup(t):
-    return scoring.score_rollup(evidence(t))
+    return scores(evidence(t))
+
+
+def scores(rows):
+    """The rollup, rounded so that the order of summation does not show."""
+    return scoring.score_rollup(rows).withColumn("score", F.round("score", 7))
 
 
 @query(
@@ -228,13 +232,13 @@ def score_rollup(t):
       votes AS votes_analyzed FROM ({SCORE_SQL}) WHERE grain = 'congress'""",
 )
 def score_congress(t):
-    return scoring.score_tables(scoring.score_rollup(evidence(t)))["score_congress"]
+    return scoring.score_tables(scores(evidence(t)))["score_congress"]
 
 
 def snapshot(t):
     rows = evidence(t)
     return scoring.snapshot_scores(
-        scoring.score_rollup(rows), rows, 2, "2026-01-01 00:00:00", "vote.recorded"
+        scores(rows), rows, 2, "2026-01-01 00:00:00", "vote.recorded"
     )
 
 
@@ -261,14 +265,13 @@ def snapshot_congress_topics(t):
 
 @query(
     "snapshot_highlights",
-    f"""SELECT {SNAPSHOT_ID}, bill_id, vote_id, topic, CAST(alignment_score AS DOUBLE) AS alignment, position
+    f"""SELECT {SNAPSHOT_ID}, bill_id, vote_id, topic, alignment_score AS alignment, position
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, member_id, topic
         ORDER BY alignment_score DESC, bill_id, vote_id) AS position FROM ({EVIDENCE_SQL}))
     WHERE position <= 2""",
 )
 def snapshot_highlights(t):
-    notable = snapshot(t)["score_history_highlights"]
-    return notable.withColumn("alignment", F.col("alignment").cast("double"))
+    return snapshot(t)["score_history_highlights"]
 
 
 STATUS_SQL = """SELECT user_id AS bill_id,
