@@ -135,7 +135,7 @@ class Cells:
         return materialize(queries.mapInArrow(visit, schema), "routes")
 
     def compare(self, routed: DataFrame, *, k: int | None, limit: float | None, digits: int,
-                skip_same: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                skip_same: bool, block_rows: int) -> DataFrame:
         """Matches of routed queries in their cells: per block the best ``k`` of each
         query, or all matches up to the distance ``limit``."""
         spark = routed.sparkSession
@@ -215,6 +215,7 @@ def knn_join(
     right_vector: str = "embedding",
     skip_same: bool = False,
     digits: int = 6,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For every left row the ``k`` nearest right rows: ``left_id, right_id,
     distance, position``. Exact; ties go to the smaller id. ``skip_same`` leaves out
@@ -226,7 +227,9 @@ def knn_join(
     queries = _prepare(left, left_id, left_vector)
     cells = Cells(_prepare(right, right_id, right_vector))
     first = cells.route(queries, fill=k + int(skip_same))
-    options = {"k": k, "limit": None, "digits": digits, "skip_same": skip_same}
+    options = {
+        "k": k, "limit": None, "digits": digits, "skip_same": skip_same, "block_rows": block_rows
+    }
     near = materialize(cells.compare(first, **options), "near")
     order = ["distance", "right_id"]
     worst = (
@@ -248,6 +251,7 @@ def knn_join(
 def within_distance(
     left: DataFrame, right: DataFrame, limit: float, *, left_id: str, right_id: str,
     left_vector: str = "embedding", right_vector: str = "embedding", digits: int = 6,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """All pairs up to a cosine distance: ``left_id, right_id, distance``."""
     queries = _prepare(left, left_id, left_vector)
@@ -255,7 +259,8 @@ def within_distance(
     bound = math.sqrt(2 * (limit + 10.0**-digits))
     routed = cells.route(queries.withColumn("bound", F.lit(bound)), bound="bound")
     return cells.compare(
-        routed.filter(F.size("cells") > 0), k=None, limit=limit, digits=digits, skip_same=False
+        routed.filter(F.size("cells") > 0), k=None, limit=limit, digits=digits, skip_same=False,
+        block_rows=block_rows,
     )
 
 
