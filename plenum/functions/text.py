@@ -39,13 +39,12 @@ def chunk(
     source = F.col(text)
     keep = [c for c in df.columns if c != text]
     if unit == "bytes":
-        starts = _starts(F.octet_length(source), step, overlap)
         data = F.encode(source, "UTF-8")
-        return df.select(*keep, data.alias("_data"), F.explode(starts).alias(index)).select(
-            *keep,
-            F.col(index).cast("int").alias(index),
-            F.substring("_data", (F.col(index) * step + 1).cast("int"), F.lit(size)).alias(content),
+        chunks = F.transform(
+            _starts(F.octet_length(source), step, overlap),
+            lambda i: F.substring(data, (i * step + 1).cast("int"), F.lit(size)),
         )
+        return df.select(*keep, F.posexplode(chunks).alias(index, content))
     if unit != "chars":
         raise ValueError("unit must be 'chars' or 'bytes'")
     stride = step * CHUNKS_PER_PIECE

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.scalar import typed_null
+from plenum.operators.skew import distinct_keys, grouped_for_join
 
 
 def resolve_identity(
@@ -71,7 +72,8 @@ def lookup_update(
     keys = [F.col(theirs).alias(f"_on_{mine}") for mine, theirs in on.items()]
     if pick == "min":
         values = [F.min(theirs).alias(f"_set_{mine}") for mine, theirs in set_.items()]
-        source = lookup.groupBy(*keys).agg(*values)
+        rows = lookup.select(*keys, *dict.fromkeys(set_.values()))
+        source = grouped_for_join(rows, [f"_on_{mine}" for mine in on], *values)
     elif pick is None:
         source = lookup.select(*keys, *[F.col(t).alias(f"_set_{m}") for m, t in set_.items()])
     else:
@@ -138,7 +140,7 @@ def resolve_parent(
 
 def drop_orphans(child: DataFrame, parent: DataFrame, fk: str, key: str) -> DataFrame:
     """Keep the rows whose parent exists; rows without a reference stay."""
-    known = parent.select(F.col(key).alias(fk)).distinct()
+    known = distinct_keys(parent.select(F.col(key).alias(fk)), [fk])
     held = child.filter(F.col(fk).isNotNull()).join(known, fk, "left_semi")
     return held.select(*child.columns).unionByName(child.filter(F.col(fk).isNull()))
 

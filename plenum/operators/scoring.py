@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.operators.joins import branch_lookup
+from plenum.operators.skew import distinct_keys
 from plenum.operators.windows import highlights as top_alignments
 from plenum.operators.windows import latest, top_per_key
 
@@ -22,8 +23,10 @@ def materialize_stances(
     smallest is taken.
     """
     held = positions.groupBy("member_id", "vote_id").agg(F.min("position").alias("position"))
-    on_bills = votes.filter(F.col("bill_id").isNotNull()).join(bills.select("bill_id"), "bill_id")
-    newest = latest(analyses, ["bill_id"], ["completed_at", "analysis_id"]).select("bill_id", "topics")
+    newest = latest(
+        analyses, ["bill_id"], ["completed_at", "analysis_id"], for_join=True
+    ).select("bill_id", "topics")
+    on_bills = votes.filter(F.col("bill_id").isNotNull()).join(bills.select("bill_id"), "bill_id", "left_semi")
     about = on_bills.join(newest, "bill_id", "left")
     type_ = analyses.schema["topics"].dataType
     topics = F.coalesce("topics", F.array().cast(type_)).alias("topics")
@@ -249,7 +252,7 @@ def overlap(pairs: DataFrame, user_topics: DataFrame, member_topics: DataFrame)
     the user's topics the member never voted on. Topics come from a closed
     vocabulary, so the list of one pair stays short."""
     mine = user_topics.select("user_id", "topic").distinct()
-    theirs = member_topics.select("member_id", "topic").distinct().withColumn("_shared", F.lit(1))
+    theirs = distinct_keys(member_topics, ["member_id", "topic"]).withColumn("_shared", F.lit(1))
     joined = pairs.select("user_id", "member_id").join(mine, "user_id").join(
         theirs, ["member_id", "topic"], "left"
     )

@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 from plenum.functions.vector import distance_to
 from plenum.operators.windows import top_per_key
 from plenum.session import materialize
+from plenum.sources.io import seed
 
 MAX_CELLS = 256
 # Rows of either side that one task compares at a time.
@@ -70,8 +71,9 @@ class Cells:
     """One side of a similarity join, arranged in cells."""
 
     def __init__(self, df: DataFrame, max_cells: int = MAX_CELLS):
-        total = df.count()
-        wanted = max(1, min(max_cells, math.isqrt(total)))
+        # Enough rows to fill all cells are enough to know; no full count is needed.
+        total = df.limit(max_cells**2).count()
+        wanted = max(1, math.isqrt(total))
         # A bounded sample, the same on every run: the rows with the smallest digests.
         sample = df.orderBy(F.md5(F.col("id").cast("string")), "id").limit(wanted).select("vec")
         self.centres = _unit_rows(sample.toArrow().column("vec")) if total else np.zeros((1, 1))
@@ -138,7 +140,6 @@ class Cells:
                 skip_same: bool, block_rows: int) -> DataFrame:
         """Matches of routed queries in their cells: per block the best ``k`` of each
         query, or all matches up to the distance ``limit``."""
-        spark = routed.sparkSession
         visits = routed.select("id", "vec", F.explode("cells").alias("cell"))
         # At most one row per cell comes to the driver.
         load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
@@ -147,7 +148,7 @@ class Cells:
             for cell, n in load.items()
             if self.sizes[cell]
         ]
-        grid = spark.createDataFrame(plan, "cell int, blocks bigint, groups bigint")
+        grid = seed(routed.sparkSession, plan, "cell int, blocks bigint, groups bigint")
         id_hash, zero = F.xxhash64("id"), F.lit(0).cast("bigint")
         asking = (
             visits.join(grid, "cell")

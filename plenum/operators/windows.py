@@ -13,23 +13,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.scalar import as_column
+from plenum.operators.skew import key_hash
 
 
 def top_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str | None = None,
+    *, for_join: bool = False,
 ) -> DataFrame:
     """The first ``n`` rows of each key in a total order; ``rank`` names an output
-    column for the position."""
+    column for the position. ``for_join`` prepares the result for a join on the
+    same key with a larger side (see ``skew``)."""
     position = rank or "_position"
-    spec = Window.partitionBy(*keys).orderBy(*[as_column(o) for o in order])
+    groups = [*keys, key_hash(keys)] if for_join else keys
+    spec = Window.partitionBy(*groups).orderBy(*[as_column(o) for o in order])
     best = df.withColumn(position, F.row_number().over(spec)).filter(F.col(position) <= n)
     return best if rank else best.drop(position)
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def latest(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, for_join: bool = False
+) -> DataFrame:
     """The newest row of each key; ``order`` lists what to compare, most
     significant first, each compared descending."""
-    return top_per_key(df, keys, [as_column(o).desc_nulls_last() for o in order], 1)
+    newest_first = [as_column(o).desc_nulls_last() for o in order]
+    return top_per_key(df, keys, newest_first, 1, for_join=for_join)
 
 
 def dedupe_keep_first(

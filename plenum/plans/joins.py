@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plenum.operators import joins, sets
+from plenum.operators.skew import grouped_for_join
 from plenum.operators.tree import resolve_ancestor
 from plenum.operators.windows import seniority
 from plenum.plans.registry import query
@@ -183,8 +184,8 @@ def unprocessed(t):
 )
 def composite_key_join(t):
     lines = t("lineitem", "l_orderkey", "l_linenumber", "l_quantity")
-    copies = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"))
-    return lines.join(copies, ["l_orderkey", "l_linenumber"])
+    keys = ["l_orderkey", "l_linenumber"]
+    return lines.join(grouped_for_join(lines, keys, F.count("*").alias("copies")), keys)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plenum.operators import scoring
 from plenum.operators.joins import resolve_identity
+from plenum.operators.skew import grouped_for_join
 from plenum.plans.joins import RESOLVED_SQL, identity_inputs
 from plenum.plans.registry import query
 
@@ -114,10 +115,10 @@ def align(t):
         .select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("bill_id"), "l_returnflag")
     )
     returned = F.count_if(F.col("l_returnflag") == "R").cast("double")
-    preferences = (
-        bought.join(parts.select(F.col("p_partkey").alias("bill_id"), F.col("p_type").alias("topic")), "bill_id")
-        .groupBy("user_id", "topic")
-        .agg((F.lit(2.0) * returned / F.count("*").cast("double") - 1.0).alias("user_stance_score"))
+    preferences = grouped_for_join(
+        bought.join(parts.select(F.col("p_partkey").alias("bill_id"), F.col("p_type").alias("topic")), "bill_id"),
+        ["user_id", "topic"],
+        (F.lit(2.0) * returned / F.count("*").cast("double") - 1.0).alias("user_stance_score"),
     )
     size = F.col("p_size")
     topics = parts.select(
@@ -151,7 +152,8 @@ def extract_stances(t):
         t("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
         .join(t("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("question_id"))
-        .agg(F.min(F.when(quantity <= 45, F.col("l_returnflag"))).alias("selected_option"))
+        .agg(F.min(F.when(quantity <= 45, F.ascii("l_returnflag"))).alias("code"))
+        .select("user_id", "question_id", F.char("code").alias("selected_option"))
     )
     parts = t("part", "p_partkey", "p_brand", "p_type", "p_size")
     choices = F.array(
@@ -161,10 +163,9 @@ def extract_stances(t):
         ]
     )
     options = parts.select(
-        F.col("p_partkey").alias("question_id"), F.inline(choices),
-    ).join(
-        parts.select(F.col("p_partkey").alias("question_id"), (F.col("p_size") % 10 + 1).alias("importance_signal")),
-        "question_id",
+        F.col("p_partkey").alias("question_id"),
+        (F.col("p_size") % 10 + 1).alias("importance_signal"),
+        F.inline(choices),
     )
     conservative = F.when(F.col("p_size") > 25, "Conservative").otherwise("Progressive")
     asked = F.array(

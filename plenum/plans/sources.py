@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plenum.plans.registry import query
 from plenum.schema.seeds import us_states
+from plenum.session import materialize
 from plenum.sources import io, merge
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -156,7 +157,8 @@ query("archive_changed", ARCHIVED_SQL)(archived)
     FROM lineitem l JOIN ({ARCHIVED_SQL}) h ON h.o_orderkey = l.l_orderkey""",
 )
 def archive_children(t):
-    history = archived(t).withColumn("history_id", F.col("o_orderkey"))
+    """The history rows are written first, then their children are filed under them."""
+    history = materialize(archived(t).withColumn("history_id", F.col("o_orderkey")), "history")
     children = t("lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     return merge.archive_children(children, history, {"l_orderkey": "o_orderkey"}, "history_id")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plenum.plans.registry import query
 from plenum.plans.tables import SCHEMAS
 from plenum.session import shared_dir
+from plenum.sources.io import seed
 from plenum.streaming import jobs
 
 
@@ -55,7 +56,7 @@ STAGES = ["signup", "view", "click", "purchase"]
 )
 def stream_stage(t):
     sink, checkpoint = folders(t)
-    ranks = t.spark.createDataFrame([(s, i + 1) for i, s in enumerate(STAGES)], "stage string, rank int")
+    ranks = seed(t.spark, [(s, i + 1) for i, s in enumerate(STAGES)], "stage string, rank int")
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("event_type")).cast("int")
     rows = stream(t).filter("event_type <> 'error'")
     jobs.stream_stage(rows, sink, checkpoint, "user_id", rank).awaitTermination()

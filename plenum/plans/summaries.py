@@ -6,6 +6,7 @@ from plenum.operators import aggregates, ids, windows
 from plenum.operators.scoring import advance_stage
 from plenum.plans.projections import LABELED_SQL, labeled
 from plenum.plans.registry import query
+from plenum.sources.io import seed
 
 
 @query("row_count", "SELECT count(*) AS n FROM lineitem")
@@ -175,7 +176,7 @@ def assign_ids(t):
       SELECT l_orderkey, CASE l_linestatus WHEN 'O' THEN 2 ELSE 3 END FROM lineitem) GROUP BY key""",
 )
 def stages(t):
-    ranks = t.spark.createDataFrame([("P", 1), ("O", 2), ("F", 3)], "stage string, rank int")
+    ranks = seed(t.spark, [("P", 1), ("O", 2), ("F", 3)], "stage string, rank int")
     current = t("orders", "o_orderkey", "o_orderstatus").toDF("o_orderkey", "stage")
     incoming = t("lineitem", "l_orderkey", "l_linestatus").toDF("o_orderkey", "stage")
     return advance_stage(current, incoming, ranks, ["o_orderkey"], "stage")

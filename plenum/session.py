@@ -37,6 +37,12 @@ def session(app: str = "plenum", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def split_skewed_joins(spark: SparkSession) -> None:
+    """Turn on splitting of hot join partitions in a session made elsewhere."""
+    for key in ("skewJoin.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{key}", "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Where it is unset (tests,
     local runs) a temporary folder is set for the rest of the session."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -17,8 +19,12 @@ def scan(
 
 
 def seed(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
-    """A small literal relation, such as a list of states or finding types."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small literal relation, such as a list of states or finding types. It is
+    part of the plan, so its size is known and a join with it can broadcast it."""
+    shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    records = [dict(zip(shape.names, row, strict=True)) for row in rows]
+    table = pa.Table.from_pylist(records, schema=to_arrow_schema(shape))
+    return spark.createDataFrame(table, shape)
 
 
 def insert_select(target: DataFrame, source: DataFrame, defaults: dict | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.scalar import as_column
+from plenum.operators.skew import HASH, distinct_keys, key_hash
 from plenum.operators.windows import top_per_key
 
 
@@ -73,7 +74,7 @@ def upsert(
 def replace_by_key(target: DataFrame, src: DataFrame, key: str) -> DataFrame:
     """Replace all children of the parents that occur in the source. Children
     without a parent key stay; they are set aside so that they are not shuffled."""
-    parents = src.filter(F.col(key).isNotNull()).select(key).distinct()
+    parents = distinct_keys(src.filter(F.col(key).isNotNull()), [key])
     owned = target.filter(F.col(key).isNotNull())
     kept = owned.join(parents, key, "left_anti").select(*target.columns)
     loose = target.filter(F.col(key).isNull())
@@ -167,11 +168,14 @@ def cascade_delete(
                 )
         survivors, lost = table, None
         for keys in hits:
-            on = keys.columns
-            keys = keys.distinct()
-            part = survivors.join(keys, on, "left_semi")
+            # Joined on key and hash: a child that refers to the same key is then
+            # shuffled afresh, and its hot partitions can be split (see ``skew``).
+            on = [*keys.columns, HASH]
+            hashed = survivors.withColumn(HASH, key_hash(keys.columns))
+            keys = distinct_keys(keys, keys.columns).withColumn(HASH, key_hash(keys.columns))
+            part = hashed.join(keys, on, "left_semi").drop(HASH)
             lost = part if lost is None else lost.unionByName(part)
-            survivors = survivors.join(keys, on, "left_anti")
+            survivors = hashed.join(keys, on, "left_anti").drop(HASH)
         gone[name] = lost
         kept[name] = survivors.select(*table.columns)
     return kept
