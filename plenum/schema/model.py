@@ -28,10 +28,14 @@ TYPES = {
     "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
     "boolean": T.BooleanType(), "double": T.DoubleType(), "float": T.FloatType(),
     "date": T.DateType(), "timestamp": T.TimestampType(),
+    # The one unbounded number: amounts of money.
+    "decimal(38,s)": T.DecimalType(38, 6),
 }
 
 TABLE = re.compile(r"^\*\*(\w+)\*\* — (.*)\.\s*$")
-COLUMN = re.compile(r"(\w+) (?:array<(\w+)>|(\w+))(?:∈(\w+))?(?:\[(\d+)\])?( !)? `")
+COLUMN = re.compile(
+    r"(\w+) (?:array<(\w+)>|(decimal\(38,s\)|\w+))(?:\(uuid\))?(?:∈(\w+))?(?:\[(\d+)\])?( !)? `"
+)
 KEY = re.compile(r"(?:PK|UQ)\(([^)]*)\)(?: WHERE ([^`]*?))? `")
 REFERENCE = re.compile(r"([\w+]+)→(\w+)(\*?)")
 
@@ -111,7 +115,11 @@ INTENDED_KEYS = {
 
 def _columns(text: str) -> tuple[T.StructType, dict[str, str], dict[str, int]]:
     fields, domains, widths = [], {}, {}
-    for name, element, plain, domain, width, required in COLUMN.findall(text):
+    for entry in text.split("; "):
+        match = COLUMN.match(entry)
+        if not match:
+            raise ValueError(f"unreadable column in the data dictionary: {entry}")
+        name, element, plain, domain, width, required = match.groups()
         type_ = T.ArrayType(TYPES[element], containsNull=False) if element else TYPES[plain]
         fields.append(T.StructField(name, type_, not required))
         if domain:
