@@ -4,9 +4,10 @@ Joining many queries with many vectors works on cells. A sample of vectors serve
 as cell centres; each vector lies in the cell of its nearest centre, and a cell
 knows how far its members reach. By the triangle inequality a query needs a cell
 only if ``distance(query, centre) - reach`` is within the distance it is looking
-for, so far cells are never compared and the result is still exact. A cell with
-many members is cut into blocks, and many queries for one cell into groups; one
-task compares one group with one block and returns the best matches only.
+for, so far cells are never compared and the result is still exact. Small cells
+share a bin, so that a query is sent to few places; a bin with many members is cut
+into blocks, and many queries for one bin into groups. One task compares one group
+with one block and returns the best matches only.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def _prepare(df: DataFrame, id_: str, vector: str) -> DataFrame:
 class Cells:
     """One side of a similarity join, arranged in cells."""
 
-    def __init__(self, df: DataFrame, max_cells: int = MAX_CELLS):
+    def __init__(self, df: DataFrame, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS):
         # Enough rows to fill all cells are enough to know; no full count is needed.
         total = df.limit(max_cells**2).count()
         wanted = max(1, math.isqrt(total))
@@ -99,16 +100,28 @@ class Cells:
         self.sizes, self.reach = np.zeros(cells, np.int64), np.full(cells, -np.inf)
         for row in found.collect():
             self.sizes[row["cell"]], self.reach[row["cell"]] = row["n"], row["reach"]
+        self.block_rows = block_rows
+        self.bins = self._share_bins()
+
+    def _share_bins(self) -> np.ndarray:
+        """The bin of each cell: neighbours are put together up to a block of rows."""
+        bins, current, held = np.zeros(len(self.sizes), np.int64), 0, 0
+        for cell in np.argsort(_to_centres(self.centres, self.centres[:1])[:, 0], kind="stable"):
+            if held and held + self.sizes[cell] > self.block_rows:
+                current, held = current + 1, 0
+            bins[cell] = current
+            held += self.sizes[cell]
+        return bins
 
     def route(self, queries: DataFrame, *, fill: int | None = None, bound: str | None = None,
               skip: str | None = None) -> DataFrame:
-        """Queries with the cells they have to visit.
+        """Queries with the bins they have to visit.
 
-        ``fill``: the nearest cells that together hold that many vectors. ``bound``:
-        every cell that can hold a vector within the Euclidean distance in that
-        column, except those already listed in column ``skip``.
+        ``fill``: those of the nearest cells that together hold that many vectors.
+        ``bound``: those of all cells that can hold a vector within the Euclidean
+        distance in that column, except the bins already listed in column ``skip``.
         """
-        centres, sizes, reach = self.centres, self.sizes, self.reach
+        centres, sizes, reach, bins = self.centres, self.sizes, self.reach, self.bins
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -119,48 +132,53 @@ class Cells:
                     near = np.argsort(gaps, axis=1)
                     held = np.cumsum(sizes[near], axis=1)
                     stop = (held < fill).sum(axis=1) + 1
-                    chosen = [near[i, : stop[i]] for i in range(len(near))]
+                    chosen = [np.unique(bins[near[i, : stop[i]]]) for i in range(len(near))]
                 else:
                     limit = batch.column(bound).to_numpy(zero_copy_only=False)[:, None]
                     wanted = (gaps - reach <= limit + SLACK) & (sizes > 0)
+                    chosen = [np.unique(bins[row]) for row in wanted]
                     if skip is not None:
-                        for i, seen in enumerate(batch.column(skip).to_pylist()):
-                            wanted[i, seen] = False
-                    chosen = [np.flatnonzero(row) for row in wanted]
+                        seen = batch.column(skip).to_pylist()
+                        chosen = [np.setdiff1d(c, s) for c, s in zip(chosen, seen, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("vec"),
                      pa.array([c.tolist() for c in chosen], pa.list_(pa.int32()))],
-                    names=["id", "vec", "cells"],
+                    names=["id", "vec", "bins"],
                 )
 
-        schema = StructType(list(queries.select("id", "vec").schema.fields)).add("cells", ArrayType(IntegerType()))
+        schema = StructType(list(queries.select("id", "vec").schema.fields))
+        schema = schema.add("bins", ArrayType(IntegerType()))
         return materialize(queries.mapInArrow(visit, schema), "routes")
 
     def compare(self, routed: DataFrame, *, k: int | None, limit: float | None, digits: int,
-                skip_same: bool, block_rows: int) -> DataFrame:
-        """Matches of routed queries in their cells: per block the best ``k`` of each
+                skip_same: bool) -> DataFrame:
+        """Matches of routed queries in their bins: per block the best ``k`` of each
         query, or all matches up to the distance ``limit``."""
-        visits = routed.select("id", "vec", F.explode("cells").alias("cell"))
-        # At most one row per cell comes to the driver.
-        load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        spark = routed.sparkSession
+        visits = routed.select("id", "vec", F.explode("bins").alias("bin"))
+        # At most one row per bin comes to the driver.
+        load = {r["bin"]: r["count"] for r in visits.groupBy("bin").count().collect()}
+        held = np.bincount(self.bins, weights=self.sizes).astype(np.int64)
         plan = [
-            (cell, -(-int(self.sizes[cell]) // block_rows), -(-n // block_rows))
-            for cell, n in load.items()
-            if self.sizes[cell]
+            (b, -(-int(held[b]) // self.block_rows), -(-n // self.block_rows))
+            for b, n in load.items()
+            if held[b]
         ]
-        grid = seed(routed.sparkSession, plan, "cell int, blocks bigint, groups bigint")
+        members = [(cell, int(b)) for cell, b in enumerate(self.bins)]
+        grid = seed(spark, plan, "bin int, blocks bigint, groups bigint")
+        cells = seed(spark, members, "cell int, bin int")
         id_hash, zero = F.xxhash64("id"), F.lit(0).cast("bigint")
         asking = (
-            visits.join(grid, "cell")
+            visits.join(grid, "bin")
             .withColumn("grp", F.pmod(id_hash, F.col("groups")))
             .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-            .select("cell", "block", "grp", "id", "vec")
+            .select("bin", "block", "grp", "id", "vec")
         )
         offered = (
-            self.rows.join(grid, "cell")
+            self.rows.join(cells.join(grid, "bin"), "cell")
             .withColumn("block", F.pmod(id_hash, F.col("blocks")))
             .withColumn("grp", F.explode(F.sequence(zero, F.col("groups") - 1)))
-            .select("cell", "block", "grp", "id", "vec")
+            .select("bin", "block", "grp", "id", "vec")
         )
         left_type = routed.schema["id"].dataType.simpleString()
         right_type = self.rows.schema["id"].dataType.simpleString()
@@ -177,9 +195,10 @@ class Cells:
                 cos = _unit_rows(left.column("vec")) @ _unit_rows(right.column("vec")).T
                 grid_ = np.round(1.0 - cos, digits) + 0.0
                 if skip_same:
-                    mine = np.asarray(left.column("id").to_pylist(), dtype=object)
-                    theirs = np.asarray(right_ids.to_pylist(), dtype=object)
-                    grid_[mine[:, None] == theirs[None, :]] = np.inf
+                    at = {key: col for col, key in enumerate(right_ids.to_pylist())}
+                    mine = [(row, at.get(key)) for row, key in enumerate(left.column("id").to_pylist())]
+                    same = np.array([m for m in mine if m[1] is not None], dtype=np.int64).reshape(-1, 2)
+                    grid_[same[:, 0], same[:, 1]] = np.inf
                 keep = np.isfinite(grid_)
                 if limit is not None:
                     keep &= grid_ <= limit
@@ -199,7 +218,7 @@ class Cells:
                 names=names,
             )
 
-        keys = ["cell", "block", "grp"]
+        keys = ["bin", "block", "grp"]
         return asking.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(
             best, f"left_id {left_type}, right_id {right_type}, distance double"
         )
@@ -226,11 +245,9 @@ def knn_join(
     k-th distance then decides which other cells could still improve on it.
     """
     queries = _prepare(left, left_id, left_vector)
-    cells = Cells(_prepare(right, right_id, right_vector))
+    cells = Cells(_prepare(right, right_id, right_vector), block_rows)
     first = cells.route(queries, fill=k + int(skip_same))
-    options = {
-        "k": k, "limit": None, "digits": digits, "skip_same": skip_same, "block_rows": block_rows
-    }
+    options = {"k": k, "limit": None, "digits": digits, "skip_same": skip_same}
     near = materialize(cells.compare(first, **options), "near")
     order = ["distance", "right_id"]
     worst = (
@@ -240,12 +257,12 @@ def knn_join(
     )
     reach = F.when(F.col("found") >= k, F.sqrt(2 * (F.col("worst") + 10.0**-digits)))
     asked = (
-        first.withColumnRenamed("cells", "seen")
+        first.withColumnRenamed("bins", "seen")
         .join(worst, F.col("id") == F.col("left_id"), "left")
         .select("id", "vec", "seen", F.coalesce(reach, F.lit(3.0)).alias("bound"))
     )
     rest = cells.route(asked, bound="bound", skip="seen")
-    far = cells.compare(rest.filter(F.size("cells") > 0), **options)
+    far = cells.compare(rest, **options)
     return top_per_key(near.unionByName(far), ["left_id"], order, k, "position")
 
 
@@ -256,13 +273,10 @@ def within_distance(
 ) -> DataFrame:
     """All pairs up to a cosine distance: ``left_id, right_id, distance``."""
     queries = _prepare(left, left_id, left_vector)
-    cells = Cells(_prepare(right, right_id, right_vector))
+    cells = Cells(_prepare(right, right_id, right_vector), block_rows)
     bound = math.sqrt(2 * (limit + 10.0**-digits))
     routed = cells.route(queries.withColumn("bound", F.lit(bound)), bound="bound")
-    return cells.compare(
-        routed.filter(F.size("cells") > 0), k=None, limit=limit, digits=digits, skip_same=False,
-        block_rows=block_rows,
-    )
+    return cells.compare(routed, k=None, limit=limit, digits=digits, skip_same=False)
 
 
 def classify(
