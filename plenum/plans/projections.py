@@ -190,7 +190,7 @@ def casts(t):
 
 @query(
     "array_functions",
-    """SELECT p_partkey, element, list_position([p_brand, p_type], element) AS at,
+    """SELECT p_partkey, element, CAST(list_position([p_brand, p_type], element) AS BIGINT) AS at,
       array_to_string([p_brand, p_type], '+') AS joined, 0 AS topics
     FROM (SELECT *, unnest([p_brand, p_type]) AS element FROM part)""",
 )
@@ -232,7 +232,8 @@ def natural_keys(t):
 )
 def load_stamp(t):
     stamped = scalar.with_uuid(scalar.stamp(t("orders", "o_orderkey"), "2026-01-01 12:00:00"))
-    return stamped.select("o_orderkey", "created_at", F.length("id").alias("id_length"))
+    at = F.col("created_at").cast("timestamp_ntz").alias("created_at")
+    return stamped.select("o_orderkey", at, F.length("id").alias("id_length"))
 
 
 @query(
@@ -249,7 +250,7 @@ def text_chunks(t):
 
 @query(
     "text_chunks_bytes",
-    """SELECT doc_id, count(*) AS chunks, sum(least(1000, bytes - i * 900)) AS bytes
+    """SELECT doc_id, count(*) AS chunks, CAST(sum(least(1000, bytes - i * 900)) AS BIGINT) AS bytes
     FROM (SELECT doc_id, bytes,
         unnest(range(greatest(CAST(ceil((bytes - 100) / 900.0) AS BIGINT), 1))) AS i
       FROM (SELECT doc_id, strlen(text) AS bytes FROM documents) WHERE bytes > 0)

@@ -201,7 +201,7 @@ def evidence(t):
 
 
 EVIDENCE_SQL = """SELECT c_nationkey AS user_id, l_suppkey AS member_id,
-      year(o_orderdate) AS congress, p_type AS topic, l_orderkey AS bill_id,
+      CAST(year(o_orderdate) AS INTEGER) AS congress, p_type AS topic, l_orderkey AS bill_id,
       l_orderkey * 10 + l_linenumber AS vote_id,
       l_discount * 10 AS alignment_score
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey
@@ -253,7 +253,8 @@ SNAPSHOT_ID = "user_id || '/' || member_id || '/2026-01-01 00:00:00' AS score_id
     FROM ({SCORE_SQL}) WHERE grain = 'overall'""",
 )
 def snapshot_history(t):
-    return snapshot(t)["score_history"]
+    history = snapshot(t)["score_history"]
+    return history.withColumn("computed_at", F.col("computed_at").cast("timestamp_ntz"))
 
 
 @query(
@@ -266,7 +267,8 @@ def snapshot_congress_topics(t):
 
 @query(
     "snapshot_highlights",
-    f"""SELECT {SNAPSHOT_ID}, bill_id, vote_id, topic, alignment_score AS alignment, position
+    f"""SELECT {SNAPSHOT_ID}, bill_id, vote_id, topic, alignment_score AS alignment,
+      CAST(position AS INTEGER) AS position
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, member_id, topic
         ORDER BY alignment_score DESC, bill_id, vote_id) AS position FROM ({EVIDENCE_SQL}))
     WHERE position <= 2""",

@@ -184,7 +184,7 @@ def stages(t):
 
 @query(
     "seniority",
-    """SELECT s_suppkey, s_nationkey, rank, seniority FROM (SELECT *, row_number() OVER (
+    """SELECT s_suppkey, s_nationkey, rank, CAST(seniority AS INTEGER) AS seniority FROM (SELECT *, row_number() OVER (
         PARTITION BY s_nationkey ORDER BY rank NULLS LAST, s_suppkey) AS seniority
       FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS rank
         FROM supplier)) WHERE seniority <= 3""",
@@ -211,7 +211,7 @@ def global_order(t):
 
 @query(
     "highlights",
-    """SELECT l_partkey, l_orderkey, l_linenumber, l_discount, position FROM (
+    """SELECT l_partkey, l_orderkey, l_linenumber, l_discount, CAST(position AS INTEGER) AS position FROM (
       SELECT *, row_number() OVER (PARTITION BY l_partkey
         ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS position FROM lineitem)
     WHERE position <= 3""",

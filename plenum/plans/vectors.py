@@ -67,7 +67,7 @@ def nearest_owner(t):
 
 @query(
     "nearest_join",
-    """SELECT left_id, right_id, distance, position FROM (
+    """SELECT left_id, right_id, distance, CAST(position AS INTEGER) AS position FROM (
       SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) AS position
       FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id,
           round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS distance
@@ -100,7 +100,7 @@ def classify(t):
 
 @query(
     "dimension_report",
-    "SELECT len(embedding) AS dimension, count(*) AS n, len(embedding) = 64 AS conforms FROM embeddings GROUP BY ALL",
+    "SELECT CAST(len(embedding) AS INTEGER) AS dimension, count(*) AS n, len(embedding) = 64 AS conforms FROM embeddings GROUP BY ALL",
 )
 def dimension_report(t):
     return quality.dim_report(t("embeddings", "embedding"), "embedding", 64)
