@@ -96,8 +96,8 @@ def extract_stances(responses: DataFrame, options: DataFrame, topics: DataFrame)
         chosen.join(topics, "question_id")
         .groupBy("user_id", "topic")
         .agg(
-            F.sum(signal).cast("double").alias("_signal"),
-            F.sum("weight").cast("double").alias("_weight"),
+            F.sum(signal).alias("_signal"),
+            F.sum("weight").alias("_weight"),
             F.max("importance_signal").alias("importance"),
             F.count("*").alias("answers"),
         )
@@ -148,7 +148,7 @@ def score_rollup(evidence: DataFrame) -> DataFrame:
         )
         .agg(
             grain.alias("grain"),
-            (F.sum("_sum").cast("double") / F.sum("_rows")).alias("score"),
+            (F.sum("_sum") / F.sum("_rows")).alias("score"),
             F.sum("_bills").alias("bills"),
             F.sum("_votes").alias("votes"),
         )

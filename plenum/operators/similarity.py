@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
@@ -31,6 +32,7 @@ MAX_CELLS = 256
 BLOCK_ROWS = 4096
 # Slack for rounding when distances are compared with cell reaches.
 SLACK = 1e-6
+UNEVEN = "vectors of different widths; dim_report counts them"
 
 
 def knn(
@@ -53,6 +55,8 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """An Arrow list column as a matrix of unit rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(pc.unique(pc.list_value_length(column))) != 1:
+        raise ValueError(UNEVEN)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = values.reshape(len(column), -1)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -60,6 +64,8 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _to_centres(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Euclidean distances between unit vectors."""
+    if vectors.shape[1] != centres.shape[1]:
+        raise ValueError(UNEVEN)
     return np.sqrt(np.maximum(2.0 - 2.0 * vectors @ centres.T, 0.0))
 
 
@@ -77,7 +83,8 @@ class Cells:
         wanted = max(1, math.isqrt(total))
         # A bounded sample, the same on every run: the rows with the smallest digests.
         sample = df.orderBy(F.md5(F.col("id").cast("string")), "id").limit(wanted).select("vec")
-        self.centres = _unit_rows(sample.toArrow().column("vec")) if total else np.zeros((1, 1))
+        # Without any vectors there are no cells, and every query visits none.
+        self.centres = _unit_rows(sample.toArrow().column("vec")) if total else np.zeros((0, 0))
         centres = self.centres
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +113,8 @@ class Cells:
     def _share_bins(self) -> np.ndarray:
         """The bin of each cell: neighbours are put together up to a block of rows."""
         bins, current, held = np.zeros(len(self.sizes), np.int64), 0, 0
+        if not len(bins):
+            return bins
         for cell in np.argsort(_to_centres(self.centres, self.centres[:1])[:, 0], kind="stable"):
             if held and held + self.sizes[cell] > self.block_rows:
                 current, held = current + 1, 0
@@ -127,7 +136,8 @@ class Cells:
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                gaps = _to_centres(_unit_rows(batch.column("vec")), centres)
+                vectors = _unit_rows(batch.column("vec"))
+                gaps = _to_centres(vectors, centres) if len(centres) else np.zeros((len(vectors), 0))
                 if fill is not None:
                     near = np.argsort(gaps, axis=1)
                     held = np.cumsum(sizes[near], axis=1)

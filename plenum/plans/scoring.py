@@ -141,7 +141,7 @@ def align(t):
       UNION ALL
       SELECT user_id, p_type, 0.6, CASE WHEN p_size > 25 THEN -1 ELSE 1 END, multiplier, signal FROM chosen)
     SELECT user_id, topic,
-      CAST(sum(weight * multiplier * sign) AS DOUBLE) / CAST(sum(weight) AS DOUBLE) AS user_stance_score,
+      round(CAST(sum(weight * multiplier * sign) AS DOUBLE) / CAST(sum(weight) AS DOUBLE), 9) AS user_stance_score,
       max(signal) AS importance, count(*) AS answers
     FROM topics GROUP BY user_id, topic""",
 )
@@ -158,8 +158,8 @@ def extract_stances(t):
     parts = t("part", "p_partkey", "p_brand", "p_type", "p_size")
     choices = F.array(
         *[
-            F.struct(F.lit(o).alias("option_value"), F.lit(m).cast("decimal(3,2)").alias("stance_multiplier"))
-            for o, m in (("A", "-1.0"), ("N", "0.5"), ("R", "1.0"))
+            F.struct(F.lit(o).alias("option_value"), F.lit(m).alias("stance_multiplier"))
+            for o, m in (("A", -1.0), ("N", 0.5), ("R", 1.0))
         ]
     )
     options = parts.select(
@@ -170,12 +170,13 @@ def extract_stances(t):
     conservative = F.when(F.col("p_size") > 25, "Conservative").otherwise("Progressive")
     asked = F.array(
         F.struct(F.col("p_brand").alias("topic"), F.lit("Progressive").alias("agree_stance"),
-                 F.lit("1.0").cast("decimal(3,2)").alias("weight")),
+                 F.lit(1.0).alias("weight")),
         F.struct(F.col("p_type").alias("topic"), conservative.alias("agree_stance"),
-                 F.lit("0.6").cast("decimal(3,2)").alias("weight")),
+                 F.lit(0.6).alias("weight")),
     )
     topics = parts.select(F.col("p_partkey").alias("question_id"), F.inline(asked))
-    return scoring.extract_stances(responses, options, topics)
+    found = scoring.extract_stances(responses, options, topics)
+    return found.withColumn("user_stance_score", F.round("user_stance_score", 9))
 
 
 def evidence(t):

@@ -98,6 +98,11 @@ def test_ancestor_handles_depth_cycles_and_missing_parents(spark, rows):
     assert len(got) == len(chain + cycle + dangling)
 
 
+def test_ancestor_of_nothing(spark):
+    nodes = spark.createDataFrame([], "id long, parent long, bill string")
+    assert resolve_ancestor(nodes, "id", "parent", ["bill"]).count() == 0
+
+
 def test_map_pairs_drops_unknown_keys(spark, rows):
     links = spark.createDataFrame([("a", "x"), ("a", "?"), ("b", "x")], "l string, r string")
     left = spark.createDataFrame([("a", 1), ("b", 2)], "nk string, id long")

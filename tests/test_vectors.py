@@ -45,6 +45,22 @@ def test_knn_join_with_itself_and_unusable_vectors(spark):
     assert all(p["left_id"] != p["right_id"] and p["right_id"] < 900 for p in pairs)
 
 
+def test_joins_with_nothing_on_one_side(spark):
+    df, _ = vectors(spark, 20, 7)
+    none = df.filter("id < 0")
+    for left, right in ((df, none), (none, df), (none, none)):
+        assert similarity.knn_join(left, right, 2, left_id="id", right_id="id").count() == 0
+    nodes = none.withColumnRenamed("id", "node_id")
+    labels = similarity.classify(df, nodes, 0.5, group_id="id", node_id="node_id", unclassified=7)
+    assert labels.filter("node_id = 7 AND score = 0").count() == 20
+
+
+def test_vectors_of_different_widths_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.5, 1.0]), (3, [1.0, 0.0, 1.0])], "id long, embedding array<float>")
+    with pytest.raises(Exception, match="different widths"):
+        similarity.knn_join(df, df, 1, left_id="id", right_id="id").collect()
+
+
 def test_within_distance_equals_brute_force(spark):
     left, q = vectors(spark, 40, 4)
     right, b = vectors(spark, 80, 5)
