@@ -44,12 +44,15 @@ def split_skewed_joins(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where it is unset (tests,
-    local runs) a temporary folder is set for the rest of the session."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset (tests, local
+    runs) the context's checkpoint folder serves, and a temporary one is set if there
+    is none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="plenum-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="plenum-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -1,14 +1,26 @@
 from plenum.session import materialize, shared_dir
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    other = spark.newSession()
-    other.conf.set("spark.checkpoint.dir", str(tmp_path))
-    assert shared_dir(other) == str(tmp_path)
-    df = materialize(other.range(10).withColumnRenamed("id", "k"), "numbers")
-    assert df.count() == 10 and df.columns == ["k"]
-    assert any(p.name.startswith("numbers-") for p in tmp_path.iterdir())
+class Conf:
+    def __init__(self, values):
+        self.get = values.get
+
+
+class Named:
+    """A session whose cluster names a shared folder."""
+
+    conf = Conf({"spark.checkpoint.dir": "hdfs://shared/tmp/"})
+
+
+def test_folder_named_by_the_cluster_is_used():
+    assert shared_dir(Named()) == "hdfs://shared/tmp"
 
 
 def test_unset_folder_is_set_once(spark):
-    assert shared_dir(spark) == shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == shared_dir(spark) != ""
+
+
+def test_materialized_table_is_read_back_from_the_folder(spark):
+    df = materialize(spark.range(10).withColumnRenamed("id", "k"), "numbers")
+    assert df.count() == 10 and df.columns == ["k"]
+    assert all(f"{shared_dir(spark)}/numbers-".split(":")[-1] in f for f in df.inputFiles())
