@@ -43,7 +43,8 @@ def knn(
     task keeps its own best ``k`` before they meet."""
     rows = df if where is None else df.filter(where)
     scored = rows.withColumn(name, distance_to(vector, query, digits))
-    return scored.filter(F.col(name).isNotNull()).orderBy(name, id_).limit(k)
+    best = scored.orderBy(F.col(name).asc_nulls_last(), id_).limit(k)
+    return best.filter(F.col(name).isNotNull())
 
 
 def embed_backlog(df: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -79,12 +79,12 @@ def test_classify_falls_back(spark, rows):
 
 def test_distances_of_odd_vectors(spark):
     df = spark.createDataFrame(
-        [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0])],
+        [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, [])],
         "id int, v array<float>",
     ).withColumn("q", F.array(F.lit(1.0), F.lit(0.0)))
     for distance in (cosine_distance("v", "q"), distance_to("v", [1.0, 0.0])):
         got = [r["d"] for r in df.orderBy("id").select(distance.alias("d")).collect()]
-        assert got == [0.0, 0.0, 2.0, None, None, None]
+        assert got == [0.0, 0.0, 2.0, None, None, None, None]
 
 
 def test_knn_orders_and_filters(spark, rows):
