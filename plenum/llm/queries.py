@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import exact_dedup, language, mixing, packing, quality, sharding, toxicity
+from plenum.llm import exact_dedup, html_text, language, mixing, packing, quality, sharding, toxicity
 from plenum.plans.tables import Tables
 from plenum.session import split_skewed_joins
 
@@ -70,6 +70,12 @@ def op7_sharding(t):
     )
 
 
+@query("op8_html_extraction")
+def op8_html_extraction(t):
+    found = html_text.main_text(t("pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS h,
