@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import exact_dedup, html_text, language, mixing, packing, quality, sharding, toxicity
+from plenum.llm import exact_dedup, html_text, language, language_model, mixing, packing, quality, sharding, toxicity
 from plenum.plans.tables import Tables
 from plenum.session import split_skewed_joins
 
@@ -56,6 +56,11 @@ def op4_quality_rules(t):
     return quality.judge(t("documents", "doc_id", "text"), t("labels", "doc_id", "quality")).drop("anomaly")
 
 
+@query("op5_lm_scoring")
+def op5_lm_scoring(t):
+    return language_model.score(t("documents", "doc_id", "text"))
+
+
 @query("op6_language_id")
 def op6_language_id(t):
     return language.identify(t("documents", "doc_id", "text", "lang"))
