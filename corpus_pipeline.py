@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.llm import exact_dedup, mixing, packing, quality
+from plenum.llm import exact_dedup, mixing, ngram_join, packing, quality
 from plenum.llm.queries import tokenizer_path
 from plenum.plans.tables import Tables
 from plenum.session import materialize, split_skewed_joins
@@ -20,6 +20,11 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by n-gram similarity."""
+    return ngram_join.one_of_each(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
@@ -33,6 +38,7 @@ def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_duplicates),
+    ("ngram_jaccard_join", near_duplicates),
     ("mixing", mixing_sources),
     ("packing", packing_sequences),
 ]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import exact_dedup, html_text, language, language_model, mixing, packing, quality, sharding, toxicity
+from plenum.llm import exact_dedup, html_text, language, language_model, mixing, ngram_join, packing, quality, sharding, toxicity
 from plenum.plans.tables import Tables
 from plenum.session import split_skewed_joins
 
@@ -33,6 +33,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(t):
+    return ngram_join.near_duplicates(t("documents", "doc_id", "text"))
+
+
 @query("op2_packing")
 def op2_packing(t):
     packed = packing.pack(t("documents", "doc_id", "text"), tokenizer_path())
