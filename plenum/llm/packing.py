@@ -18,6 +18,7 @@ no pieces. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from plenum.llm.arrow import Slice, map_batches, slices, word_hashes, word_spans
 
 LONGEST = 2048
 END_ID = 1
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
+SLICE = 4 << 20
 
 
 class WordEncoder:
@@ -43,7 +45,8 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.limit, self.known = limit, {}
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as unsigned 32-bit numbers."""
         known = self.known
         new = [w for w in words if w not in known]
         if new:
@@ -54,7 +57,7 @@ class WordEncoder:
                 part = new[at : at + 50_000]
                 texts = [w.decode("utf-8", "replace") for w in part]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, np.uint32)
+                    known[w] = array("I", e.ids).tobytes()
         return [known[w] for w in words]
 
 
@@ -77,19 +80,19 @@ def slice_ids(part: Slice, enc: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     _, first, which = np.unique(word_hashes(part.data, starts, ends, False), return_index=True, return_inverse=True)
     raw = part.data.tobytes()
     ids = enc.encode([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-    length = np.fromiter(map(len, ids), np.int64, len(ids))
+    length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(length) - length
     each = length[which]
     upto = np.cumsum(each)
     places = np.repeat(begin[which] - (upto - each), each) + np.arange(int(upto[-1]))
     bounds = np.concatenate([[0], upto])[np.searchsorted(owner, np.arange(texts + 1))]
-    return np.concatenate(ids)[places], bounds
+    return np.frombuffer(b"".join(ids), np.uint32)[places], bounds
 
 
 def document_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text of a column, without the end id."""
     enc, held, row = encoder(path), [], 0
-    for part in slices(column):
+    for part in slices(column, SLICE):
         ids, bounds = slice_ids(part, enc)
         if held and part.first != row:
             yield np.concatenate(held)
