@@ -108,7 +108,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         while at < end:
             cut = min(at + limit, end)
             while cut < end:
-                gaps = np.flatnonzero(IS_SPACE[data[cut : cut + limit]])
+                gaps = np.flatnonzero(IS_SPACE[data[cut : min(cut + limit, end)]])
                 if len(gaps):
                     cut += int(gaps[0])
                     break
