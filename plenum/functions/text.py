@@ -39,12 +39,13 @@ def chunk(
     source = F.col(text)
     keep = [c for c in df.columns if c != text]
     if unit == "bytes":
-        data = F.encode(source, "UTF-8")
+        # Exploding makes the bytes a column of their own, encoded once per text.
+        data = df.select(*keep, F.explode(F.array(F.encode(source, "UTF-8"))).alias("_data"))
         chunks = F.transform(
-            _starts(F.octet_length(source), step, overlap),
-            lambda i: F.substring(data, (i * step + 1).cast("int"), F.lit(size)),
+            _starts(F.octet_length("_data"), step, overlap),
+            lambda i: F.substring("_data", (i * step + 1).cast("int"), F.lit(size)),
         )
-        return df.select(*keep, F.posexplode(chunks).alias(index, content))
+        return data.select(*keep, F.posexplode(chunks).alias(index, content))
     if unit != "chars":
         raise ValueError("unit must be 'chars' or 'bytes'")
     stride = step * CHUNKS_PER_PIECE
@@ -76,22 +77,23 @@ def reassemble(
     *,
     separator: str = "",
     overlap: int = 0,
-    part_chunks: int = 10_000,
+    part_chunks: int | None = None,
 ) -> DataFrame:
     """Texts rebuilt in ``index`` order, with the shared characters dropped.
 
-    A text of up to ``part_chunks`` chunks is one row (part 0). A longer one comes
-    as further numbered parts whose concatenation is the whole text, so no task
-    ever holds more than one part however many chunks a single key owns.
+    Each text is one row, however many chunks it has. With ``part_chunks`` it comes as
+    numbered parts of so many chunks, whose concatenation is the whole text.
     """
     body = F.col(text)
     if overlap:
         body = F.when(F.col(index) == 0, body).otherwise(
             F.substring(body, F.lit(overlap + 1), F.length(body))
         )
-    part = F.floor(F.col(index) / part_chunks).cast("int").alias("part")
+    part = []
+    if part_chunks:
+        part = [F.floor(F.col(index) / part_chunks).cast("int").alias("part")]
     return (
-        chunks.select(*keys, part, F.col(index).alias("_at"), body.alias("_body"))
-        .groupBy(*keys, "part")
+        chunks.select(*keys, *part, F.col(index).alias("_at"), body.alias("_body"))
+        .groupBy(*keys, *["part"][: len(part)])
         .agg(F.expr(f"listagg(_body, '{separator}') WITHIN GROUP (ORDER BY _at)").alias(text))
     )

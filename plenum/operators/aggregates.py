@@ -34,14 +34,19 @@ def list_cols(
     name: str = "columns",
 ) -> DataFrame:
     """The ordered list of a key's values as one string, such as the columns of an
-    index. Entries form a set, so repeats are removed on the map side first and a
-    list is bounded by the number of different entries, not by the rows of the key."""
+    index. Repeated entries stay; they travel once with their number. NULL values are
+    left out."""
     quoted = separator.replace("'", "''")
-    return (
+    entries = (
         df.select(*keys, F.col(order).alias("_order"), F.col(value).cast("string").alias("_value"))
-        .distinct()
+        .groupBy(*keys, "_order", "_value")
+        .agg((F.count("*") - 1).cast("int").alias("_more"))
+    )
+    repeated = F.concat(F.repeat(F.concat("_value", F.lit(separator)), F.col("_more")), "_value")
+    return (
+        entries.withColumn("_entry", repeated)
         .groupBy(*keys)
-        .agg(F.expr(f"listagg(_value, '{quoted}') WITHIN GROUP (ORDER BY _order, _value)").alias(name))
+        .agg(F.expr(f"listagg(_entry, '{quoted}') WITHIN GROUP (ORDER BY _order, _value)").alias(name))
     )
 
 

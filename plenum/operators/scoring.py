@@ -110,7 +110,7 @@ def score_rollup(evidence: DataFrame) -> DataFrame:
     """Scores at four grains: overall, per topic, per congress, per congress and topic.
 
     ``evidence`` has ``user_id, member_id, congress, topic, bill_id, vote_id,
-    alignment_score``; the score is the mean alignment. A vote belongs to one bill and
+    alignment_score``; the score is the mean alignment, without NULLs. A vote belongs to one bill and
     a bill to one congress. So votes are collapsed first, then bills, and the counts
     of different bills and votes of every grain are plain sums from there; a busy
     user-member pair is spread over its votes before it is combined. ``grain`` names
@@ -122,7 +122,7 @@ def score_rollup(evidence: DataFrame) -> DataFrame:
         [[F.col(c) for c in (*pair, "congress", *topic, *unit)] for topic in ([], ["topic"])],
         *pair, "congress", "topic", *unit,
     ).agg(
-        F.sum("alignment_score").alias("_sum"), F.count("*").alias("_rows"),
+        F.sum("alignment_score").alias("_sum"), F.count("alignment_score").alias("_rows"),
         all_topics.alias("_all_topics"),
     )
     keys = [*pair, "congress", "topic", "_all_topics"]
@@ -148,7 +148,7 @@ def score_rollup(evidence: DataFrame) -> DataFrame:
         )
         .agg(
             grain.alias("grain"),
-            (F.sum("_sum") / F.sum("_rows")).alias("score"),
+            F.try_divide(F.sum("_sum"), F.sum("_rows")).alias("score"),
             F.sum("_bills").alias("bills"),
             F.sum("_votes").alias("votes"),
         )
@@ -269,8 +269,13 @@ def advance_stage(
     current: DataFrame, incoming: DataFrame, ranks: DataFrame, keys: Sequence[str], stage: str,
     rank: str = "rank",
 ) -> DataFrame:
-    """The furthest stage each key has reached. A write can only move a key forward,
-    so late or concurrent writers cannot set it back. ``ranks`` orders the stages."""
-    both = current.select(*keys, stage).unionByName(incoming.select(*keys, stage))
-    reached = both.join(ranks.select(stage, rank), stage).groupBy(*keys).agg(F.max(rank).alias(rank))
-    return reached.join(ranks.select(stage, rank), rank).select(*keys, stage)
+    """The furthest stage each key has reached, one row per key. A write can only move a
+    key forward, so late or concurrent writers cannot set it back. ``ranks`` orders the
+    stages. Stages without a rank come before all others, NULL before those; of stages
+    with equal rank the current one stays, or else the greatest of the incoming."""
+    both = current.select(*keys, stage, F.lit(1).alias("_old")).unionByName(
+        incoming.select(*keys, stage, F.lit(0).alias("_old"))
+    )
+    ranked = both.join(ranks.select(stage, F.col(rank).alias("_rank")), stage, "left")
+    furthest = F.max(F.struct("_rank", F.col(stage).isNotNull().alias("_known"), "_old", stage)).alias("_furthest")
+    return ranked.groupBy(*keys).agg(furthest).select(*keys, F.col(f"_furthest.{stage}").alias(stage))

@@ -250,31 +250,28 @@ def text_chunks(t):
 
 @query(
     "text_chunks_bytes",
-    """SELECT doc_id, count(*) AS chunks, CAST(sum(least(1000, bytes - i * 900)) AS BIGINT) AS bytes
+    """SELECT doc_id, CAST(i AS INTEGER) AS chunk_index,
+      substring(bytes, CAST(i * 1800 + 1 AS BIGINT), 2000) AS content_hex
     FROM (SELECT doc_id, bytes,
-        unnest(range(greatest(CAST(ceil((bytes - 100) / 900.0) AS BIGINT), 1))) AS i
-      FROM (SELECT doc_id, strlen(text) AS bytes FROM documents) WHERE bytes > 0)
-    GROUP BY doc_id""",
+        unnest(range(greatest(CAST(ceil((length(bytes) / 2 - 100) / 900.0) AS BIGINT), 1))) AS i
+      FROM (SELECT doc_id, hex(encode(text)) AS bytes FROM documents) WHERE length(bytes) > 0)""",
 )
 def text_chunks_bytes(t):
     pieces = chunk(t("documents", "doc_id", "text"), "text", 1000, 100, unit="bytes")
-    return pieces.groupBy("doc_id").agg(
-        F.count("*").alias("chunks"), F.sum(F.octet_length("content")).alias("bytes")
-    )
+    return pieces.select("doc_id", "chunk_index", F.hex("content").alias("content_hex"))
 
 
 @query(
     "reassemble",
-    """SELECT conv_id, CAST(turn // 10000 AS INTEGER) AS part,
-      string_agg(text, '|' ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id, turn // 10000""",
+    """SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS text
+    FROM conversations GROUP BY conv_id""",
 )
 def reassemble_turns(t):
     turns = t("conversations", "conv_id", "turn", "text")
     return reassemble(turns, ["conv_id"], "turn", "text", separator="|")
 
 
-@query("reassemble_chunks", "SELECT doc_id, 0 AS part, text AS content FROM documents WHERE length(text) > 0")
+@query("reassemble_chunks", "SELECT doc_id, text AS content FROM documents WHERE length(text) > 0")
 def reassemble_chunks(t):
     """Texts cut into overlapping chunks and put back together."""
     chunks = chunk(t("documents", "doc_id", "text"), "text", 500, 100)

@@ -152,8 +152,7 @@ def extract_stances(t):
         t("lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
         .join(t("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("question_id"))
-        .agg(F.min(F.when(quantity <= 45, F.ascii("l_returnflag"))).alias("code"))
-        .select("user_id", "question_id", F.char("code").alias("selected_option"))
+        .agg(F.min(F.when(quantity <= 45, F.col("l_returnflag"))).alias("selected_option"))
     )
     parts = t("part", "p_partkey", "p_brand", "p_type", "p_size")
     choices = F.array(
@@ -211,7 +210,7 @@ EVIDENCE_SQL = """SELECT c_nationkey AS user_id, l_suppkey AS member_id,
 SCORE_SQL = f"""SELECT CASE WHEN grouping(congress) = 0 AND grouping(topic) = 0 THEN 'congress_topic'
         WHEN grouping(congress) = 0 THEN 'congress' WHEN grouping(topic) = 0 THEN 'topic'
         ELSE 'overall' END AS grain, user_id, member_id, congress, topic,
-      round(sum(alignment_score) / count(*), 7) AS score,
+      round(avg(alignment_score), 7) AS score,
       count(DISTINCT bill_id) AS bills, count(DISTINCT vote_id) AS votes
     FROM ({EVIDENCE_SQL})
     GROUP BY GROUPING SETS ((user_id, member_id), (user_id, member_id, topic),

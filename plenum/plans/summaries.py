@@ -31,7 +31,7 @@ def next_id(t):
 @query(
     "list_columns",
     """SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS columns
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) GROUP BY l_orderkey""",
+    FROM lineitem GROUP BY l_orderkey""",
 )
 def list_columns(t):
     lines = t("lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
@@ -169,16 +169,31 @@ def assign_ids(t):
 
 @query(
     "advance_stage",
-    """SELECT key AS o_orderkey, CASE max(rank) WHEN 1 THEN 'P' WHEN 2 THEN 'O' ELSE 'F' END AS stage
-    FROM (SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS rank
-      FROM orders
-      UNION ALL
-      SELECT l_orderkey, CASE l_linestatus WHEN 'O' THEN 2 ELSE 3 END FROM lineitem) GROUP BY key""",
+    """SELECT key AS o_orderkey, stage FROM (
+      SELECT key, stage, row_number() OVER (PARTITION BY key ORDER BY
+        CASE stage WHEN 'P' THEN 1 WHEN 'O' THEN 2 WHEN 'R' THEN 3 WHEN 'F' THEN 3 END DESC NULLS LAST,
+        stage IS NULL, old DESC, stage DESC) AS pos
+      FROM (SELECT o_orderkey AS key, CASE o_orderpriority WHEN '1-URGENT' THEN 'X'
+            WHEN '5-LOW' THEN o_orderstatus WHEN '2-HIGH' THEN 'F' END AS stage, 1 AS old FROM orders
+          UNION ALL
+          SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'R' ELSE l_linestatus END, 0
+          FROM lineitem WHERE l_quantity < 10))
+    WHERE pos = 1""",
 )
 def stages(t):
-    ranks = seed(t.spark, [("P", 1), ("O", 2), ("F", 3)], "stage string, rank int")
-    current = t("orders", "o_orderkey", "o_orderstatus").toDF("o_orderkey", "stage")
-    incoming = t("lineitem", "l_orderkey", "l_linestatus").toDF("o_orderkey", "stage")
+    """Some orders have no stage yet, some an unknown one; two stages share a rank."""
+    ranks = seed(t.spark, [("P", 1), ("O", 2), ("R", 3), ("F", 3)], "stage string, rank int")
+    priority = F.col("o_orderpriority")
+    current = t("orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select(
+        "o_orderkey",
+        F.when(priority == "1-URGENT", "X").when(priority == "5-LOW", F.col("o_orderstatus"))
+        .when(priority == "2-HIGH", "F").alias("stage"),
+    )
+    lines = t("lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_quantity").filter("l_quantity < 10")
+    flag = F.col("l_returnflag")
+    incoming = lines.select(
+        F.col("l_orderkey").alias("o_orderkey"), F.when(flag == "R", flag).otherwise(F.col("l_linestatus")).alias("stage")
+    )
     return advance_stage(current, incoming, ranks, ["o_orderkey"], "stage")
 
 

@@ -44,13 +44,15 @@ def split_skewed_joins(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where it is unset (tests, local
-    runs) the context's checkpoint folder serves, and a temporary one is set if there
-    is none."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset the context's
+    checkpoint folder serves. If there is none either, a local run gets a temporary one;
+    on a cluster, whose executors would not share it, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="plenum-"))
         path = context.getCheckpointDir()
     return path.rstrip("/")

@@ -103,7 +103,8 @@ def read_stage(
     stage: str = "stage",
 ) -> DataFrame:
     reached = read_batches(spark, sink, schema).groupBy(key).agg(F.max("rank").alias("rank"))
-    return reached.join(ranks.select("rank", stage), "rank").select(key, stage)
+    named = ranks.groupBy("rank").agg(F.max(stage).alias(stage))
+    return reached.join(named, "rank", "left").select(key, stage)
 
 
 def stream_counters(

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from plenum.functions import scalar
 from plenum.functions.text import chunk, reassemble
 from plenum.operators import aggregates, filters, quality
+from plenum.operators.aggregates import list_cols
 from plenum.schema import seeds
 from plenum.schema.domains import DOMAINS
+from plenum.session import shared_dir
 
 
 def broken(df, rule):
@@ -138,6 +140,32 @@ def test_long_texts_come_back_in_parts(spark):
     assert "".join(r["content"] for r in sorted(parts, key=lambda r: r["part"])) == text
 
 
+def test_a_long_text_is_one_row(spark):
+    text = "".join(chr(97 + i % 26) for i in range(10_050))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    assert [r["content"] for r in reassemble(chunk(df, "text", 1), ["id"], "chunk_index", "content").collect()] == [text]
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_lists_keep_repeats(spark, rows):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (1, 3, None), (2, 1, None)], "k int, o int, v string")
+    assert rows(list_cols(df, ["k"], "v", "o")) == [(1, "a,a,b"), (2, None)]
+
+
 def test_seeds(spark):
     assert seeds.us_states(spark).distinct().count() == 56
     assert seeds.us_states(spark).filter("is_territory").count() == 6

@@ -94,6 +94,23 @@ def test_stage_does_not_depend_on_order(spark, rows):
         assert rows(state) == [(1, "ENR")]
 
 
+def test_stage_keeps_unknown_and_tied_stages(spark, rows):
+    ranks = spark.createDataFrame([("I", 1), ("O", 2), ("OO", 2)], "stage string, rank int")
+    kind = "bill int, stage string"
+    current = spark.createDataFrame([(1, "O"), (2, "X"), (3, None), (4, None), (5, "X")], kind)
+    incoming = spark.createDataFrame([(1, "OO"), (4, "X"), (5, "I"), (6, "O"), (6, "OO"), (6, "I")], kind)
+    found = scoring.advance_stage(current, incoming, ranks, ["bill"], "stage")
+    assert rows(found) == [(1, "O"), (2, "X"), (3, None), (4, "X"), (5, "I"), (6, "OO")]
+
+
+def test_score_is_a_mean_without_nulls(spark):
+    cases = [(1, 2, 118, "a", 1, 1, 0.5), (1, 2, 118, "a", 1, 2, None), (1, 3, 118, "a", 1, 1, None)]
+    df = spark.createDataFrame(cases, EVIDENCE)
+    found = {(r["grain"], r["member_id"]): r["score"] for r in scoring.score_rollup(df).collect()}
+    assert {found[g, 2] for g in ("overall", "topic", "congress", "congress_topic")} == {0.5}
+    assert found["overall", 3] is None
+
+
 def test_readiness_and_ready(spark, rows):
     votes = spark.createDataFrame([(1, "2024"), (2, "2024")], "bill_id int, voted_at string")
     analyses = spark.createDataFrame([(1, 1, "2025"), (1, 2, "2023"), (2, 1, "2025"), (3, 1, "2025"), (3, 2, "2025")],
