@@ -227,8 +227,8 @@ def index(docs: DataFrame, text: str, groups: int) -> DataFrame:
 
 
 def buckets(entries: DataFrame, heavy: int) -> DataFrame:
-    """Rows (a, b, info): pairs of sets in buckets of at most ``heavy`` sets (info is NULL),
-    and (set, bucket, info) for the members of larger ones."""
+    """Rows (a, b, info, shared): pairs of sets in buckets of at most ``heavy`` sets, with how
+    many they share (info is NULL), and (set, bucket, info) for the members of larger ones."""
 
     def work(table: pa.Table) -> pa.Table:
         sets = np.concatenate([np.frombuffer(x, "<u8") for x in table["sets"].to_pylist()])
@@ -256,13 +256,16 @@ def buckets(entries: DataFrame, heavy: int) -> DataFrame:
         size = np.diff(np.append(begin, int(new.sum())))
         light = np.repeat((size > 1) & (size <= heavy), size)
         members, run = own[new][light], np.repeat(np.arange(len(size)), size)[light]
+        probing = (info[new][light] & 1) > 0  # two sets from the band below meet in their own
         left, right = [], []
         for step in range(1, heavy):
-            same = run[step:] == run[:-step]
+            same = (run[step:] == run[:-step]) & ~(probing[step:] & probing[:-step])
             left.append(members[:-step][same])
             right.append(members[step:][same])
         left, right = np.concatenate(left or [own[:0]]), np.concatenate(right or [own[:0]])
-        pairs = np.unique(np.stack([np.minimum(left.view(np.int64), right.view(np.int64)), np.maximum(left.view(np.int64), right.view(np.int64))], axis=1), axis=0)
+        left, right = left.view(np.int64), right.view(np.int64)
+        both = np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1)
+        pairs, shared = np.unique(both, axis=0, return_counts=True)
         large = np.isin(sig, sig[new][begin[size > heavy]]) & each
         part = np.uint64(table["part"][0].as_py())
         bucket = mix(sig[large] + (part << np.uint64(SIG_BITS)))
@@ -270,11 +273,12 @@ def buckets(entries: DataFrame, heavy: int) -> DataFrame:
             {
                 "a": pa.array(np.concatenate([pairs[:, 0], own[large].view(np.int64)])),
                 "b": pa.array(np.concatenate([pairs[:, 1], bucket.view(np.int64)])),
-                "info": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), info[large].astype(np.int32)]), pa.int32(), mask=np.arange(len(pairs) + int(large.sum())) < len(pairs)),
+                "info": pa.array([None] * len(pairs) + info[large].tolist(), pa.int32()),
+                "shared": pa.array(np.concatenate([shared, np.zeros(int(large.sum()), np.int64)]), pa.int64()),
             }
         )
 
-    return entries.groupBy("part").applyInArrow(work, "a bigint, b bigint, info int")
+    return entries.groupBy("part").applyInArrow(work, "a bigint, b bigint, info int, shared bigint")
 
 
 FLAG_BITS = 22
@@ -336,16 +340,17 @@ def linked_sets(docs: DataFrame, base: DataFrame, text: str, heavy: int = HEAVY,
     total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     groups = max(8, -(-total // GROUP_ROWS))
     found = materialize(buckets(index(docs, text, int(groups)), heavy), "buckets")
-    light = found.filter("info is null").select("a", "b").distinct()
-    dear = _dear(found.filter("info is not null"), sets)
-    dear = materialize(dear, "dear")
+    light = found.filter("info is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    costs = materialize(_costs(found.filter("info is not null"), sets), "costs")
+    dear = materialize(_dear(found.filter("info is not null"), costs), "dear")
     size_a, size_b = sets.select(F.col("set").alias("a"), F.col("n").alias("na")), sets.select(F.col("set").alias("b"), F.col("n").alias("nb"))
 
     def near_in_size(pairs):
         fits = f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)"
         return pairs.join(size_a, "a").join(size_b, "b").filter(fits).select("a", "b")
 
-    first = materialize(near_in_size(light).union(_thin(sets, near_in_size)), "pairs")
+    first = near_in_size(_sharing(light, sets, costs)).union(_thin(sets, near_in_size))
+    first = materialize(first.distinct(), "pairs")
     wanted = first.select(F.col("a").alias("set")).union(first.select("b")).union(dear.select("set")).distinct()
     tokens = materialize(token_table(docs, text, materialize(wanted, "wanted")), "tokens")
     links = materialize(similar(first, tokens), "verified")
@@ -370,19 +375,47 @@ def linked_sets(docs: DataFrame, base: DataFrame, text: str, heavy: int = HEAVY,
     return components(links)
 
 
-def _dear(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(bucket, set, probes, weight): the dear buckets that some set needs, with all their
-    members; ``weight`` is how many sets a member meets in all of them."""
-    rows = rows.select(F.col("a").alias("set"), F.col("b").alias("bucket"), "info").distinct()
-    role, less = F.col("info").bitwiseAND(1), F.col("info").bitwiseAND(2) > 0
-    lost = rows.groupBy("set", role.alias("role")).agg(
+def _costs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, role, left, need, floor): units that a set has outside dear buckets and those it
+    needs, in its own band (role 0) and in the next, and how many buckets that are not dear
+    it shares at least with a partner: all its segments but H agree."""
+    dear = rows.select(F.col("a").alias("set"), F.col("b").alias("bucket"), "info").distinct()
+    less = F.col("info").bitwiseAND(2) > 0
+    lost = dear.groupBy("set", F.col("info").bitwiseAND(1).alias("role")).agg(
         F.sum(F.when(less, 0).otherwise(1)).alias("x"), F.sum(F.when(less, 1).otherwise(0)).alias("v")
     )
     lost = lost.join(sets, "set")
     pick = lambda c: F.when(F.col("role") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
-    left = pick("e") - F.col("x") + F.greatest(F.lit(0), pick("d") - F.col("v") - F.col("x"))
-    lacking = lost.filter(left < pick("need")).select("set", "role").withColumn("probes", F.lit(True))
-    marked = rows.withColumn("role", role).join(lacking, ["set", "role"], "left")
+    left = pick("e") - F.col("x")
+    more = F.greatest(F.lit(0), pick("d") - F.col("v") - F.col("x"))
+    return lost.select(
+        "set", "role", (left + more).alias("left"), pick("need").alias("need"), (left - pick("need") + 1).alias("floor")
+    )
+
+
+def _sharing(light: DataFrame, sets: DataFrame, costs: DataFrame) -> DataFrame:
+    """The pairs that share as many buckets as links must. The smaller set counts, in its own
+    band or, if that shares fewer, in the next, whichever asks for less."""
+    floors = sets.select(
+        "set", "n", (F.col("e0") - F.col("need0") + 1).alias("f0"), (F.col("e1") - F.col("need1") + 1).alias("f1")
+    )
+    for role in (0, 1):
+        own = costs.filter(f"role = {role}").select("set", F.col("floor").alias("_f"))
+        floors = floors.join(own, "set", "left").withColumn(f"f{role}", F.coalesce("_f", f"f{role}")).drop("_f")
+    floors = floors.select("set", "n", F.least("f0", "f1").alias("f"))
+    for side in ("a", "b"):
+        named = floors.select(F.col("set").alias(side), F.col("n").alias(f"n{side}"), F.col("f").alias(f"f{side}"))
+        light = light.join(named, side)
+    least = F.when(F.col("na") < F.col("nb"), F.col("fa")).when(F.col("na") > F.col("nb"), F.col("fb"))
+    return light.filter(F.col("shared") >= F.coalesce(least, F.least("fa", "fb"))).select("a", "b")
+
+
+def _dear(rows: DataFrame, costs: DataFrame) -> DataFrame:
+    """(bucket, set, probes, weight): the dear buckets that some set needs, with all their
+    members; ``weight`` is how many sets a member meets in all of them."""
+    rows = rows.select(F.col("a").alias("set"), F.col("b").alias("bucket"), "info").distinct()
+    lacking = costs.filter("left < need").select("set", "role").withColumn("probes", F.lit(True))
+    marked = rows.withColumn("role", F.col("info").bitwiseAND(1)).join(lacking, ["set", "role"], "left")
     marked = marked.groupBy("bucket", "set").agg(F.max(F.coalesce("probes", F.lit(False))).alias("probes"))
     sizes = marked.groupBy("bucket").agg(F.max("probes").alias("_read"), F.count("*").alias("_size"))
     kept = marked.join(sizes.filter("_read").drop("_read"), "bucket")
