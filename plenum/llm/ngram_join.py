@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.arrow import map_batches, mix, numbers, shingle_hashes, slices, word_hashes, word_spans
+from plenum.llm.arrow import map_batches, mix, numbers, shingle_hashes, slices, text_bytes, word_hashes, word_spans
 from plenum.llm.components import components
 from plenum.operators.skew import grouped_for_join
 from plenum.session import materialize
@@ -46,6 +46,7 @@ HEAVY = 8
 PIVOTS = 3
 GROUP_ROWS = 2_000_000
 SIG_BITS = 40
+PIECE_BYTES = 4 << 20  # texts whose sets are in memory at once
 
 
 def band_table(largest: int) -> np.ndarray:
@@ -169,15 +170,30 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, n: np.ndarray):
     return [np.concatenate(x) for x in zip(*out)], units, needed
 
 
+def pieces(batch: pa.RecordBatch, text: str):
+    """The rows of a batch in runs of about ``PIECE_BYTES`` of text; a longer text stays whole."""
+    _, offsets = text_bytes(batch.column(text))
+    row = 0
+    while row < len(batch):
+        stop = int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1
+        stop = min(max(stop, row + 1), len(batch))
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
 def describe(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """Per row: the id, the size and name of its set, and its units, exact and less one, and
     units needed, in its own band and the next."""
 
-    def run(batch):
+    def run(whole):
+        for batch in pieces(whole, text):
+            yield described(batch)
+
+    def described(batch):
         owner, shingle = shingle_sets(batch.column(text))
         n, name = set_ids(owner, shingle, len(batch))
         _, units, needed = signatures(owner, shingle, n)
-        yield {
+        return {
             id_: batch.column(id_), "n": n, "set": pa.array(name.view(np.int64), pa.int64(), mask=n == 0),
             "e0": units[0][0], "d0": units[0][1], "need0": needed[0],
             "e1": units[1][0], "d1": units[1][1], "need1": needed[1],
@@ -192,10 +208,14 @@ def index(docs: DataFrame, text: str, groups: int) -> DataFrame:
     """Index entries dealt out by signature: for each batch and group, the sets, how many
     entries each has of each kind, and the signatures, as packed numbers."""
 
-    def run(batch):
+    def run(whole):
+        for batch in pieces(whole, text):
+            yield entries(batch)
+
+    def entries(batch):
         owner, shingle = shingle_sets(batch.column(text))
         n, name = set_ids(owner, shingle, len(batch))
-        # Copies within a batch are indexed once.
+        # Copies within a piece are indexed once.
         _, first = np.unique(name, return_index=True)
         keep = np.zeros(len(n), bool)
         keep[first] = True
@@ -215,7 +235,7 @@ def index(docs: DataFrame, text: str, groups: int) -> DataFrame:
         packed = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SIG_BITS // 8])
         rows = [g for g in range(groups) if starts[g] < starts[g + 1]]
         heads = [begin[blocks[g] : blocks[g + 1]] for g in rows]
-        yield {
+        return {
             "part": rows,
             "sets": [name[of[b]].astype("<u8").tobytes() for b in heads],
             "infos": [info[b].tobytes() for b in heads],
