@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import exact_dedup, html_text, language, language_model, mixing, ngram_join, packing, quality, sharding, toxicity
+from plenum.llm import exact_dedup, filter_audit, html_text, language, language_model, mixing, ngram_join, packing, quality, sharding, toxicity
 from plenum.plans.tables import Tables
 from plenum.session import split_skewed_joins
 
@@ -126,3 +126,37 @@ FROM n JOIN g ON n.body = g.body
 @query("op10_exact_dedup", DEDUP_SQL)
 def op10_exact_dedup(t):
     return exact_dedup.exact_duplicates(t("documents", "doc_id", "text"))
+
+
+AUDIT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS least FROM d),
+marks AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic
+  FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT v.l || w.l || x.l || y.l || z.l AS o FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+steps AS (SELECT o, s, o[s] AS l, o[1:s - 1] AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+met AS (SELECT part, o, s, l, fails, n, good, toxic, contains(fails, l) AS here,
+    length(translate(fails, earlier, '')) < length(fails) AS gone FROM c, steps),
+r AS (SELECT part, o, s, l, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = l THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM met GROUP BY part, o, s, l)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op13_filter_interaction_audit", AUDIT_SQL)
+def op13_filter_interaction_audit(t):
+    return filter_audit.audit(t("documents", "doc_id", "text", "source"), t("labels", "doc_id", "quality", "toxic"))
