@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import exact_dedup, filter_audit, html_text, language, language_model, mixing, ngram_join, packing, quality, sharding, toxicity
+from plenum.llm import exact_dedup, filter_audit, html_text, language, language_model, mixing, ngram_join, packing, quality, repair, sharding, toxicity
 from plenum.plans.tables import Tables
 from plenum.session import split_skewed_joins
 
@@ -128,6 +128,63 @@ def op10_exact_dedup(t):
     return exact_dedup.exact_duplicates(t("documents", "doc_id", "text"))
 
 
+REPAIR_SQL = """
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ord(c)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS code
+  FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN code = 0 THEN [] WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM damaged),
+seen AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS is_copy,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS is_cut,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair FROM placed),
+flagged AS (SELECT *, coalesce(conv_id, -1) AS conv, is_blank OR is_copy AS must, is_cut AND NOT is_blank AND NOT is_copy AS cut,
+    CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS initial FROM seen),
+moves(state, ins, inserted, via) AS (VALUES (0, '', [], 0), (0, 'I', ['user:'], 2), (0, 'II', ['user:', 'assistant:'], 3),
+  (1, '', [], 1), (1, 'I', ['user:'], 2), (1, 'II', ['user:', 'assistant:'], 3),
+  (2, '', [], 2), (2, 'I', ['assistant:'], 3), (2, 'II', ['assistant:', 'user:'], 2),
+  (3, '', [], 3), (3, 'I', ['user:'], 2), (3, 'II', ['user:', 'assistant:'], 3)),
+acts AS (SELECT *, unnest(['D', 'K', 'R']) AS act, CASE WHEN via = 2 THEN 3 ELSE 2 END AS following FROM moves),
+sizes AS (SELECT conv, max(pos) AS rows FROM flagged GROUP BY conv),
+paths AS (
+  SELECT conv, 0::BIGINT AS pos, 0 AS state, {'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS best FROM sizes
+  UNION ALL
+  SELECT conv, pos, state, min(best) FROM (
+    SELECT p.conv, p.pos + 1 AS pos, CASE act WHEN 'D' THEN via WHEN 'K' THEN initial ELSE following END AS state,
+      {'cost': best.cost + 2 * length(ins) + CASE act WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+         + CASE WHEN act <> 'D' AND cut THEN 1 ELSE 0 END,
+       'audit': best.audit || ins || act,
+       'lines': best.lines || CAST(inserted AS VARCHAR[]) || CASE act WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [role || ':' || text]
+         ELSE [CASE following WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END} AS best
+    FROM paths p JOIN flagged f ON f.conv = p.conv AND f.pos = p.pos + 1 JOIN acts a ON a.state = p.state
+    WHERE act = 'D' OR (NOT must AND (act = 'R' OR initial = following OR (initial = 1 AND via = 0))))
+  GROUP BY conv, pos, state),
+ended AS (SELECT p.conv, min({'cost': best.cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END,
+    'audit': best.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'lines': best.lines || CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE CAST([] AS VARCHAR[]) END}) AS best
+  FROM paths p JOIN sizes s ON p.conv = s.conv AND p.pos = s.rows GROUP BY p.conv),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_copy AND NOT is_blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (pos > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flagged GROUP BY conv)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id, -1) AS conv FROM conversations) c
+LEFT JOIN counts n ON c.conv = n.conv LEFT JOIN ended e ON c.conv = e.conv
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(t):
+    return repair.repair(t("conversations", "conv_id", "turn", "role", "text"))
+
+
 AUDIT_SQL = """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
 w AS (SELECT *, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY body) AS least FROM d),
