@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import exact_dedup, filter_audit, html_text, language, language_model, mixing, ngram_join, packing, quality, repair, sharding, toxicity
+from plenum.llm import exact_dedup, filter_audit, html_text, language, language_model, mixing, ngram_join, packing, quality, repair, sharding, toxicity, url_filter
 from plenum.plans.tables import Tables
 from plenum.session import split_skewed_joins
 
@@ -128,6 +128,21 @@ def op10_exact_dedup(t):
     return exact_dedup.exact_duplicates(t("documents", "doc_id", "text"))
 
 
+# Fixed values.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query("op11_url_filters")
+def op11_url_filters(t):
+    return url_filter.verdicts(t("pages", "page_id", "url", "html"), URL_RULES)
+
+
 REPAIR_SQL = """
 WITH RECURSIVE drawn AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
