@@ -31,3 +31,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if moved.filter("_old <> component").isEmpty():
             return moved.drop("_old")
         state = moved.drop("_old")
+
+
+def joined_components(labels: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``labels`` (node, component) after more links. Only the components that the new links
+    join are worked on; nodes without a label join with their own name."""
+    left = labels.select(F.col("node").alias(a), F.col("component").alias("_a"))
+    right = labels.select(F.col("node").alias(b), F.col("component").alias("_b"))
+    named = links.join(left, a, "left").join(right, b, "left")
+    named = named.select(a, b, F.coalesce("_a", a).alias("_a"), F.coalesce("_b", b).alias("_b"))
+    named = materialize(named, "new_links")
+    moved = components(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    moved = moved.select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    nodes = labels.union(named.select(a, "_a")).union(named.select(b, "_b")).distinct()
+    found = nodes.join(moved, F.col("component") == F.col("_old"), "left")
+    return materialize(found.select("node", F.coalesce("_new", "component").alias("component")), "components")

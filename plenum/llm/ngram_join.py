@@ -11,12 +11,18 @@ one of them finds every partner. So a set is indexed under the subset of its shi
 segment that is not empty, in its own band and in the next; in bands of small sets also under
 each subset less one shingle.
 
-Allocation by cost: buckets shared by more than ``HEAVY`` sets are dear. A set that still has
-H + 1 units without them leaves them out; m is chosen so that most have. Only for sets that
-cannot (groups of near copies, mostly) are dear buckets read: members are compared with the
-member that shares most with the others, again after members found in one component have
-dropped out, and what is left after ``PIVOTS`` rounds is compared pair by pair, so no link
-between components is lost. Sets that agree completely are one set from the start.
+Allocation by cost: buckets shared by more than ``HEAVY`` sets are dear and never read. A set
+that still has H + 1 units without them finds every partner; m is chosen so that most have.
+A link can be missed only between two sets that are both short of units (members of large
+groups of near copies, and texts that are mostly common passages). Among these, signatures
+are single shingles: each set is listed under its rarest ones, one more than it may lack of a
+partner's, so that two linked sets meet there and common passages, which are not rare, bring
+nobody together. Lists of at most ``HEAVY`` sets are compared pair by pair. In longer ones
+members are compared with representatives, those that share most with the others, unless
+both are in one component already; a list is closed once all its members are in one component
+or have met as representatives, whose number doubles from round to round. So a group of
+near copies costs a few comparisons a member, and no link between components is lost. Sets
+that agree completely are one set from the start.
 
 Every candidate pair is verified on the whole sets. Defined results: NULL texts and texts
 without words have no shingles and no links; texts of fewer than five words have one; rows
@@ -29,13 +35,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.arrow import map_batches, mix, numbers, shingle_hashes, slices, text_bytes, word_hashes, word_spans
-from plenum.llm.components import components
+from plenum.llm.components import components, joined_components
 from plenum.operators.skew import grouped_for_join
-from plenum.session import materialize
+from plenum.session import materialize, release
 
 SIZE = 5
 NUM, DEN = 3, 4  # the threshold
@@ -43,7 +49,7 @@ SMALL = 40  # sets up to this size are also indexed less one shingle
 SMALL_SEGMENTS = 4096
 SLACK, SPARE = 1.25, 12
 HEAVY = 8
-PIVOTS = 3
+RARITY_BITS = 20
 GROUP_ROWS = 2_000_000
 SIG_BITS = 40
 PIECE_BYTES = 4 << 20  # texts whose sets are in memory at once
@@ -229,7 +235,7 @@ def index(docs: DataFrame, text: str, groups: int) -> DataFrame:
         head = np.ones(len(of), bool)
         head[1:] = (of[1:] != of[:-1]) | (group[1:] != group[:-1]) | (info[1:] != info[:-1])
         begin = np.flatnonzero(head)
-        size = np.diff(np.append(begin, len(of))).astype(np.uint16)
+        size = np.diff(np.append(begin, len(of))).astype(np.uint32)
         starts = np.searchsorted(group, np.arange(groups + 1))
         blocks = np.searchsorted(begin, starts)
         packed = np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SIG_BITS // 8])
@@ -239,7 +245,7 @@ def index(docs: DataFrame, text: str, groups: int) -> DataFrame:
             "part": rows,
             "sets": [name[of[b]].astype("<u8").tobytes() for b in heads],
             "infos": [info[b].tobytes() for b in heads],
-            "sizes": [size[blocks[g] : blocks[g + 1]].astype("<u2").tobytes() for g in rows],
+            "sizes": [size[blocks[g] : blocks[g + 1]].astype("<u4").tobytes() for g in rows],
             "sigs": [packed[starts[g] : starts[g + 1]].tobytes() for g in rows],
         }
 
@@ -248,12 +254,13 @@ def index(docs: DataFrame, text: str, groups: int) -> DataFrame:
 
 def buckets(entries: DataFrame, heavy: int) -> DataFrame:
     """Rows (a, b, info, shared): pairs of sets in buckets of at most ``heavy`` sets, with how
-    many they share (info is NULL), and (set, bucket, info) for the members of larger ones."""
+    many they share (info is NULL), and for sets in larger ones how many of each info they
+    are in (b is NULL)."""
 
     def work(table: pa.Table) -> pa.Table:
         sets = np.concatenate([np.frombuffer(x, "<u8") for x in table["sets"].to_pylist()])
         infos = np.concatenate([np.frombuffer(x, np.uint8) for x in table["infos"].to_pylist()])
-        sizes = np.concatenate([np.frombuffer(x, "<u2") for x in table["sizes"].to_pylist()]).astype(np.int64)
+        sizes = np.concatenate([np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]).astype(np.int64)
         raw = np.concatenate([np.frombuffer(x, np.uint8) for x in table["sigs"].to_pylist()]).reshape(-1, SIG_BITS // 8)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, : SIG_BITS // 8] = raw
@@ -287,14 +294,13 @@ def buckets(entries: DataFrame, heavy: int) -> DataFrame:
         both = np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1)
         pairs, shared = np.unique(both, axis=0, return_counts=True)
         large = np.isin(sig, sig[new][begin[size > heavy]]) & each
-        part = np.uint64(table["part"][0].as_py())
-        bucket = mix(sig[large] + (part << np.uint64(SIG_BITS)))
+        dear, held = np.unique(np.stack([own[large], info[large].astype(np.uint64)], axis=1), axis=0, return_counts=True)
         return pa.table(
             {
-                "a": pa.array(np.concatenate([pairs[:, 0], own[large].view(np.int64)])),
-                "b": pa.array(np.concatenate([pairs[:, 1], bucket.view(np.int64)])),
-                "info": pa.array([None] * len(pairs) + info[large].tolist(), pa.int32()),
-                "shared": pa.array(np.concatenate([shared, np.zeros(int(large.sum()), np.int64)]), pa.int64()),
+                "a": pa.array(np.concatenate([pairs[:, 0], dear[:, 0].view(np.int64)])),
+                "b": pa.array(np.append(pairs[:, 1], np.zeros(len(dear), np.int64)), mask=np.arange(len(pairs) + len(dear)) >= len(pairs)),
+                "info": pa.array([None] * len(pairs) + dear[:, 1].tolist(), pa.int32()),
+                "shared": pa.array(np.concatenate([shared, held]), pa.int64()),
             }
         )
 
@@ -351,7 +357,7 @@ def similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return map_batches(sized.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
-def linked_sets(docs: DataFrame, base: DataFrame, text: str, heavy: int = HEAVY, pivots: int = PIVOTS) -> DataFrame:
+def linked_sets(docs: DataFrame, base: DataFrame, text: str, heavy: int = HEAVY) -> DataFrame:
     """(node, component) of the sets that link with another."""
     sets = materialize(
         base.filter("n > 0").groupBy("set").agg(*[F.first(c).alias(c) for c in base.columns if c not in (base.columns[0], "set")]),
@@ -362,47 +368,28 @@ def linked_sets(docs: DataFrame, base: DataFrame, text: str, heavy: int = HEAVY,
     found = materialize(buckets(index(docs, text, int(groups)), heavy), "buckets")
     light = found.filter("info is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     costs = materialize(_costs(found.filter("info is not null"), sets), "costs")
-    dear = materialize(_dear(found.filter("info is not null"), costs), "dear")
     size_a, size_b = sets.select(F.col("set").alias("a"), F.col("n").alias("na")), sets.select(F.col("set").alias("b"), F.col("n").alias("nb"))
-
-    def near_in_size(pairs):
-        fits = f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)"
-        return pairs.join(size_a, "a").join(size_b, "b").filter(fits).select("a", "b")
-
-    first = near_in_size(_sharing(light, sets, costs)).union(_thin(sets, near_in_size))
+    first = _sharing(light, sets, costs).join(size_a, "a").join(size_b, "b").filter(NEAR_IN_SIZE).select("a", "b")
     first = materialize(first.distinct(), "pairs")
-    wanted = first.select(F.col("a").alias("set")).union(first.select("b")).union(dear.select("set")).distinct()
+    release(found)
+    short = materialize(_short(sets, costs), "short")
+    wanted = first.select(F.col("a").alias("set")).union(first.select("b")).union(short).distinct()
     tokens = materialize(token_table(docs, text, materialize(wanted, "wanted")), "tokens")
-    links = materialize(similar(first, tokens), "verified")
-    tried = first
-    for turn in range(pivots + 1):
-        if dear.isEmpty():
-            break
-        labels = components(links)
-        named = dear.join(labels.withColumnRenamed("node", "set"), "set", "left")
-        named = named.withColumn("component", F.coalesce("component", "set"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        named = named.join(open_.filter("lo <> hi").select("bucket"), "bucket")
-        if turn < pivots:
-            pairs, dear = _pivot(named)
-        else:
-            pairs, dear = _rest(named), dear.limit(0)
-        pairs = near_in_size(pairs.distinct()).join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        links = materialize(links.union(similar(pairs, tokens)), "verified")
-        tried = tried.union(pairs)
-        dear = materialize(dear, "dear") if turn < pivots else dear
-    return components(links)
+    labels = components(materialize(similar(first, tokens), "verified"))
+    release(first, costs, sets)
+    return _rest_linked(tokens.join(short, "set", "left_semi"), labels, heavy)
+
+
+NEAR_IN_SIZE = f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)"
 
 
 def _costs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(set, role, left, need, floor): units that a set has outside dear buckets and those it
     needs, in its own band (role 0) and in the next, and how many buckets that are not dear
     it shares at least with a partner: all its segments but H agree."""
-    dear = rows.select(F.col("a").alias("set"), F.col("b").alias("bucket"), "info").distinct()
     less = F.col("info").bitwiseAND(2) > 0
-    lost = dear.groupBy("set", F.col("info").bitwiseAND(1).alias("role")).agg(
-        F.sum(F.when(less, 0).otherwise(1)).alias("x"), F.sum(F.when(less, 1).otherwise(0)).alias("v")
+    lost = rows.groupBy(F.col("a").alias("set"), F.col("info").bitwiseAND(1).alias("role")).agg(
+        F.sum(F.when(less, 0).otherwise(F.col("shared"))).alias("x"), F.sum(F.when(less, F.col("shared")).otherwise(0)).alias("v")
     )
     lost = lost.join(sets, "set")
     pick = lambda c: F.when(F.col("role") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
@@ -413,6 +400,100 @@ def _costs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _short(sets: DataFrame, costs: DataFrame) -> DataFrame:
+    """The sets that lack units: without dear buckets, or from the start."""
+    thin = sets.filter("e0 + d0 < need0 or e1 + d1 < need1")
+    return costs.filter("left < need").select("set").union(thin.select("set")).distinct()
+
+
+def _rarity(tokens: DataFrame) -> np.ndarray:
+    """How often shingles occur, in ``2 ** RARITY_BITS`` slots whatever the input. Any order
+    of shingles finds all links; this one makes shingles rare that few sets have."""
+
+    def run(batch):
+        held = np.concatenate([np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist()] or [np.zeros(0, "<u8")])
+        slot, n = np.unique(held >> np.uint64(64 - RARITY_BITS), return_counts=True)
+        yield {"slot": slot.astype(np.int32), "n": n}
+
+    counts = map_batches(tokens.select("tokens"), run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(1 << RARITY_BITS, np.int64)
+    table[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return table
+
+
+def _prefixes(tokens: DataFrame) -> DataFrame:
+    """(bucket, set, n, place): the rarest shingles of each set, one more than it can lack
+    of a partner's, so that linked sets share one of them."""
+    shared = tokens.sparkSession.sparkContext.broadcast(_rarity(tokens))
+
+    def run(batch):
+        table = shared.value
+        rows = [[], [], [], []]
+        for set_, x in zip(batch.column("set").to_pylist(), batch.column("tokens").to_pylist()):
+            own = np.frombuffer(x, "<u8")
+            order = np.lexsort((own, table[(own >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))
+            count = len(own) - -(-NUM * len(own) // DEN) + 1
+            for column, value in zip(rows, (own[order[:count]].view(np.int64), np.full(count, set_), np.full(count, len(own)), np.arange(count))):
+                column.append(value)
+        if rows[0]:
+            yield dict(zip(("bucket", "set", "n", "place"), map(np.concatenate, rows)))
+
+    return map_batches(tokens, run, "bucket bigint, `set` bigint, n bigint, place bigint")
+
+
+def _rest_linked(tokens: DataFrame, labels: DataFrame, heavy: int) -> DataFrame:
+    """``labels`` joined up by the links among the sets that were short of units."""
+    tokens = materialize(tokens, "short_tokens")
+    entries = materialize(_prefixes(tokens), "prefixes")
+    sizes = grouped_for_join(entries, ["bucket"], F.count("*").alias("size")).filter("size > 1")
+    sized = materialize(entries.join(sizes, "bucket"), "prefix_buckets")
+    release(entries)
+    small = sized.filter(F.col("size") <= heavy).drop("size")
+    other = small.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("set", "n", "place")])
+    met = small.join(other, "bucket").filter(F.col("set") < F.col("_set")).filter(_can_link())
+    pairs = materialize(met.select(F.col("set").alias("a"), F.col("_set").alias("b")).distinct(), "pairs")
+    labels = joined_components(labels, similar(pairs, tokens))
+    dear = sized.filter(F.col("size") > heavy)
+    weight = grouped_for_join(dear, ["set"], F.sum("size").alias("weight"))
+    dear = materialize(dear.drop("size").join(weight, "set"), "dear")
+    release(sized)
+    pivots, tried = 1, pairs
+    while True:
+        named = dear.join(labels.withColumnRenamed("node", "set"), "set", "left")
+        named = named.withColumn("component", F.coalesce("component", "set"))
+        spread = grouped_for_join(named, ["bucket"], F.min("component").alias("lo"), F.max("component").alias("hi"))
+        named = materialize(named.join(spread.filter("lo <> hi").select("bucket"), "bucket"), "named")
+        release(dear)
+        if named.isEmpty():
+            return labels
+        pairs, dear = _pivoted(named, pivots)
+        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        dear = materialize(dear, "dear")
+        release(named)
+        labels = joined_components(labels, similar(pairs, tokens))
+        tried = tried.union(pairs)
+        pivots *= 2
+
+
+def _can_link() -> Column:
+    """Whether two sets of a bucket can link, if this is the first shingle that they share:
+    by their sizes and by what lies behind it in each."""
+    behind = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
+    fits = NUM * F.greatest("n", "_n") <= DEN * F.least("n", "_n")
+    return fits & ((NUM + DEN) * behind >= NUM * (F.col("n") + F.col("_n")))
+
+
+def _pivoted(named: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each open bucket's pivots, its members of most weight, with members of other
+    components; and the buckets without them. What the pivots have met need not meet again."""
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "set")))
+    best = ranked.filter(F.col("rank") <= pivots).drop("weight", "rank")
+    other = best.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("set", "n", "place", "component")])
+    met = named.join(other, "bucket").filter("component <> _component").filter(_can_link())
+    pairs = met.select(F.least("set", "_set").alias("a"), F.greatest("set", "_set").alias("b"))
+    return pairs, named.drop("component").join(best.select("bucket", "set"), ["bucket", "set"], "left_anti")
+
+
 def _sharing(light: DataFrame, sets: DataFrame, costs: DataFrame) -> DataFrame:
     """The pairs that share as many buckets as links must. The smaller set counts, in its own
     band or, if that shares fewer, in the next, whichever asks for less."""
@@ -430,61 +511,12 @@ def _sharing(light: DataFrame, sets: DataFrame, costs: DataFrame) -> DataFrame:
     return light.filter(F.col("shared") >= F.coalesce(least, F.least("fa", "fb"))).select("a", "b")
 
 
-def _dear(rows: DataFrame, costs: DataFrame) -> DataFrame:
-    """(bucket, set, probes, weight): the dear buckets that some set needs, with all their
-    members; ``weight`` is how many sets a member meets in all of them."""
-    rows = rows.select(F.col("a").alias("set"), F.col("b").alias("bucket"), "info").distinct()
-    lacking = costs.filter("left < need").select("set", "role").withColumn("probes", F.lit(True))
-    marked = rows.withColumn("role", F.col("info").bitwiseAND(1)).join(lacking, ["set", "role"], "left")
-    marked = marked.groupBy("bucket", "set").agg(F.max(F.coalesce("probes", F.lit(False))).alias("probes"))
-    sizes = marked.groupBy("bucket").agg(F.max("probes").alias("_read"), F.count("*").alias("_size"))
-    kept = marked.join(sizes.filter("_read").drop("_read"), "bucket")
-    weight = kept.groupBy("set").agg(F.sum("_size").alias("weight"))
-    return kept.drop("_size").join(weight, "set").select("bucket", "set", "probes", "weight")
-
-
-def _thin(sets: DataFrame, near_in_size) -> DataFrame:
-    """Pairs for sets that have too few segments that are not empty, whatever the cost; such
-    sets hardly occur. They meet every set of near size, by equal band."""
-    parts = []
-    for role in (0, 1):
-        short = sets.filter(f"e{role} + d{role} < need{role}").select(F.col("set").alias("a"), F.col("n").alias("_n"))
-        parts.append(short)
-    short = materialize(parts[0].union(parts[1]).distinct(), "thin")
-    if short.isEmpty():
-        return sets.sparkSession.createDataFrame([], "a bigint, b bigint")
-    sizes = F.sequence(F.ceil(F.col("_n") * NUM / DEN).cast("bigint"), F.floor(F.col("_n") * DEN / NUM).cast("bigint"))
-    spread = short.select("a", F.explode(sizes).alias("n"))
-    pairs = spread.join(sets.select(F.col("set").alias("b"), "n"), "n").filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _pivot(named: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each open bucket's pivot, its member of most weight, with members of other
-    components; and the buckets without it."""
-    best = named.groupBy("bucket").agg(F.max(F.struct("weight", "set", "component")).alias("p"))
-    met = named.join(best, "bucket").filter("set <> p.set")
-    pairs = met.filter("component <> p.component").select(
-        F.least("set", "p.set").alias("a"), F.greatest("set", "p.set").alias("b")
-    )
-    # The pivot has met all members and leaves; a member whose component holds others of the
-    # bucket stays, since it may still link with a third.
-    return pairs, met.select("bucket", "set", "probes", "weight")
-
-
-def _rest(named: DataFrame) -> DataFrame:
-    """Pairs of different components in which one probes, in blocks of a bucket."""
-    other = named.select("bucket", F.col("set").alias("_set"), F.col("component").alias("_component"), F.col("probes").alias("_probes"))
-    pairs = named.join(other, "bucket").filter("set < _set and component <> _component and (probes or _probes)")
-    return pairs.select(F.col("set").alias("a"), F.col("_set").alias("b"))
-
-
-def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", heavy: int = HEAVY, pivots: int = PIVOTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """Per row: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by
     links, its own included."""
     docs = docs.select(id_, text)
     base = materialize(describe(docs, id_, text), "sets")
-    labels = linked_sets(docs, base, text, heavy, pivots)
+    labels = linked_sets(docs, base, text, heavy)
     known = labels.select(F.col("node").alias("set"), "component")
     named = base.select(id_, "n", "set").join(known, "set", "left").withColumn("component", F.coalesce("component", "set"))
     named = materialize(named, "named")

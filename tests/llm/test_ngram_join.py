@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plenum.llm import ngram_join as nj
-from plenum.llm.components import components
+from plenum.llm.components import components, joined_components
 from plenum.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -71,12 +71,12 @@ def near_texts(seed, groups=6, copies=25):
     return texts
 
 
-@pytest.mark.parametrize("seed, heavy, pivots", [(0, 8, 3), (1, 3, 1), (2, 2, 0)])
-def test_links_are_those_of_all_pairs(spark, documents, seed, heavy, pivots):
-    """Also where most buckets are dear, so that pivots and the rest must find the links."""
+@pytest.mark.parametrize("seed, heavy", [(0, 8), (1, 3), (2, 1)])
+def test_links_are_those_of_all_pairs(spark, documents, seed, heavy):
+    """Also where most buckets are dear, so that representatives must find the links."""
     df = documents(near_texts(seed))
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    assert got(nj.near_duplicates(df, heavy=heavy, pivots=pivots)) == brute(rows)
+    assert got(nj.near_duplicates(df, heavy=heavy)) == brute(rows)
 
 
 def test_awkward(spark, documents):
@@ -124,6 +124,22 @@ def test_shingle_sets_of_slices():
     assert np.bincount(owner, minlength=5).tolist() == [len(shingles(t)) for t in texts]
 
 
+def test_very_long_texts(spark, documents):
+    """More shingles than 16 bits count, in one segment group and in all."""
+    long = " ".join(f"w{k}" for k in range(2_500_000))
+    df = documents([long, long + " and a few words more", "w1 w2 w3 w4 w5 w6"], extra=False, ids=[3, 4, 5])
+    found = got(nj.near_duplicates(df))
+    assert found == Counter([(3, 2_499_996, 3), (4, 2_500_001, 3), (5, 2, 5)])
+
+
+def test_joined_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9), (10, 9)], "node bigint, component bigint")
+    links = spark.createDataFrame([(2, 6), (6, 20), (21, 22)], "a bigint, b bigint")
+    found = dict(map(tuple, joined_components(labels, links).collect()))
+    assert found == {1: 1, 2: 1, 5: 1, 6: 1, 20: 1, 9: 9, 10: 9, 21: 21, 22: 21}
+    assert joined_components(labels, links.limit(0)).count() == 6
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, 101), (103, 101), (7, 7), (200, 199)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
