@@ -5,13 +5,13 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
+import __spark_entry__  # noqa: F401  registers the queries
 from plenum.operators import joins, scoring
+from plenum.plans.registry import QUERIES
 from plenum.sources import merge
 from plenum.sources.io import seed
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
 
 # One-row results, and the starts of the id buckets (at most 4096 rows).
 MEETS_IN_ONE_TASK = {
