@@ -202,7 +202,8 @@ def verdicts(
     odds, before = token_odds(learnt, given, seeds)
 
     scored = named.select("kind", "run").distinct().join(tokens, "run").join(odds, ["kind", "word"])
-    scored = grouped_for_join(scored, ["kind", "run"], F.sum("odds").alias("odds"))
+    # Written, so that both sides of the next join are shuffled for it and a hot run is split.
+    scored = materialize(scored.groupBy("kind", "run").agg(F.sum("odds").alias("odds")), "scored")
     judged = grouped_for_join(named.join(scored, ["kind", "run"]), ["host", "path"], F.sum("odds").alias("odds"))
     open_ = rest.join(judged, ["host", "path"], "left").withColumn("odds", F.coalesce("odds", F.lit(0)) + before)
     open_ = open_.withColumn("verdict", F.when(F.col("odds") > 0, "block").otherwise("allow"))
