@@ -1,13 +1,12 @@
 """Exact cosine search over embeddings: one query, many queries, classification.
 
-Joining many queries with many vectors works on cells. A sample of vectors serves
-as cell centres; each vector lies in the cell of its nearest centre, and a cell
-knows how far its members reach. By the triangle inequality a query needs a cell
-only if ``distance(query, centre) - reach`` is within the distance it is looking
-for, so far cells are never compared and the result is still exact. Small cells
-share a bin, so that a query is sent to few places; a bin with many members is cut
-into blocks, and many queries for one bin into groups. One task compares one group
-with one block and returns the best matches only.
+Joining many queries with many vectors works on the cells of a metric tree, whose
+number grows with the square root of the vectors. Ball, hyperplane and group bounds
+tell which cells can hold what a query is looking for; the others are never
+compared, and the result is still exact. Small cells share a bin, so that a query
+is sent to few places; a bin with many members is cut into blocks, and many queries
+for one bin into groups. One task compares one group with one block and returns the
+best matches only.
 """
 
 from __future__ import annotations
@@ -17,22 +16,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from plenum.functions.vector import distance_to
+from plenum.operators import metric_tree
+from plenum.operators.components import connected_components
+from plenum.operators.metric_tree import unit_rows
 from plenum.operators.windows import top_per_key
-from plenum.session import materialize
+from plenum.session import materialize, release
 from plenum.sources.io import seed
 
-MAX_CELLS = 256
 # Rows of either side that one task compares at a time.
 BLOCK_ROWS = 4096
-# Slack for rounding when distances are compared with cell reaches.
-SLACK = 1e-6
-UNEVEN = "vectors of different widths; dim_report counts them"
 
 
 def knn(
@@ -52,24 +49,6 @@ def embed_backlog(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.filter(F.col(vector).isNull())
 
 
-def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """An Arrow list column as a matrix of unit rows."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if len(pc.unique(pc.list_value_length(column))) != 1:
-        raise ValueError(UNEVEN)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = values.reshape(len(column), -1)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
-def _to_centres(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Euclidean distances between unit vectors."""
-    if vectors.shape[1] != centres.shape[1]:
-        raise ValueError(UNEVEN)
-    return np.sqrt(np.maximum(2.0 - 2.0 * vectors @ centres.T, 0.0))
-
-
 def _prepare(df: DataFrame, id_: str, vector: str) -> DataFrame:
     usable = F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
     return df.filter(usable).select(F.col(id_).alias("id"), F.col(vector).alias("vec"))
@@ -78,49 +57,49 @@ def _prepare(df: DataFrame, id_: str, vector: str) -> DataFrame:
 class Cells:
     """One side of a similarity join, arranged in cells."""
 
-    def __init__(self, df: DataFrame, block_rows: int = BLOCK_ROWS, max_cells: int = MAX_CELLS):
-        # Enough rows to fill all cells are enough to know; no full count is needed.
-        total = df.limit(max_cells**2).count()
-        wanted = max(1, math.isqrt(total))
-        # A bounded sample, the same on every run: the rows with the smallest digests.
-        sample = df.orderBy(F.md5(F.col("id").cast("string")), "id").limit(wanted).select("vec")
+    def __init__(self, df: DataFrame, block_rows: int = BLOCK_ROWS):
+        df = materialize(df, "vectors")
+        total = df.count()
         # Without any vectors there are no cells, and every query visits none.
-        self.centres = _unit_rows(sample.toArrow().column("vec")) if total else np.zeros((0, 0))
-        centres = self.centres
+        self.tree = metric_tree.grow(df, total, max(1, math.isqrt(total)))
+        self.block_rows, self.total, self.compared = block_rows, total, 0
+        cells = len(self.tree.centres)
+        self.sizes = np.zeros(cells, np.int64)
+        self.rows = self._placed(df)
+        # At most one row per cell comes to the driver.
+        found = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("reach"), F.min("gap").alias("inner"))
+        for row in found.collect():
+            self.sizes[row["cell"]] = row["n"]
+            self.tree.reach[row["cell"]], self.tree.inner[row["cell"]] = row["reach"], row["inner"]
+        release(df)
+        self.bins = self._share_bins()
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        """The vectors with their cell and the distance to its centre."""
+        shared = df.sparkSession.sparkContext.broadcast(self.tree)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                gaps = _to_centres(_unit_rows(batch.column("vec")), centres)
-                cell = gaps.argmin(axis=1)
+                cell, gap = shared.value.nearest(unit_rows(batch.column("vec")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("vec"), pa.array(cell, pa.int32()),
-                     pa.array(gaps[np.arange(len(cell)), cell], pa.float64())],
+                    [batch.column("id"), batch.column("vec"), pa.array(cell, pa.int32()), pa.array(gap, pa.float64())],
                     names=["id", "vec", "cell", "gap"],
                 )
 
         schema = StructType(list(df.schema.fields)).add("cell", IntegerType()).add("gap", DoubleType())
-        self.rows = materialize(df.mapInArrow(place, schema), "cells")
-        # At most one row per cell comes to the driver.
-        found = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("reach"))
-        cells = len(self.centres)
-        self.sizes, self.reach = np.zeros(cells, np.int64), np.full(cells, -np.inf)
-        for row in found.collect():
-            self.sizes[row["cell"]], self.reach[row["cell"]] = row["n"], row["reach"]
-        self.block_rows = block_rows
-        self.bins = self._share_bins()
+        return materialize(df.mapInArrow(place, schema), "cells")
 
     def _share_bins(self) -> np.ndarray:
-        """The bin of each cell: neighbours are put together up to a block of rows."""
+        """The bin of each cell: cells of a group are put together up to a block of rows."""
         bins, current, held = np.zeros(len(self.sizes), np.int64), 0, 0
-        if not len(bins):
-            return bins
-        for cell in np.argsort(_to_centres(self.centres, self.centres[:1])[:, 0], kind="stable"):
-            if held and held + self.sizes[cell] > self.block_rows:
-                current, held = current + 1, 0
-            bins[cell] = current
-            held += self.sizes[cell]
+        for members in self.tree.groups:
+            for cell in members:
+                if held and held + self.sizes[cell] > self.block_rows:
+                    current, held = current + 1, 0
+                bins[cell] = current
+                held += self.sizes[cell]
         return bins
 
     def route(self, queries: DataFrame, *, fill: int | None = None, bound: str | None = None,
@@ -131,26 +110,25 @@ class Cells:
         ``bound``: those of all cells that can hold a vector within the Euclidean
         distance in that column, except the bins already listed in column ``skip``.
         """
-        centres, sizes, reach, bins = self.centres, self.sizes, self.reach, self.bins
+        shared = queries.sparkSession.sparkContext.broadcast((self.tree, self.sizes, self.bins))
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, sizes, bins = shared.value
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                vectors = _unit_rows(batch.column("vec"))
-                gaps = _to_centres(vectors, centres) if len(centres) else np.zeros((len(vectors), 0))
-                if fill is not None:
-                    near = np.argsort(gaps, axis=1)
-                    held = np.cumsum(sizes[near], axis=1)
-                    stop = (held < fill).sum(axis=1) + 1
-                    chosen = [np.unique(bins[near[i, : stop[i]]]) for i in range(len(near))]
+                vectors = unit_rows(batch.column("vec"))
+                if not len(tree.centres):
+                    row, cell = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                elif fill is not None:
+                    row, cell = tree.filled(vectors, sizes, fill)
                 else:
-                    limit = batch.column(bound).to_numpy(zero_copy_only=False)[:, None]
-                    wanted = (gaps - reach <= limit + SLACK) & (sizes > 0)
-                    chosen = [np.unique(bins[row]) for row in wanted]
-                    if skip is not None:
-                        seen = batch.column(skip).to_pylist()
-                        chosen = [np.setdiff1d(c, s) for c, s in zip(chosen, seen, strict=True)]
+                    row, cell = tree.within(vectors, batch.column(bound).to_numpy(zero_copy_only=False))
+                pairs = np.unique(np.stack([row, bins[cell]], axis=1), axis=0)
+                chosen = np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, len(vectors))))
+                if skip is not None:
+                    seen = batch.column(skip).to_pylist()
+                    chosen = [np.setdiff1d(c, s) for c, s in zip(chosen, seen, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("vec"),
                      pa.array([c.tolist() for c in chosen], pa.list_(pa.int32()))],
@@ -170,6 +148,7 @@ class Cells:
         # At most one row per bin comes to the driver.
         load = {r["bin"]: r["count"] for r in visits.groupBy("bin").count().collect()}
         held = np.bincount(self.bins, weights=self.sizes).astype(np.int64)
+        self.compared += sum(n * int(held[b]) for b, n in load.items())
         plan = [
             (b, -(-int(held[b]) // self.block_rows), -(-n // self.block_rows))
             for b, n in load.items()
@@ -203,7 +182,7 @@ class Cells:
             else:
                 right = right.sort_by("id")
                 right_ids = right.column("id")
-                cos = _unit_rows(left.column("vec")) @ _unit_rows(right.column("vec")).T
+                cos = unit_rows(left.column("vec")) @ unit_rows(right.column("vec")).T
                 grid_ = np.round(1.0 - cos, digits) + 0.0
                 if skip_same:
                     at = {key: col for col, key in enumerate(right_ids.to_pylist())}
@@ -247,10 +226,13 @@ def knn_join(
     skip_same: bool = False,
     digits: int = 6,
     block_rows: int = BLOCK_ROWS,
+    report: dict | None = None,
 ) -> DataFrame:
     """For every left row the ``k`` nearest right rows: ``left_id, right_id,
     distance, position``. Exact; ties go to the smaller id. ``skip_same`` leaves out
-    the row with the same id, for joining a table with itself.
+    the row with the same id, for joining a table with itself. ``report`` is given
+    ``compared``, how many pairs of vectors are compared, and ``vectors``, how many
+    there are on the right.
 
     The nearest cells that hold enough vectors give each query a first answer; its
     k-th distance then decides which other cells could still improve on it.
@@ -274,6 +256,8 @@ def knn_join(
     )
     rest = cells.route(asked, bound="bound", skip="seen")
     far = cells.compare(rest, **options)
+    if report is not None:
+        report.update(compared=cells.compared, vectors=cells.total)
     return top_per_key(near.unionByName(far), ["left_id"], order, k, "position")
 
 
@@ -316,16 +300,17 @@ def classify(
 
 
 def concept_groups(
-    sections: DataFrame, k: int, *, id_: str, vector: str = "embedding", seed: int = 17,
-    name: str = "concept_group",
+    sections: DataFrame, limit: float, *, id_: str, vector: str = "embedding", name: str = "concept_group",
+    digits: int = 6, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Cluster sections by direction of their vectors; each section is in exactly
-    one group."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = sections.filter(F.col(vector).isNotNull()).select(
-        id_, array_to_vector(F.col(vector).cast("array<double>")).alias("features")
+    """``id_, name``: sections that a chain of steps of at most ``limit`` in cosine distance
+    joins form a group, named by its smallest id. Every section is in exactly one group;
+    those without a vector, or with a zero vector, are groups of their own. Rows repeated
+    with their id are one section; rows without an id are left out."""
+    sections = sections.select(id_, vector).filter(F.col(id_).isNotNull())
+    links = within_distance(
+        sections, sections, limit, left_id=id_, right_id=id_, left_vector=vector, right_vector=vector,
+        digits=digits, block_rows=block_rows,
     )
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", predictionCol=name).fit(points)
-    return model.transform(points).select(id_, name)
+    nodes = sections.select(id_).distinct()
+    return connected_components(nodes, links, node=id_, a="left_id", b="right_id", name=name)

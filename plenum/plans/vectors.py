@@ -116,6 +116,13 @@ def embed_backlog(t):
     return similarity.embed_backlog(rows).select("doc_id", "lang")
 
 
-@query("concept_groups")
+@query(
+    "concept_groups",
+    """WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON
+        round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) <= 0.52),
+    reached AS (SELECT DISTINCT vec_id AS a, vec_id AS b FROM embeddings
+      UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+    SELECT a AS vec_id, min(b) AS concept_group FROM reached GROUP BY a""",
+)
 def concept_groups(t):
-    return similarity.concept_groups(t("embeddings", "vec_id", "embedding"), 8, id_="vec_id")
+    return similarity.concept_groups(t("embeddings", "vec_id", "embedding"), 0.52, id_="vec_id")

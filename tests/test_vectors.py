@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenum.functions.vector import cosine_distance, distance_to
-from plenum.operators import similarity
+from plenum.operators import metric_tree, similarity
+from plenum.operators.components import connected_components
 
 
 def vectors(spark, n, seed, clusters=6, width=8):
@@ -94,8 +95,60 @@ def test_knn_orders_and_filters(spark, rows):
     assert [r[0] for r in rows(only, "id")] == [2, 3]
 
 
-def test_each_section_in_one_group(spark):
-    df, _ = vectors(spark, 120, 6)
-    groups = similarity.concept_groups(df, 4, id_="id")
-    assert groups.count() == groups.select("id").distinct().count() == 120
-    assert groups.select("concept_group").distinct().count() <= 4
+def test_concept_groups_are_components_of_near_sections(spark):
+    df, points = vectors(spark, 150, 6)
+    rows = [(900, None), (901, [0.0] * 8), (902, [0.0] * 8), (3, [float(x) for x in points[3]]), (None, [1.0] * 8)]
+    df = df.unionByName(spark.createDataFrame(rows, df.schema))
+    near = brute(points, points) <= 0.02
+    group = list(range(150))
+    for _ in range(150):
+        group = [min(group[j] for j in np.flatnonzero(near[i])) for i in range(150)]
+    got = similarity.concept_groups(df, 0.02, id_="id", block_rows=20).collect()
+    assert sorted(map(tuple, got)) == sorted([*enumerate(group), (900, 900), (901, 901), (902, 902)])
+    assert 3 < len(set(group)) < 150
+    assert similarity.concept_groups(df.limit(0), 0.02, id_="id").count() == 0
+    assert similarity.concept_groups(df.filter("id > 899"), 0.02, id_="id").count() == 3
+
+
+def test_clustered_vectors_are_mostly_never_compared(spark):
+    df, points = vectors(spark, 4000, 9, clusters=60, width=16)
+    df = df.filter("id < 1333 or id >= 2000")  # without the many equal ones
+    report = {}
+    pairs = similarity.knn_join(df, df, 3, left_id="id", right_id="id", skip_same=True, block_rows=64, report=report)
+    ids = np.array([i for i in range(4000) if not 1333 <= i < 2000])
+    distances = brute(points[ids], points[ids])
+    np.fill_diagonal(distances, 9)
+    want = {(int(ids[i]), int(ids[j])) for i, row in enumerate(distances) for j in np.lexsort((ids, row))[:3]}
+    assert {(r["left_id"], r["right_id"]) for r in pairs.collect()} == want
+    assert report["vectors"] == len(ids) and report["compared"] < 0.25 * len(ids) ** 2
+
+
+def test_tree_bounds_never_lose_a_vector():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(900, 5))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    tree = metric_tree.Tree(points[:30])
+    cell, gap = tree.nearest(points)
+    every = metric_tree.gaps(points, tree.centres)
+    assert (cell == every.argmin(axis=1)).all() and np.allclose(gap, every.min(axis=1))
+    for c in range(30):
+        tree.reach[c], tree.inner[c] = gap[cell == c].max(), gap[cell == c].min()
+    row, found = tree.within(points, np.full(900, 0.3))
+    visited = set(zip(row.tolist(), found.tolist()))
+    near = np.argwhere(metric_tree.gaps(points, points) <= 0.3)
+    assert all((i, cell[j]) in visited for i, j in near.tolist())
+    assert len(visited) < 900 * 30 / 2
+    row, found = tree.filled(points, np.bincount(cell, minlength=30), 50)
+    held = np.zeros(900, np.int64)
+    np.add.at(held, row, np.bincount(cell, minlength=30)[found])
+    assert (held >= 50).all()
+
+
+def test_components_of_chains_and_stars(spark):
+    nodes = spark.createDataFrame([(i,) for i in [*range(60), 100, 101, 102, 5, None]], "n long")
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (41, 41), (50, 777), (None, 3), (777, 51)]
+    df = spark.createDataFrame(links, "a long, b long")
+    found = connected_components(nodes, df, node="n", a="a", b="b").collect()
+    want = {i: 0 if i <= 40 else i for i in range(60)} | {100: 100, 101: 100, 102: 100}
+    assert sorted(map(tuple, found), key=repr) == sorted([*want.items(), (5, 0), (None, None)], key=repr)
+    assert connected_components(nodes, df.limit(0), node="n", a="a", b="b").filter("component <> n").count() == 0
