@@ -38,11 +38,15 @@ def stream_upsert(t):
     HAVING bool_or(event_type = 'click' AND value > 150) AND bool_or(event_type = 'view')""",
 )
 def stream_ready(t):
+    """The events arrive in four micro-batches; each user is emitted once."""
     sink, checkpoint = folders(t)
+    arrived = f"{sink}-in"
+    t("events", "event_id", "user_id", "event_type", "value").repartition(4, "event_id").write.parquet(arrived)
+    events = jobs.file_stream(t.spark, arrived, "event_id bigint, user_id bigint, event_type string, value double", files_per_batch=1)
     vote = (F.col("event_type") == "click") & (F.col("value") > 150)
     kind = F.when(vote, "votes").when(F.col("event_type") == "view", "analysis").otherwise("none")
-    jobs.stream_ready(stream(t), sink, checkpoint, "user_id", kind, ["votes", "analysis"]).awaitTermination()
-    return jobs.read_ready(t.spark, sink, "user_id bigint")
+    jobs.stream_ready(events, sink, checkpoint, "user_id", kind, ["votes", "analysis"]).awaitTermination()
+    return jobs.read_ready(t.spark, sink, "user_id bigint").select("user_id")
 
 
 STAGES = ["signup", "view", "click", "purchase"]

@@ -8,11 +8,14 @@ State is one small row per key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from plenum.functions.scalar import as_column
@@ -76,19 +79,67 @@ def read_upserted(
 
 
 def stream_ready(
-    stream: DataFrame, sink: str, checkpoint: str, key: str, kind: str | Column, kinds: Sequence[str]
+    stream: DataFrame, sink: str, checkpoint: str, key: str, kind: str | Column, kinds: Sequence[str],
+    *, event_time: str | None = None, forget_after: int = 30 * 86_400,
 ) -> StreamingQuery:
-    """Emit a key once every kind of input was seen for it, in whatever order."""
-    value = as_column(kind)
-    seen = stream.groupBy(key).agg(*[F.bool_or(value == k).alias(f"seen_{i}") for i, k in enumerate(kinds)])
-    for i in range(len(kinds)):
-        seen = seen.filter(F.col(f"seen_{i}"))
-    return _start(seen.select(key), sink, checkpoint, "update")
+    """Emit a key in the micro-batch in which the last kind of input is seen for it, in
+    whatever order they come, and never again: not when it is touched later, nor on replay.
+
+    State is one number per key: a bit for each kind seen and one for having been emitted.
+    Rows that say the same of a key are reduced to one where they are read, so a key with a
+    third of all rows sends few of them to its state. Without ``event_time`` state is kept
+    for good. With it, a key that nothing has touched for ``forget_after`` seconds, by the
+    stream's watermark, is forgotten, and rows older than the watermark are left out; what
+    comes later for such a key starts afresh. NULL keys and other kinds count for nothing."""
+    if len(kinds) > 62:
+        raise ValueError("at most 62 kinds")
+    value, whole = as_column(kind), (1 << len(kinds)) - 1
+    emitted = 1 << len(kinds)
+    bits = sum((F.when(value == k, 1 << i).otherwise(0) for i, k in enumerate(kinds)), F.lit(0).cast("bigint"))
+    rows = stream.withColumn("_bits", bits).filter((F.col("_bits") > 0) & F.col(key).isNotNull())
+    columns = [key, "_bits"] + ([event_time] if event_time else [])
+    rows = rows.select(*columns)
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby([key, "_bits"], as_index=False)[columns[2:]].max() if event_time else batch.drop_duplicates()
+
+    rows = rows.mapInPandas(reduce, rows.schema)
+    if event_time:
+        rows = rows.withWatermark(event_time, f"{forget_after} seconds")
+
+    def see(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        bits = before = state.get[0] if state.exists else 0
+        last = state.getCurrentWatermarkMs() if event_time else 0
+        for batch in batches:
+            bits |= int(np.bitwise_or.reduce(batch["_bits"].to_numpy(np.int64)))
+            if event_time:
+                last = max(last, int(batch[event_time].max().timestamp() * 1000))
+        if bits & whole == whole and not bits & emitted:
+            bits |= emitted
+            yield pd.DataFrame({key: [name[0]]})
+        if bits != before or not state.exists:
+            state.update((bits,))
+        if event_time:
+            state.setTimeoutTimestamp(last + forget_after * 1000)
+
+    kind_of_key = stream.schema[key].dataType.simpleString()
+    ready = (
+        rows.groupBy(key)
+        .applyInPandasWithState(
+            see, f"{key} {kind_of_key}", "bits long", "append",
+            GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout,
+        )
+    )
+    return _start(ready, sink, checkpoint, "append")
 
 
 def read_ready(spark: SparkSession, sink: str, schema: StructType | str) -> DataFrame:
-    """Keys that became ready; a key touched again later counts once."""
-    return read_batches(spark, sink, schema).drop("batch_id").distinct()
+    """Keys that became ready, each in the batch in which it did."""
+    return read_batches(spark, sink, schema)
 
 
 def stream_stage(

@@ -1,5 +1,7 @@
 """Several micro-batches give the same table as one batch query."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +34,47 @@ def test_upsert_and_replay(spark, feed, rows):
 def test_ready(spark, feed, rows):
     stream, sink, checkpoint = feed
     late = F.when((F.col("kind") == "ENR") & (F.col("k") > 3), "votes").otherwise(F.col("kind"))
-    jobs.stream_ready(stream, sink, checkpoint, "k", late, ["votes", "IH"]).awaitTermination()
-    assert rows(jobs.read_ready(spark, sink, "k long")) == [(4,), (5,), (6,)]
+    for _ in range(2):  # the second start finds nothing new
+        jobs.stream_ready(stream, sink, checkpoint, "k", late, ["votes", "IH"]).awaitTermination()
+    found = jobs.read_ready(spark, sink, "k long")
+    assert rows(found, "k") == [(4,), (5,), (6,)]  # once each, though later batches touch them again
+
+
+def arrive(spark, folder, *batches):
+    """One file for each batch of (key, kind, seconds), read in this order."""
+    for number, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "k string, kind string, s long").selectExpr("k", "kind", "timestamp_seconds(s) AS ts")
+        df.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by their time, in seconds
+    return jobs.file_stream(spark, folder, "k string, kind string, ts timestamp", files_per_batch=1)
+
+
+def test_ready_in_the_batch_of_the_last_kind(spark, tmp_path, rows):
+    stream = arrive(
+        spark, str(tmp_path / "in"),
+        [("x", "b", 0), ("y", "a", 1), ("y", "a", 2), (None, "a", 3), (None, "b", 3)],
+        [("x", "c", 4), ("y", "b", 5), ("z", "b", 6), ("z", "a", 6)],
+        [("x", "a", 7), ("y", "a", 8), ("y", "b", 8), ("z", "a", 9)],
+        [("x", "b", 10), ("x", "a", 11)],
+    )
+    jobs.stream_ready(stream, str(tmp_path / "sink"), str(tmp_path / "cp"), "k", "kind", ["a", "b"]).awaitTermination()
+    assert rows(jobs.read_ready(spark, str(tmp_path / "sink"), "k string")) == [("x", 2), ("y", 1), ("z", 1)]
+
+
+def test_ready_forgets_keys_that_nothing_touches(spark, tmp_path, rows):
+    stream = arrive(
+        spark, str(tmp_path / "in"),
+        [("x", "a", 1000), ("y", "a", 1000), ("y", "b", 1000)],
+        [("x", "b", 1050), ("w", "a", 9000)],
+        [("w", "c", 9001)],
+        [("w", "b", 9002), ("y", "a", 9003), ("x", "a", 9003)],
+        [("y", "b", 9004), ("x", "a", 9005), ("v", "a", 10), ("v", "b", 10)],
+    )
+    jobs.stream_ready(
+        stream, str(tmp_path / "sink"), str(tmp_path / "cp"), "k", "kind", ["a", "b"], event_time="ts", forget_after=100
+    ).awaitTermination()
+    # y starts afresh after its state has gone; v is older than the watermark.
+    assert rows(jobs.read_ready(spark, str(tmp_path / "sink"), "k string")) == [("w", 3), ("x", 1), ("y", 0), ("y", 4)]
 
 
 def test_stage(spark, feed, rows):
