@@ -212,3 +212,23 @@ def cascade_delete(t):
     }
     doomed = tables["customer"].filter("c_mktsegment = 'FURNITURE'").select("c_custkey")
     return merge.cascade_delete(tables, CASCADES, "customer", doomed)["lineitem"]
+
+
+@query(
+    "cascade_self_reference",
+    """WITH RECURSIVE gone AS (
+      SELECT doc_id FROM documents WHERE lang = 'de' AND doc_id % 4 = 1
+      UNION SELECT d.doc_id FROM documents d JOIN gone g ON d.doc_id > 0 AND d.doc_id // 2 = g.doc_id)
+    SELECT doc_id, quality FROM labels WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gone)""",
+)
+def cascade_self_reference(t):
+    """Labels left after deleting documents with all that derive from them; a document
+    derives from the one with half its number."""
+    derived = t("documents", "doc_id", "lang").withColumn("source_id", F.when(F.col("doc_id") > 0, F.floor(F.col("doc_id") / 2)))
+    tables = {"documents": derived, "labels": t("labels", "doc_id", "quality")}
+    doomed = derived.filter("lang = 'de' AND doc_id % 4 = 1").select("doc_id")
+    cascades = [
+        ("documents", ["source_id"], "documents", ["doc_id"]),
+        ("labels", ["doc_id"], "documents", ["doc_id"]),
+    ]
+    return merge.cascade_delete(tables, cascades, "documents", doomed)["labels"]

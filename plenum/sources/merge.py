@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plenum.functions.scalar import as_column
 from plenum.operators.skew import HASH, distinct_keys, key_hash
 from plenum.operators.windows import top_per_key
+from plenum.session import materialize
 
 
 def _complete(keys: Sequence[str]) -> Column:
@@ -147,59 +148,108 @@ def cascade_delete(
 ) -> dict[str, DataFrame]:
     """Delete rows of ``root`` and everything that cascades from them.
 
-    ``cascades`` lists ``(child, child columns, parent, parent columns)``;
-    ``doomed`` holds key columns of the root rows to delete. Returns the tables
-    that can change, with the surviving rows.
+    ``cascades`` lists ``(child, child columns, parent, parent columns)``, self references
+    and loops included; ``doomed`` holds key columns of the root rows to delete. Returns the
+    tables that can change, with the surviving rows.
+
+    Parents come before children. A table whose doomed keys are complete is read once to
+    store the keys that its lost rows pass on, all of them in one pass, and once more for
+    its survivors. Tables that refer to themselves or in a loop are reduced to their key
+    columns; from these each round looks up only the keys that the round before found new,
+    until there are none. NULL keys refer to nothing.
     """
-    order = _parents_first(root, cascades)
-    gone: dict[str, DataFrame] = {}
-    kept: dict[str, DataFrame] = {}
-    for name in order:
-        table = tables[name]
-        hits = []
-        if name == root:
-            hits.append(doomed.select(*doomed.columns))
-        for child, child_cols, parent, parent_cols in cascades:
-            if child == name and parent in gone:
-                hits.append(
-                    gone[parent].select(
-                        *[F.col(p).alias(c) for p, c in zip(parent_cols, child_cols, strict=True)]
-                    )
-                )
-        survivors, lost = table, None
-        for keys in hits:
-            # Joined on key and hash: a child that refers to the same key is then
-            # shuffled afresh, and its hot partitions can be split (see ``skew``).
-            on = [*keys.columns, HASH]
-            hashed = survivors.withColumn(HASH, key_hash(keys.columns))
-            keys = distinct_keys(keys, keys.columns).withColumn(HASH, key_hash(keys.columns))
-            part = hashed.join(keys, on, "left_semi").drop(HASH)
-            lost = part if lost is None else lost.unionByName(part)
-            survivors = hashed.join(keys, on, "left_anti").drop(HASH)
-        gone[name] = lost
-        kept[name] = survivors.select(*table.columns)
-    return kept
-
-
-def _parents_first(root: str, cascades) -> list[str]:
-    """Tables reachable from ``root``, every parent before its children."""
-    reach, frontier = {root}, [root]
-    while frontier:
-        parent = frontier.pop()
-        for child, _, owner, _ in cascades:
-            if owner == parent and child not in reach:
-                reach.add(child)
-                frontier.append(child)
-    order: list[str] = []
-    waiting = set(reach)
-    while waiting:
-        free = sorted(
-            t
-            for t in waiting
-            if not any(c == t and p in waiting for c, _, p, _ in cascades)
-        )
-        if not free:
-            raise ValueError(f"cascade loop among {sorted(waiting)}")
-        order += free
-        waiting -= set(free)
-    return order
+    doom: dict[str, list[tuple[tuple[str, ...], DataFrame]]] = {root: [(tuple(doomed.columns), doomed)]}
+
+    def pass_on(lost: DataFrame, references) -> list:
+        """The keys that lost rows pass on, stored: (child, child columns, keys)."""
+        columns = list(dict.fromkeys(c for _, _, _, cols in references for c in cols))
+        if not columns:
+            return []
+        stored = materialize(distinct_keys(lost, columns), "doomed")
+        return [
+            (child, tuple(ours), stored.select(*[F.col(p).alias(c) for c, p in zip(ours, theirs, strict=True)]))
+            for child, ours, _, theirs in references
+        ]
+
+    reach = _reach(root, cascades)
+    for group in _parents_first(reach, cascades):
+        inner = [c for c in cascades if c[0] in group and c[2] in group]
+        outer = [c for c in cascades if c[0] not in group and c[2] in group]
+        if inner:
+            narrow = {n: materialize(_key_columns(tables[n], n, cascades, doom.get(n, [])), "keys") for n in group}
+            _close(narrow, inner, doom, pass_on)
+        else:
+            narrow = {n: tables[n] for n in group}
+        for name in group:
+            for child, ours, keys in pass_on(_split(narrow[name], doom[name])[0], [c for c in outer if c[2] == name]):
+                doom.setdefault(child, []).append((ours, keys))
+    return {name: _split(tables[name], doom[name])[1].select(*tables[name].columns) for name in reach}
+
+
+def _split(table: DataFrame, doom: Sequence[tuple[tuple[str, ...], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """The rows that some doomed key names, and the others."""
+    by_columns: dict[tuple[str, ...], DataFrame] = {}
+    for columns, keys in doom:
+        by_columns[columns] = by_columns[columns].union(keys) if columns in by_columns else keys
+    survivors, lost = table, None
+    for columns, keys in by_columns.items():
+        # Joined on key and hash: a child that refers to the same key is then
+        # shuffled afresh, and its hot partitions can be split (see ``skew``).
+        on = [*columns, HASH]
+        hashed = survivors.withColumn(HASH, key_hash(columns))
+        keys = distinct_keys(keys, columns).withColumn(HASH, key_hash(columns))
+        part = hashed.join(keys, on, "left_semi").select(*table.columns)
+        lost = part if lost is None else lost.unionByName(part)
+        survivors = hashed.join(keys, on, "left_anti").select(*table.columns)
+    return table.filter(F.lit(False)) if lost is None else lost, survivors
+
+
+def _key_columns(table: DataFrame, name: str, cascades, doom) -> DataFrame:
+    """The columns by which a table is referred to, refers to others, or is doomed."""
+    wanted = {c for columns, _ in doom for c in columns}
+    for child, ours, parent, theirs in cascades:
+        wanted |= set(ours if child == name else []) | set(theirs if parent == name else [])
+    return table.select(*[c for c in table.columns if c in wanted]).distinct()
+
+
+def _close(narrow: Mapping[str, DataFrame], inner, doom, pass_on) -> None:
+    """Adds to ``doom`` all keys that tables in a loop pass on to each other."""
+    fresh = {name: doom.get(name, []) for name in narrow}
+    while fresh:
+        found: dict[str, list] = {}
+        for name, keys in fresh.items():
+            if not keys:
+                continue
+            for child, ours, new in pass_on(_split(narrow[name], keys)[0], [c for c in inner if c[2] == name]):
+                for columns, known in doom.get(child, []):
+                    if columns == ours:
+                        new = new.join(known, list(ours), "left_anti")
+                new = materialize(distinct_keys(new.dropna(), ours), "doomed")
+                if not new.isEmpty():
+                    found.setdefault(child, []).append((ours, new))
+                    doom.setdefault(child, []).append((ours, new))
+        fresh = found
+    for name in narrow:
+        doom.setdefault(name, [])
+
+
+def _reach(root: str, cascades) -> list[str]:
+    """The root and all tables that its deletions can reach."""
+    found = [root]
+    for parent in found:
+        found += sorted({c for c, _, p, _ in cascades if p == parent} - set(found))
+    return found
+
+
+def _parents_first(reach: Sequence[str], cascades) -> list[list[str]]:
+    """Groups of tables, every parent in its child's group or before it. Tables share a group
+    if each can be reached from the other."""
+    below = {t: set(_reach(t, cascades)) for t in reach}
+    groups, placed = [], set()
+    # A table reaches more tables than any that it reaches but that do not reach it.
+    for table in sorted(reach, key=lambda t: (-len(below[t]), t)):
+        if table not in placed:
+            group = sorted(t for t in reach if t in below[table] and table in below[t])
+            groups.append(group)
+            placed |= set(group)
+    return groups

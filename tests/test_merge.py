@@ -1,6 +1,8 @@
 from plenum.operators import evolve, ids, windows
 from plenum.sources import io, merge
 from pyspark.sql import functions as F
+import random
+
 import pytest
 
 VERSION = "amendment_id long, version_type string, format_type string, url string, note string"
@@ -90,9 +92,63 @@ def test_cascade_through_two_levels_and_two_paths(spark, rows):
     assert [r[0] for r in rows(left["positions"])] == [2, 4]
 
 
-def test_cascade_loop_is_refused():
-    with pytest.raises(ValueError, match="loop"):
-        merge._parents_first("a", [("b", ["x"], "a", ["x"]), ("c", ["x"], "b", ["x"]), ("b", ["x"], "c", ["x"])])
+def survivors(tables, cascades, root, doomed):
+    """The rows that are left when deletions are repeated until nothing changes."""
+    gone = {n: set() for n in tables}
+    gone[root] = {i for i, r in enumerate(tables[root]) if any(all(r[k] == d[k] for k in d) for d in doomed)}
+    while True:
+        before = sum(map(len, gone.values()))
+        for child, ours, parent, theirs in cascades:
+            keys = {tuple(tables[parent][i][c] for c in theirs) for i in gone[parent]}
+            gone[child] |= {i for i, r in enumerate(tables[child]) if tuple(r[c] for c in ours) in keys and None not in [r[c] for c in ours]}
+        if sum(map(len, gone.values())) == before:
+            return {n: [r for i, r in enumerate(rows) if i not in gone[n]] for n, rows in tables.items()}
+
+
+LOOP = [
+    ("nodes", ["parent"], "nodes", ["id"]),
+    ("links", ["a", "b"], "nodes", ["id", "kind"]),
+    ("nodes", ["via"], "links", ["link"]),
+    ("leaves", ["link"], "links", ["link"]),
+    ("leaves", ["leaf_of"], "leaves", ["leaf"]),
+]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cascade_through_self_references_and_loops(spark, rows, seed):
+    rng = random.Random(seed)
+    some = lambda n, none=0.3: None if rng.random() < none else rng.randrange(n)
+    tables = {
+        "nodes": [{"id": i, "kind": i % 3, "parent": some(i) if i else None, "via": some(90, 0.6)} for i in range(80)],
+        "links": [{"link": i, "a": (a := some(80, 0.1)), "b": None if a is None else a % 3 if rng.random() < 0.8 else 9} for i in range(60)],
+        "leaves": [{"leaf": i, "link": some(70), "leaf_of": some(60, 0.6), "note": "x"} for i in range(60)],
+        "other": [{"id": 1}],
+    }
+    schemas = {
+        "nodes": "id long, kind int, parent long, via long", "links": "link long, a long, b int",
+        "leaves": "leaf long, link long, leaf_of long, note string", "other": "id long",
+    }
+    tables["nodes"].append(dict(tables["nodes"][5]))
+    frames = {n: spark.createDataFrame([tuple(r.values()) for r in found], schemas[n]) for n, found in tables.items()}
+    left = merge.cascade_delete(frames, LOOP, "nodes", spark.createDataFrame([(70,), (3,), (999,)], "id long"))
+    want = survivors(tables, LOOP, "nodes", [{"id": 70}, {"id": 3}])
+    assert sorted(left) == ["leaves", "links", "nodes"]
+    for name, df in left.items():
+        assert df.columns == frames[name].columns
+        assert rows(df) == sorted((tuple(r.values()) for r in want[name]), key=repr)
+    assert 0 < len(want["nodes"]) < 81
+
+
+def test_cascade_of_nothing(spark, rows):
+    nodes = spark.createDataFrame([(1, None), (2, 1)], "id long, parent long")
+    left = merge.cascade_delete({"nodes": nodes}, [("nodes", ["parent"], "nodes", ["id"])], "nodes", nodes.select("id").limit(0))
+    assert rows(left["nodes"]) == [(1, None), (2, 1)]
+
+
+def test_parents_come_first_and_loops_together():
+    cascades = [("b", ["x"], "a", ["x"]), ("c", ["x"], "b", ["x"]), ("b", ["x"], "c", ["x"]), ("d", ["x"], "c", ["x"]), ("e", ["x"], "a", ["x"])]
+    groups = merge._parents_first(merge._reach("a", cascades), cascades)
+    assert groups[0] == ["a"] and groups.index(["b", "c"]) < groups.index(["d"]) and ["e"] in groups
 
 
 def test_insert_select_fills_defaults(spark, rows):
