@@ -6,6 +6,8 @@ functions work on UTF-8 bytes, so nothing is decoded on the way.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -62,10 +64,18 @@ def map_batches(
                     for n in names
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, target)
 
 
+def give_back() -> None:
+    """Return freed memory of a worker to the system; workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

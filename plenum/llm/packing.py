@@ -7,7 +7,8 @@ none is padded; sequences of one length form a bucket, from which batches are dr
 
 Tokens come from a public tokenizer file, applied to whole texts. The tokenizer drops
 white space and never joins across it, so each different word is encoded once and its ids
-are reused; the store of known words is bounded and only saves time.
+are reused; the store of known words is bounded in bytes and only saves time. Strings of the
+tokenizer's special tokens hold no white space and get the ids that it gives them in texts.
 
 No shuffle is needed: pieces are cut where their document is read, and a sequence id is
 the row's place in its task. Defined results: NULL or empty text is one piece holding the
@@ -30,34 +31,35 @@ from plenum.llm.arrow import Slice, map_batches, slices, word_hashes, word_spans
 
 LONGEST = 2048
 END_ID = 1
-KNOWN_WORDS = 600_000
-SLICE = 4 << 20
+KNOWN_BYTES = 48 << 20
+ENTRY_BYTES = 200  # of a known word, besides its letters and ids
+ENCODED_AT_ONCE = 4_000
+SLICE = 1 << 20
 
 
 class WordEncoder:
-    """Ids of words, encoded once each; forgets all when ``limit`` words are known."""
+    """Ids of words, encoded once each; forgets all when they take ``limit`` bytes."""
 
-    def __init__(self, path: str, limit: int = KNOWN_WORDS):
+    def __init__(self, path: str, limit: int = KNOWN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.size = limit, {}, 0
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as unsigned 32-bit numbers."""
+        if self.size > self.limit:
+            self.known.clear()
+            self.size = 0
         known = self.known
         new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = words
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
-                texts = [w.decode("utf-8", "replace") for w in part]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                    known[w] = array("I", e.ids).tobytes()
+        for at in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[at : at + ENCODED_AT_ONCE]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
+                self.size += ENTRY_BYTES + len(w) + len(known[w])
         return [known[w] for w in words]
 
 

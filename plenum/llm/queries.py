@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from plenum.session import split_skewed_joins
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+TOKENIZER = "word_bpe_49k.json"
 SHARDS = 8
 
 
@@ -48,7 +48,7 @@ def op2_packing(t):
 
 def tokenizer_path() -> str:
     """The vocabulary file, as every machine of the cluster has it."""
-    return TOKENIZER
+    return public_tokenizers.path(TOKENIZER)
 
 
 @query("op3_toxicity")

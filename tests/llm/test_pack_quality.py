@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 SF_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = st.text(alphabet="aAb'sé́# ſΣ1, \t\n\x0b", max_size=80)
+SPECIAL = st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "a", "B ", " ", "\n", "|>"]), max_size=9)
 
 
 @settings(max_examples=60, deadline=None)
@@ -37,18 +38,18 @@ def test_word_hashes_follow_the_bytes():
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(TEXT, min_size=1, max_size=5))
+@given(st.lists(st.one_of(TEXT, SPECIAL.map("".join)), min_size=1, max_size=5))
 def test_ids_are_those_of_whole_texts(texts):
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     got = [x.tolist() for x in packing.document_ids(pa.array(texts), tokenizer_path())]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_encoder_forgets():
-    enc = packing.WordEncoder(tokenizer_path(), limit=3)
+    enc = packing.WordEncoder(tokenizer_path(), limit=600)
     first = enc.encode([b"aa", b"bb", b"cc"])
     assert enc.encode([b"dd", b"aa", b"bb"])[1:] == first[:2]
+    assert set(enc.known) == {b"dd", b"aa", b"bb"}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 5000, 8192])
@@ -122,6 +123,27 @@ def test_statistics(texts):
     assert [tuple(r[:5]) for r in got] == [brute(t) for t in texts]
 
 
+LINE = st.builds(
+    "{}{}{}".format,
+    st.sampled_from(["Item: ", "Items ", "é"]),
+    st.sampled_from(["apple", "grape", "lemon", "lemom", "  "]),
+    st.sampled_from(["", " ", "\r"]),
+)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(LINE, max_size=12).map("\n".join), min_size=1, max_size=4))
+def test_lines_that_begin_alike(texts):
+    got = quality.statistics(pa.array(texts, pa.string()))
+    assert [tuple(r[:5]) for r in got] == [brute(t) for t in texts]
+
+
+def test_lines_of_equal_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(quality, "mix", lambda x: x * np.uint64(0))
+    got = quality.statistics(pa.array(["one a\ntwo b\none a\nsix c", "x\ny\nx"]))
+    assert got[:, 3].tolist() == [1, 1]
+
+
 def test_statistics_of_long_texts(documents):
     long = "\n".join(["a line of some words"] * 3 + [f"{i} x{i}" for i in range(300_000)])
     got = quality.statistics(pa.array(["x", long, "y"]))
