@@ -1,4 +1,12 @@
-"""A corpus pipeline: quality rules, exact and near duplicates, mixing, packing."""
+"""A corpus pipeline: quality rules, exact and near duplicates, mixing, packing.
+
+Each stage works on all rows that the one before kept, reread from a written table, and all
+but the last return the columns of ``documents``. Defined results: NULL and empty texts and
+those that fail the fixed rules go in the first stage; of equal texts the row with the
+smallest id stays (one with a NULL id only where the group has no other), of near duplicates
+the one with the smallest id; mixing may repeat a document up to three times or leave it out;
+an empty table gives no sequences; without labels only the fixed rules reject.
+"""
 
 from __future__ import annotations
 
