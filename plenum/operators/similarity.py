@@ -24,6 +24,7 @@ from plenum.functions.vector import distance_to
 from plenum.operators import metric_tree
 from plenum.operators.components import connected_components
 from plenum.operators.metric_tree import unit_rows
+from plenum.operators.skew import grouped_for_join
 from plenum.operators.windows import top_per_key
 from plenum.session import materialize, release
 from plenum.sources.io import seed
@@ -103,8 +104,9 @@ class Cells:
         return bins
 
     def route(self, queries: DataFrame, *, fill: int | None = None, bound: str | None = None,
-              skip: str | None = None) -> DataFrame:
-        """Queries with the bins they have to visit.
+              skip: str | None = None, most: str | None = None) -> DataFrame:
+        """Queries with the bins they have to visit, and in ``most`` the cosine distance
+        beyond which they want no matches.
 
         ``fill``: those of the nearest cells that together hold that many vectors.
         ``bound``: those of all cells that can hold a vector within the Euclidean
@@ -129,14 +131,15 @@ class Cells:
                 if skip is not None:
                     seen = batch.column(skip).to_pylist()
                     chosen = [np.setdiff1d(c, s) for c, s in zip(chosen, seen, strict=True)]
+                wanted = np.full(len(vectors), np.inf) if most is None else batch.column(most)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("vec"),
-                     pa.array([c.tolist() for c in chosen], pa.list_(pa.int32()))],
-                    names=["id", "vec", "bins"],
+                     pa.array([c.tolist() for c in chosen], pa.list_(pa.int32())), pa.array(wanted, pa.float64())],
+                    names=["id", "vec", "bins", "most"],
                 )
 
         schema = StructType(list(queries.select("id", "vec").schema.fields))
-        schema = schema.add("bins", ArrayType(IntegerType()))
+        schema = schema.add("bins", ArrayType(IntegerType())).add("most", DoubleType())
         return materialize(queries.mapInArrow(visit, schema), "routes")
 
     def compare(self, routed: DataFrame, *, k: int | None, limit: float | None, digits: int,
@@ -144,7 +147,7 @@ class Cells:
         """Matches of routed queries in their bins: per block the best ``k`` of each
         query, or all matches up to the distance ``limit``."""
         spark = routed.sparkSession
-        visits = routed.select("id", "vec", F.explode("bins").alias("bin"))
+        visits = routed.select("id", "vec", "most", F.explode("bins").alias("bin"))
         # At most one row per bin comes to the driver.
         load = {r["bin"]: r["count"] for r in visits.groupBy("bin").count().collect()}
         held = np.bincount(self.bins, weights=self.sizes).astype(np.int64)
@@ -162,7 +165,7 @@ class Cells:
             visits.join(grid, "bin")
             .withColumn("grp", F.pmod(id_hash, F.col("groups")))
             .withColumn("block", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-            .select("bin", "block", "grp", "id", "vec")
+            .select("bin", "block", "grp", "id", "vec", "most")
         )
         offered = (
             self.rows.join(cells.join(grid, "bin"), "cell")
@@ -189,10 +192,10 @@ class Cells:
                     mine = [(row, at.get(key)) for row, key in enumerate(left.column("id").to_pylist())]
                     same = np.array([m for m in mine if m[1] is not None], dtype=np.int64).reshape(-1, 2)
                     grid_[same[:, 0], same[:, 1]] = np.inf
-                keep = np.isfinite(grid_)
+                keep = np.isfinite(grid_) & (grid_ <= left.column("most").to_numpy()[:, None])
                 if limit is not None:
                     keep &= grid_ <= limit
-                elif k < grid_.shape[1]:
+                if k is not None and k < grid_.shape[1]:
                     keep &= grid_ <= np.partition(grid_, k - 1, axis=1)[:, k - 1 : k]
                 rows, cols = np.nonzero(keep)
                 order = np.lexsort((cols, grid_[rows, cols], rows))
@@ -252,9 +255,12 @@ def knn_join(
     asked = (
         first.withColumnRenamed("bins", "seen")
         .join(worst, F.col("id") == F.col("left_id"), "left")
-        .select("id", "vec", "seen", F.coalesce(reach, F.lit(3.0)).alias("bound"))
+        .select(
+            "id", "vec", "seen", F.coalesce(reach, F.lit(3.0)).alias("bound"),
+            F.when(F.col("found") >= k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("most"),
+        )
     )
-    rest = cells.route(asked, bound="bound", skip="seen")
+    rest = cells.route(asked, bound="bound", skip="seen", most="most")
     far = cells.compare(rest, **options)
     if report is not None:
         report.update(compared=cells.compared, vectors=cells.total)
@@ -308,9 +314,14 @@ def concept_groups(
     those without a vector, or with a zero vector, are groups of their own. Rows repeated
     with their id are one section; rows without an id are left out."""
     sections = sections.select(id_, vector).filter(F.col(id_).isNotNull())
+    # Equal vectors are one point, named by its smallest id, and join its group as members.
+    points = materialize(grouped_for_join(sections.filter(F.col(vector).isNotNull()), [vector], F.min(id_).alias("_point")), "points")
+    names = points.select(F.col("_point").alias(id_), vector)
     links = within_distance(
-        sections, sections, limit, left_id=id_, right_id=id_, left_vector=vector, right_vector=vector,
+        names, names, limit, left_id=id_, right_id=id_, left_vector=vector, right_vector=vector,
         digits=digits, block_rows=block_rows,
-    )
+    ).select("left_id", "right_id")
+    usable = sections.filter(F.exists(vector, lambda x: x != 0))
+    members = usable.join(points, vector).select(F.col(id_).alias("left_id"), F.col("_point").alias("right_id"))
     nodes = sections.select(id_).distinct()
-    return connected_components(nodes, links, node=id_, a="left_id", b="right_id", name=name)
+    return connected_components(nodes, links.union(members), node=id_, a="left_id", b="right_id", name=name)
