@@ -143,9 +143,12 @@ class Cells:
         return materialize(queries.mapInArrow(visit, schema), "routes")
 
     def compare(self, routed: DataFrame, *, k: int | None, limit: float | None, digits: int,
-                skip_same: bool) -> DataFrame:
+                skip_same: bool, chains: bool = False) -> DataFrame:
         """Matches of routed queries in their bins: per block the best ``k`` of each
-        query, or all matches up to the distance ``limit``."""
+        query, or all matches up to the distance ``limit``. With ``chains`` a block returns
+        instead, for each component that its matches form, one pair per member with the
+        component's first vector (distance NULL): no more pairs than vectors, and the same
+        components."""
         spark = routed.sparkSession
         visits = routed.select("id", "vec", "most", F.explode("bins").alias("bin"))
         # At most one row per bin comes to the driver.
@@ -197,6 +200,12 @@ class Cells:
                     keep &= grid_ <= limit
                 if k is not None and k < grid_.shape[1]:
                     keep &= grid_ <= np.partition(grid_, k - 1, axis=1)[:, k - 1 : k]
+                if chains:
+                    mine, theirs = _chained(keep)
+                    ours = left.column("id").take(pa.array(np.flatnonzero(mine >= 0)))
+                    firsts = right_ids.take(pa.array(np.concatenate([mine[mine >= 0], theirs[theirs >= 0]])))
+                    ids = pa.concat_arrays([*ours.chunks, *right_ids.take(pa.array(np.flatnonzero(theirs >= 0))).chunks])
+                    return pa.table([ids, firsts, pa.nulls(len(ids), pa.float64())], names=names)
                 rows, cols = np.nonzero(keep)
                 order = np.lexsort((cols, grid_[rows, cols], rows))
                 rows, cols = rows[order], cols[order]
@@ -217,6 +226,19 @@ class Cells:
         )
 
 
+def _chained(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of matches the first column of its component,
+    or -1 without a match. Names go to and fro between rows and columns until they rest."""
+    none = keep.shape[1]
+    theirs = np.where(keep.any(axis=0), np.arange(none), none)
+    while True:
+        mine = np.where(keep, theirs, none).min(axis=1, initial=none)
+        new = np.minimum(theirs, np.where(keep, mine[:, None], none).min(axis=0, initial=none))
+        if (new == theirs).all():
+            return np.where(mine < none, mine, -1), np.where(theirs < none, theirs, -1)
+        theirs = new
+
+
 def knn_join(
     left: DataFrame,
     right: DataFrame,
@@ -270,14 +292,15 @@ def knn_join(
 def within_distance(
     left: DataFrame, right: DataFrame, limit: float, *, left_id: str, right_id: str,
     left_vector: str = "embedding", right_vector: str = "embedding", digits: int = 6,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, chains: bool = False,
 ) -> DataFrame:
-    """All pairs up to a cosine distance: ``left_id, right_id, distance``."""
+    """All pairs up to a cosine distance: ``left_id, right_id, distance``. With ``chains``
+    only as many pairs as join the same vectors in chains, for a table with itself."""
     queries = _prepare(left, left_id, left_vector)
     cells = Cells(_prepare(right, right_id, right_vector), block_rows)
     bound = math.sqrt(2 * (limit + 10.0**-digits))
     routed = cells.route(queries.withColumn("bound", F.lit(bound)), bound="bound")
-    return cells.compare(routed, k=None, limit=limit, digits=digits, skip_same=False)
+    return cells.compare(routed, k=None, limit=limit, digits=digits, skip_same=False, chains=chains)
 
 
 def classify(
@@ -319,7 +342,7 @@ def concept_groups(
     names = points.select(F.col("_point").alias(id_), vector)
     links = within_distance(
         names, names, limit, left_id=id_, right_id=id_, left_vector=vector, right_vector=vector,
-        digits=digits, block_rows=block_rows,
+        digits=digits, block_rows=block_rows, chains=True,
     ).select("left_id", "right_id")
     usable = sections.filter(F.exists(vector, lambda x: x != 0))
     members = usable.join(points, vector).select(F.col(id_).alias("left_id"), F.col("_point").alias("right_id"))

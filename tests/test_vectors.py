@@ -152,3 +152,16 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 if i <= 40 else i for i in range(60)} | {100: 100, 101: 100, 102: 100}
     assert sorted(map(tuple, found), key=repr) == sorted([*want.items(), (5, 0), (None, None)], key=repr)
     assert connected_components(nodes, df.limit(0), node="n", a="a", b="b").filter("component <> n").count() == 0
+
+
+def test_chained_names_components():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        keep = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.2
+        mine, theirs = similarity._chained(keep)
+        whole = np.block([[np.eye(len(keep)), keep], [keep.T, np.eye(keep.shape[1])]])
+        reach = np.linalg.matrix_power(whole, 20) > 0
+        for i, row in enumerate(reach):
+            cols = np.flatnonzero(row[len(keep) :])
+            want = cols[0] if len(cols) and (i < len(keep) or keep[:, i - len(keep)].any()) else -1
+            assert (mine[i] if i < len(keep) else theirs[i - len(keep)]) == want
