@@ -1,5 +1,6 @@
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -32,6 +33,17 @@ def test_lines_of_a_page():
         ("<article><p>cut off <b", ["cut off"]),
         ("<div title='a>b'>x</div><div hidden>y</div>", ["x"]),
         ("<p>1 < 2 &amp 3</p>", ["1 < 2 & 3"]),
+        ("<article><p>one</p><p>two<svg class='i'/></p><p>three</p></article>", ["one", "two", "three"]),
+        ("<p>a</p><iframe src=/x/></iframe><object/><math /><p>b</p>", ["a", "b"]),
+        ("<p>a</p><textarea>b<p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><title>b<p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><script>if (x<y && z=\"</script><p class=\"k\">b</p>", ["a", "b"]),
+        ("<p>a</p><style>b<p>c", ["a"]),
+        ("<p>a<b title=\"x>b</b></p><p>c</p>", ["ab", "c"]),
+        ("<p>it<i don't>s</i></p><p>o'clock</p>", ["its", "o'clock"]),
+        ("<p class=ad>buy<p>text</p>", ["text"]),
+        ("<div class='social science'>a</div><div class='content has-sidebar'>b</div><div class='social-links'>c</div>", ["a", "b"]),
+        ("<p>a<!-- never closed <p>b", ["a"]),
     ],
 )
 def test_odd_pages(page, expected):
@@ -54,6 +66,74 @@ def test_common_is_a_longest_subsequence(a, b):
     assert all(x in rest for x in kept) and len(kept) == brute(a, b)
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=200), st.lists(st.sampled_from("abc"), max_size=90))
+def test_common_of_repeated_lines(a, b):
+    kept = [a[k] for k in sorted(html_text.common(a, b))]
+    rest = iter(b)
+    assert all(x in rest for x in kept) and len(kept) == brute(a, b)
+
+
+def test_long_pages_take_time_in_proportion():
+    began = time.monotonic()
+    for broken in ("<a " * 350_000, "<a '>" * 200_000, "<svg>" * 200_000, "<!x " * 250_000, "<p class=\"x'>" * 70_000):
+        html_text.lines(broken)
+    assert len(html_text.lines("<p>same</p>" * 100_000)) == 100_000
+    assert len(html_text.common(["same", "x"] * 2_000, ["x", "same"] * 2_000)) == 3_999
+    assert html_text.common(["same"] * 100_000, ["same"] * 100_000) == set(range(100_000))
+    assert time.monotonic() - began < 30
+
+
+def test_nearest_neighbours_over_partitions(spark):
+    """Each pair of pages shares a banner with nobody else; one host holds nearly all pages,
+    and a group of copies lies between them. Every banner goes, whatever the partitions."""
+    rows = [(k, f"http://h.com/a/{k // 2:05d}/{k % 2}", f"<div>Banner {k // 2}</div><div>Own {k}</div>") for k in range(1600)]
+    rows += [(2000 + k, f"http://h.com/a/0040/{k}", "<div>Copied</div><div>twice</div>") for k in range(300)]
+    rows += [(3000 + k, f"http://h{k % 7}.org/{k // 7}", f"<div>Foot {k % 7}</div><div>Own {3000 + k}</div>") for k in range(70)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(9)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(rows)
+    assert {k: t for k, t in got.items() if k < 1600 or k >= 3000} == {k: f"Own {k}" for k, _, _ in rows if k < 1600 or k >= 3000}
+    assert {t for k, t in got.items() if 2000 <= k < 3000} == {"Copied\n\ntwice"}
+
+
+def brute_differences(pages):
+    """Difference of every page with its nearest neighbour, all on one list."""
+    read = {k: html_text.lines(h or "") for k, _, h in pages}
+    split = {k: re.match(r"\w+://([^/?#]*)([^?#]*)", u or "") for k, u, _ in pages}
+    spot = {k: (m[1].lower(), m[2]) if m else ("", "") for k, m in split.items()}
+    out = {}
+    for k, own in read.items():
+        loose = [t for t, body in own if not body]
+        least = min(spot[j][1] for j in read if read[j] == own and spot[j][0] == spot[k][0])
+        here = (least, html_text.digest(own))
+        sites = {html_text.digest(read[j]): j for j in read if spot[j][0] == spot[k][0] and any(not b for _, b in read[j])}
+        order = sorted((min(spot[i][1] for i in read if read[i] == read[j] and spot[i][0] == spot[j][0]), d, j) for d, j in sites.items())
+        before = [x for x in order if x[:2] < here][-1:]
+        after = [x for x in order if x[:2] > here][:1]
+        near = max(before + after, key=lambda x: html_text.shared_beginning(least, x[0]), default=None)
+        gone = html_text.common(loose, [t for t, b in read[near[2]] if not b]) if near and loose else set()
+        places = [i for i, (_, body) in enumerate(own) if not body]
+        out[k] = "\n\n".join(t for i, (t, _) in enumerate(own) if i not in {places[g] for g in gone})
+    return out
+
+
+def test_differencing_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(250):
+        parts = [f"<div>{x}</div>" for x in rng.choice(list("abcdef"), rng.integers(0, 6))]
+        mark = "<article><p>body a</p>{}</article>" if k % 5 == 0 else "{}"
+        rows.append((k, f"https://{rng.choice(['x.org', 'Y.net'])}/{rng.choice(['a', 'b'])}/{rng.integers(30)}?q={k}", mark.format("".join(parts))))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(df).collect()} == brute_differences(rows)
+
+
 def test_differencing(spark):
     page = "<div>Shared menu</div><div>Own {}</div><div>Shared foot</div>"
     rows = [(k, f"http://h.com/a/{k}", page.format(k)) for k in range(6)]
