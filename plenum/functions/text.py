@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Chunks cut from one intermediate piece. Character positions in UTF-8 are found
-# by scanning, so cutting every chunk out of a very long text directly is
-# quadratic in its length; cutting pieces first keeps each scan short.
-CHUNKS_PER_PIECE = 64
+# A long text is cut into large pieces, these into smaller ones, and the smallest into
+# chunks, each level FAN to one. Cutting every chunk out of the whole text would read (or
+# copy, for bytes) the whole text for each of them; so every level reads it FAN times at most.
+FAN = 64
+LEVELS = 3
+MAX_LENGTH = 2**31 - 1
 
 
 def _starts(length: Column, step: int, overlap: int) -> Column:
@@ -35,37 +37,35 @@ def chunk(
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
+    if unit not in ("chars", "bytes"):
+        raise ValueError("unit must be 'chars' or 'bytes'")
     step = size - overlap
-    source = F.col(text)
     keep = [c for c in df.columns if c != text]
-    if unit == "bytes":
-        # Exploding makes the bytes a column of their own, encoded once per text.
-        data = df.select(*keep, F.explode(F.array(F.encode(source, "UTF-8"))).alias("_data"))
-        chunks = F.transform(
-            _starts(F.octet_length("_data"), step, overlap),
-            lambda i: F.substring("_data", (i * step + 1).cast("int"), F.lit(size)),
-        )
-        return data.select(*keep, F.posexplode(chunks).alias(index, content))
-    if unit != "chars":
-        raise ValueError("unit must be 'chars' or 'bytes'")
-    stride = step * CHUNKS_PER_PIECE
-    pieces = F.transform(
-        _starts(F.length(source), stride, overlap),
-        lambda p: F.struct(
-            p.alias("no"),
-            F.substring(source, (p * stride + 1).cast("int"), F.lit(stride + overlap)).alias("body"),
-        ),
-    )
-    cut = df.select(*keep, F.explode(pieces).alias("_piece"))
-    chunks = F.transform(
-        _starts(F.length("_piece.body"), step, overlap),
+    whole, length = (F.col(text), F.length) if unit == "chars" else (F.encode(F.col(text), "UTF-8"), F.octet_length)
+    cut = df.select(*keep, F.lit(0).cast("bigint").alias("_no"), whole.alias("_body"))
+    for level in range(LEVELS, -1, -1):
+        count = FAN**level  # chunks in a piece
+        if step * count + overlap > MAX_LENGTH:
+            continue
+        cut = _cut(cut, keep, length, step * count, overlap)
+    return cut.select(*keep, F.col("_no").cast("int").alias(index), F.col("_body").alias(content))
+
+
+def _cut(df: DataFrame, keep: list[str], length, stride: int, overlap: int) -> DataFrame:
+    """Every piece of ``df`` cut into numbered ones of ``stride`` units and the overlap. All
+    pieces but a text's last are full, so numbers go on by ``FAN`` from piece to piece."""
+    several = F.transform(
+        _starts(length("_body"), stride, overlap),
         lambda i: F.struct(
-            (F.col("_piece.no") * CHUNKS_PER_PIECE + i).cast("int").alias("no"),
-            F.substring(F.col("_piece.body"), (i * step + 1).cast("int"), F.lit(size)).alias("body"),
+            (F.col("_no") * FAN + i).alias("no"),
+            F.substring("_body", (i * stride + 1).cast("int"), F.lit(stride + overlap)).alias("body"),
         ),
     )
-    return cut.select(*keep, F.explode(chunks).alias("_chunk")).select(
-        *keep, F.col("_chunk.no").alias(index), F.col("_chunk.body").alias(content)
+    whole = F.array(F.struct((F.col("_no") * FAN).alias("no"), F.col("_body").alias("body")))
+    # The bytes are known without reading the text, and are at least its characters.
+    parts = F.when(F.octet_length("_body").between(1, stride + overlap), whole).otherwise(several)
+    return df.select(*keep, F.explode(parts).alias("_part")).select(
+        *keep, F.col("_part.no").alias("_no"), F.col("_part.body").alias("_body")
     )
 
 

@@ -1,3 +1,6 @@
+import hashlib
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -132,6 +135,22 @@ def test_chunks_against_brute_force(spark, size, overlap):
     assert raw == want
 
 
+@pytest.mark.parametrize("unit", ["chars", "bytes"])
+def test_chunks_of_long_texts_take_time_in_proportion(spark, tmp_path, unit):
+    """16 MB in chunks of 500, read from a table, against slices of the text itself."""
+    text = "".join(f"word {i} ✓ " for i in range(1_100_000))[: 16 << 20]
+    data = text if unit == "chars" else text.encode()
+    spark.createDataFrame([(1, text), (2, "short"), (3, None)], "id int, text string").write.parquet(f"{tmp_path}/t")
+    began = time.monotonic()
+    cut = chunk(spark.read.parquet(f"{tmp_path}/t"), "text", 500, 100, unit=unit)
+    got = cut.select("id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("m")).collect()
+    assert time.monotonic() - began < 30
+    want = {(1, n): c for n, c in enumerate(split(data, 500, 100))}
+    want[2, 0] = "short" if unit == "chars" else b"short"
+    plain = {k: c.encode() if unit == "chars" else c for k, c in want.items()}
+    assert {(r.id, r.chunk_index): r.m for r in got} == {k: hashlib.md5(c).hexdigest() for k, c in plain.items()}
+
+
 def test_long_texts_come_back_in_parts(spark):
     text = "".join(chr(97 + i % 26) for i in range(1000))
     df = spark.createDataFrame([(1, text)], "id int, text string")
