@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # A long text is cut into large pieces, these into smaller ones, and the smallest into
 # chunks, each level FAN to one. Cutting every chunk out of the whole text would read (or
 # copy, for bytes) the whole text for each of them; so every level reads it FAN times at most.
-FAN = 64
-LEVELS = 3
+FAN = 128
+LEVELS = 2
 MAX_LENGTH = 2**31 - 1
 
 
