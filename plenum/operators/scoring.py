@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,13 +156,32 @@ def score_rollup(evidence: DataFrame) -> DataFrame:
     )
 
 
-def score_tables(rollup: DataFrame) -> dict[str, DataFrame]:
-    """The rollup as the four score tables of the data model."""
+def score_grain(evidence: DataFrame, grain: str) -> DataFrame:
+    """One grain of ``score_rollup`` (``overall``, ``topic``, ``congress`` or
+    ``congress_topic``), without the work for the others."""
+    keys = ["user_id", "member_id", *{"overall": [], "topic": ["topic"], "congress": ["congress"],
+                                      "congress_topic": ["congress", "topic"]}[grain]]
+    per_vote = evidence.groupBy(*keys, "bill_id", "vote_id").agg(
+        F.sum("alignment_score").alias("_sum"), F.count("alignment_score").alias("_rows")
+    )
+    per_bill = per_vote.groupBy(*keys, "bill_id").agg(
+        F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows"), F.count("*").alias("_votes")
+    )
+    return per_bill.groupBy(*keys).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_rows")).alias("score"),
+        F.count("*").alias("bills"),
+        F.sum("_votes").alias("votes"),
+    )
+
+
+def score_tables(rollup: DataFrame | Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The four score tables of the data model, from a rollup or from a function that
+    gives the scores of one grain."""
     pair, score = ["user_id", "member_id"], F.col("score")
     counts = [F.col("bills").alias("bills_considered"), F.col("votes").alias("votes_analyzed")]
 
     def at(grain: str) -> DataFrame:
-        return rollup.filter(F.col("grain") == grain)
+        return rollup(grain) if callable(rollup) else rollup.filter(F.col("grain") == grain)
 
     return {
         "scores": at("overall").select(
@@ -177,18 +196,28 @@ def score_tables(rollup: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def notable_bills(evidence: DataFrame, n: int) -> DataFrame:
+    """The ``n`` bills of each user, member and topic with the strongest alignment, each
+    with its best aligned vote and the user's stance; ties by vote id, then the vote. ``evidence``
+    also has ``stance``, the user's on the topic, and ``vote``, how the member voted. A
+    bill voted on many times counts once, so user, member, bill and topic are a key."""
+    keys = ["user_id", "member_id", "topic"]
+    strongest = F.col("alignment_score").desc_nulls_last()
+    once = top_per_key(evidence, [*keys, "bill_id"], [strongest, "vote_id", "vote", "stance"], 1)
+    return top_alignments(once, keys, "alignment_score", ["bill_id"], n)
+
+
 def snapshot_scores(
-    rollup: DataFrame, evidence: DataFrame, n: int, at: str, trigger: str
+    rollup: DataFrame | Callable[[str], DataFrame], evidence: DataFrame, n: int, at: str, trigger: str
 ) -> dict[str, DataFrame]:
     """Rows to append to the score history: the score with its instant and trigger,
     and its children per congress, per congress and topic, and its highlights, all
-    under one snapshot id. Reasoning may be added later and starts as NULL."""
+    under one snapshot id. Reasoning may be added later and starts as NULL. Highlights
+    are one row per score, bill and topic, without votes of unknown alignment."""
     tables = score_tables(rollup)
     parts = [F.col(c).cast("string") for c in ("user_id", "member_id")]
     score_id = F.concat_ws("/", *parts, F.lit(at)).alias("score_id")
-    notable = top_alignments(
-        evidence, ["user_id", "member_id", "topic"], "alignment_score", ["bill_id", "vote_id"], n
-    )
+    notable = notable_bills(evidence.filter(F.col("alignment_score").isNotNull()), n)
     return {
         "score_history": tables["scores"].select(
             score_id, "user_id", "member_id", F.lit(at).cast("timestamp").alias("computed_at"),
@@ -202,7 +231,7 @@ def snapshot_scores(
             score_id, "congress", "topic", "score"
         ),
         "score_history_highlights": notable.select(
-            score_id, "bill_id", "vote_id", "topic", F.col("alignment_score").alias("alignment"),
+            score_id, "bill_id", "topic", "stance", "vote", F.col("alignment_score").alias("alignment"),
             "position",
         ),
     }

@@ -6,6 +6,7 @@ the suppliers as members. Orders also serve as analyses of their customer's bill
 
 from pyspark.sql import functions as F
 
+from plenum.functions.scalar import map_values
 from plenum.operators import scoring
 from plenum.operators.joins import resolve_identity
 from plenum.operators.skew import grouped_for_join
@@ -178,11 +179,15 @@ def extract_stances(t):
     return found.withColumn("user_stance_score", F.round("user_stance_score", 9))
 
 
+CASTS = {"A": "Yea", "N": "Nay", "R": "Present"}
+STANCES = ("support", "oppose", "neutral")
+
+
 def evidence(t):
     """Every line item as one member's vote on one bill and one topic, scored for the
     customers of a nation taken together."""
     return (
-        t("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount")
+        t("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount", "l_returnflag")
         .join(
             t("orders", "o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
         )
@@ -196,6 +201,10 @@ def evidence(t):
             F.col("l_orderkey").alias("bill_id"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("vote_id"),
             (F.col("l_discount") * 10).alias("alignment_score"),
+            map_values("l_returnflag", CASTS, "null").alias("vote"),
+            F.element_at(
+                F.array(*[F.lit(s) for s in STANCES]), (F.col("c_nationkey") + F.length("p_type")).cast("int") % 3 + 1
+            ).alias("stance"),
         )
     )
 
@@ -203,7 +212,9 @@ def evidence(t):
 EVIDENCE_SQL = """SELECT c_nationkey AS user_id, l_suppkey AS member_id,
       CAST(year(o_orderdate) AS INTEGER) AS congress, p_type AS topic, l_orderkey AS bill_id,
       l_orderkey * 10 + l_linenumber AS vote_id,
-      l_discount * 10 AS alignment_score
+      l_discount * 10 AS alignment_score,
+      CASE l_returnflag WHEN 'A' THEN 'Yea' WHEN 'N' THEN 'Nay' WHEN 'R' THEN 'Present' END AS vote,
+      ['support', 'oppose', 'neutral'][(c_nationkey + length(p_type)) % 3 + 1] AS stance
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey
     JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey"""
 
@@ -227,19 +238,24 @@ def scores(rows):
     return scoring.score_rollup(rows).withColumn("score", F.round("score", 7))
 
 
+def by_grain(rows):
+    """The scores of one grain, rounded likewise."""
+    return lambda grain: scoring.score_grain(rows, grain).withColumn("score", F.round("score", 7))
+
+
 @query(
     "score_congress",
     f"""SELECT user_id, member_id, congress, score AS overall_score, bills AS bills_considered,
       votes AS votes_analyzed FROM ({SCORE_SQL}) WHERE grain = 'congress'""",
 )
 def score_congress(t):
-    return scoring.score_tables(scores(evidence(t)))["score_congress"]
+    return scoring.score_tables(by_grain(evidence(t)))["score_congress"]
 
 
 def snapshot(t):
     rows = evidence(t)
     return scoring.snapshot_scores(
-        scores(rows), rows, 2, "2026-01-01 00:00:00", "vote.recorded"
+        by_grain(rows), rows, 2, "2026-01-01 00:00:00", "vote.recorded"
     )
 
 
@@ -267,10 +283,13 @@ def snapshot_congress_topics(t):
 
 @query(
     "snapshot_highlights",
-    f"""SELECT {SNAPSHOT_ID}, bill_id, vote_id, topic, alignment_score AS alignment,
+    f"""SELECT {SNAPSHOT_ID}, bill_id, topic, stance, vote, alignment_score AS alignment,
       CAST(position AS INTEGER) AS position
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, member_id, topic
-        ORDER BY alignment_score DESC, bill_id, vote_id) AS position FROM ({EVIDENCE_SQL}))
+        ORDER BY alignment_score DESC, bill_id) AS position
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id, member_id, topic, bill_id
+          ORDER BY alignment_score DESC, vote_id, vote, stance) AS nth FROM ({EVIDENCE_SQL}))
+      WHERE nth = 1)
     WHERE position <= 2""",
 )
 def snapshot_highlights(t):

@@ -35,8 +35,42 @@ def test_score_rollup_against_brute_force(spark):
     assert got == want
 
 
+def with_casts(df):
+    return df.withColumns({"vote": F.expr("if(vote_id % 2 = 0, 'Yea', 'Nay')"), "stance": F.expr("concat('on ', topic)")})
+
+
+def test_each_grain_is_the_rollup_of_it(spark):
+    data = spark.createDataFrame([*evidence_rows(), (9, 9, 9, None, 900, 900, None)], EVIDENCE)
+    rollup = scoring.score_rollup(data)
+    for grain in ("overall", "topic", "congress", "congress_topic"):
+        one = scoring.score_grain(data, grain)
+        want = rollup.filter(F.col("grain") == grain).select(*one.columns)
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, want.collect()))
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 0
+
+
+def test_highlights_have_a_key_stance_and_vote(spark):
+    data = [*evidence_rows(), (1, 0, 0, "a", 0, 999, None)]
+    df = with_casts(spark.createDataFrame(data, EVIDENCE))
+    parts = scoring.snapshot_scores(lambda g: scoring.score_grain(df, g), df, 3, "2026-01-01 00:00:00", "vote.recorded")
+    got = {(r.score_id, r.bill_id, r.topic): (r.stance, r.vote, r.alignment, r.position)
+           for r in parts["score_history_highlights"].collect()}
+    assert len(got) == parts["score_history_highlights"].count()
+    best = {}
+    for u, m, _, t, b, v, s in data:
+        if s is not None and ((u, m, t, b) not in best or (-s, v) < best[u, m, t, b]):
+            best[u, m, t, b] = (-s, v)
+    want = {}
+    for u, m, t in {k[:3] for k in best}:
+        ranked = sorted((*sv, b) for (*k, b), sv in best.items() if tuple(k) == (u, m, t))
+        ranked = sorted(ranked, key=lambda x: (x[0], x[2]))[:3]
+        for place, (s, v, b) in enumerate(ranked, 1):
+            want[f"{u}/{m}/2026-01-01 00:00:00", b, t] = (f"on {t}", "Nay" if v % 2 else "Yea", -s, place)
+    assert got == want
+
+
 def test_snapshot_children_share_the_id(spark):
-    df = spark.createDataFrame(evidence_rows(), EVIDENCE)
+    df = with_casts(spark.createDataFrame(evidence_rows(), EVIDENCE))
     parts = scoring.snapshot_scores(scoring.score_rollup(df), df, 1, "2026-01-01 00:00:00", "vote.recorded")
     ids = {r["score_id"] for r in parts["score_history"].collect()}
     assert "1/0/2026-01-01 00:00:00" in ids
