@@ -3,14 +3,16 @@
 Tokens are lower-cased words and an end mark. Counts come from all training documents. The
 ``HEAD`` most frequent words fall into classes, by group (which frequent words precede
 them, clustered) and by frequency within the group; the other words share one class and the
-end mark is one of its own. The model gives ``P(class | history) * P(word | class)``: a gated
-recurrent unit reads the text and a softmax over classes follows its state; within a class
-words have their counts' share, and a word without a count has the share of one count.
+end mark is one of its own. The model gives ``P(class | history) * P(word | class, history)``:
+a gated recurrent unit reads the text, a softmax over classes follows its state, and so does a
+softmax over the words of each class. Words outside the head have their counts' share of their
+class, and a word without a count has the share of one count.
 
-Training is truncated backpropagation over windows of ``WINDOW`` steps, on the training
-documents whose hash falls into a ``1 / SHARE`` part, so it grows with the input. Every task
-trains on its own documents and Spark averages the weights by tokens, ``ROUNDS`` times. Texts
-are scored whole: the state is carried from window to window and reset between documents.
+Training is truncated backpropagation over windows of ``WINDOW`` steps, through all training
+documents. Every task trains on its own documents and Spark averages the weights by tokens. A
+first round over the documents whose hash falls into a ``1 / WARM`` part gives the tasks one
+model to start from; the second reads them all. Texts are scored whole: the state is carried
+from window to window and reset between documents.
 
 Words are known by a 64-bit hash. Counts of head words (``HEAD`` at most) go to every task;
 other words are joined with their counts. Defined results: NULL and empty texts are the end
@@ -24,6 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +38,14 @@ FOLDS, FOLD = 7, 2
 HEAD = 1 << 16
 OWN_INPUT = 4096  # words with an input vector of their own; others use that of their class
 GUIDES = 32  # the most frequent words, whose company groups the others
-GROUPS, BINS = 6, 8
+GROUPS, BINS = 6, 16
 HIDDEN = 16
 WINDOW = 32
 LANES = 128
-TRAIN_LANES = 64
-SHARE = 16
-ROUNDS = 2
+TRAIN_LANES = 256
+WARM = 16
 RATE = 0.01
+CELLS = 1 << 20  # of a table of states by words of a class
 
 
 @dataclass
@@ -56,7 +59,9 @@ class Vocabulary:
     ends: int
     rank: np.ndarray = field(default=None)  # by frequency
     classes: np.ndarray = field(default=None)
-    within: np.ndarray = field(default=None)  # log10 share in the class
+    within: np.ndarray = field(default=None)  # log share in the class
+    slot: np.ndarray = field(default=None)  # place in order of class
+    starts: np.ndarray = field(default=None)  # first slot of each class, and the end
     priors: np.ndarray = field(default=None)  # log share of each class
 
     @property
@@ -82,7 +87,8 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def arrange(self, groups: np.ndarray) -> None:
-        """Classes of about equal mass inside each group."""
+        """Classes of like frequency inside each group; a class's share of the roots of the
+        counts is even, which keeps both the classes and the words in one few."""
         order = np.lexsort((self.hashes, -self.counts))
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
@@ -90,13 +96,17 @@ class Vocabulary:
         number = 0
         for g in np.unique(groups):
             own = order[groups[order] == g]
-            upto = np.cumsum(self.counts[own]) - self.counts[own] / 2
-            part = np.minimum(BINS * upto / self.counts[own].sum(), BINS - 1).astype(int)
+            root = np.sqrt(self.counts[own])
+            part = np.minimum(BINS * (np.cumsum(root) - root / 2) / root.sum(), BINS - 1).astype(int)
             _, part = np.unique(part, return_inverse=True)
             self.classes[own] = number + part
             number += int(part.max()) + 1
         mass = np.bincount(self.classes, self.counts, minlength=number) if len(order) else np.zeros(0)
-        self.within = np.log10(self.counts / mass[self.classes]) if len(order) else np.zeros(0)
+        self.within = np.log(self.counts / mass[self.classes]) if len(order) else np.zeros(0)
+        by_class = np.lexsort((self.rank, self.classes))
+        self.slot = np.empty(len(order), np.int64)
+        self.slot[by_class] = np.arange(len(order))
+        self.starts = np.searchsorted(self.classes[by_class], np.arange(number + 1))
         all_mass = np.concatenate([mass, [self.rare_norm, self.ends + 1]])
         self.priors = np.log(all_mass / all_mass.sum())
 
@@ -151,16 +161,48 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 Weights = dict[str, np.ndarray]
 
 
-def start_weights(inputs: int, priors: np.ndarray, hidden: int = HIDDEN) -> Weights:
+def start_weights(voc: Vocabulary, hidden: int = HIDDEN) -> Weights:
+    """Small random gates; both softmaxes begin at the shares of the counts."""
     rng = np.random.default_rng(3)
+    share = np.zeros(len(voc.hashes), np.float32)
+    share[voc.slot] = voc.within
     return {
-        "table": rng.normal(0, 0.1, (inputs, 3 * hidden)).astype(np.float32),
+        "table": rng.normal(0, 0.1, (OWN_INPUT + len(voc.priors), 3 * hidden)).astype(np.float32),
         "state": rng.normal(0, 0.2, (hidden, 3 * hidden)).astype(np.float32),
-        "out": np.zeros((hidden, len(priors)), np.float32),
-        "bias": priors.astype(np.float32),
+        "out": np.zeros((hidden, len(voc.priors)), np.float32),
+        "bias": voc.priors.astype(np.float32),
+        "words": np.zeros((len(voc.hashes), hidden), np.float32),
+        "share": share,
     }
 
 
+def by_class(slots: np.ndarray, starts: np.ndarray):
+    """The steps whose word lies in each class, in pieces that keep a table of their states
+    by the words of the class below ``CELLS``: (steps, first slot, end)."""
+    known = np.flatnonzero(slots >= 0)
+    own = np.searchsorted(starts, slots[known], side="right") - 1
+    order = np.argsort(own, kind="stable")
+    known, own = known[order], own[order]
+    cuts = np.flatnonzero(np.diff(own)) + 1
+    for steps, c in zip(np.split(known, cuts), own[np.concatenate([[0], cuts])] if len(own) else ()):
+        first, end = int(starts[c]), int(starts[c + 1])
+        rows = max(1, CELLS // (end - first))
+        for at in range(0, len(steps), rows):
+            yield steps[at : at + rows], first, end
+
+
+def word_log_odds(weights: Weights, states: np.ndarray, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The log probability of each step's word in its class; 0 for words outside the head."""
+    value = np.zeros(len(slots))
+    for steps, first, end in by_class(slots, starts):
+        logits = states[steps] @ weights["words"][first:end].T + weights["share"][first:end]
+        logits -= logits.max(axis=1, keepdims=True)
+        hit = logits[np.arange(len(steps)), slots[steps] - first]
+        np.exp(logits, out=logits)
+        value[steps] = hit - np.log(logits.sum(axis=1))
+    return value
+
+
 def _step(x: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple:
     k = h.shape[1]
     a = h @ state
@@ -203,9 +245,9 @@ def spread(sequences: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nd
     return place, begins
 
 
-def sequences(toks: Tokens, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input symbol and class to predict at each step of all texts, and where texts begin.
-    Each text starts from the end mark and ends with it."""
+def sequences(toks: Tokens, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Input symbol, class and slot of the word to predict (-1 outside the head) at each step
+    of all texts, and where texts begin. Each text starts from the end mark and ends with it."""
     cls = np.where(toks.place >= 0, voc.classes[toks.place] if len(voc.hashes) else voc.rare, voc.rare)
     symbol = OWN_INPUT + cls
     if len(voc.hashes):
@@ -216,14 +258,18 @@ def sequences(toks: Tokens, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
     where = np.arange(len(cls)) + toks.owner
     inputs = np.full(int(bounds[-1]), OWN_INPUT + voc.end, np.int64)
     target = np.full(int(bounds[-1]), voc.end, np.int64)
+    slots = np.full(int(bounds[-1]), -1, np.int64)
     inputs[where + 1] = symbol
     target[where] = cls
+    if len(voc.hashes):
+        slots[where] = np.where(toks.place >= 0, voc.slot[toks.place], -1)
     inputs[bounds[:-1]] = OWN_INPUT + voc.end
-    return inputs, target, bounds
+    return inputs, target, slots, bounds
 
 
-def class_log_odds(weights: Weights, inputs: np.ndarray, target: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The log10 probability of each text's classes; the state runs through whole texts."""
+def log_odds(weights: Weights, starts: np.ndarray, inputs, target, slots, bounds) -> np.ndarray:
+    """The log10 probability of each text's classes and of its head words in these; the state
+    runs through whole texts."""
     total = np.zeros(len(bounds) - 1)
     if not len(inputs):
         return total
@@ -241,36 +287,42 @@ def class_log_odds(weights: Weights, inputs: np.ndarray, target: np.ndarray, bou
             h = _step(x[t], h, weights["state"])[0]
             states[t] = h
         live = own >= 0
-        logits = states[live] @ weights["out"] + weights["bias"]
+        seen, steps = states[live], own[live]
+        logits = seen @ weights["out"] + weights["bias"]
         logits -= logits.max(axis=1, keepdims=True)
-        hit = logits[np.arange(len(logits)), target[own[live]]]
+        hit = logits[np.arange(len(logits)), target[steps]]
         np.exp(logits, out=logits)
-        value[own[live]] = hit - np.log(logits.sum(axis=1))
+        value[steps] = hit - np.log(logits.sum(axis=1)) + word_log_odds(weights, seen, slots[steps], starts)
     text = np.repeat(np.arange(len(total)), np.diff(bounds))
     return np.bincount(text, value, len(total)) / np.log(10)
 
 
 class Trainer:
-    """Adam on the class loss, by truncated backpropagation through windows."""
+    """Adam on the loss of classes and words, by truncated backpropagation through windows.
+    The words of a class share one second moment and have no first."""
 
-    def __init__(self, weights: Weights):
+    def __init__(self, weights: Weights, starts: np.ndarray):
+        self.starts = starts
         self.w = {k: v.copy() for k, v in weights.items()}
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.v = {k: np.zeros_like(v) for k, v in weights.items()}
+        dense = {k: v for k, v in weights.items() if k not in ("words", "share")}
+        self.m = {k: np.zeros_like(v) for k, v in dense.items()}
+        self.v = {k: np.zeros_like(v) for k, v in dense.items()}
+        self.spread = {"words": np.zeros(len(starts)), "share": np.zeros(len(starts))}
+        self.times = np.zeros(len(starts), np.int64)
         self.steps = 0
 
-    def run(self, inputs: np.ndarray, target: np.ndarray, bounds: np.ndarray) -> float:
+    def run(self, inputs: np.ndarray, target: np.ndarray, slots: np.ndarray, bounds: np.ndarray, width: int = TRAIN_LANES) -> float:
         """One pass; the mean loss of a step."""
-        place, begins = spread(inputs, bounds, TRAIN_LANES)
+        place, begins = spread(inputs, bounds, width)
         h = np.zeros((place.shape[1], HIDDEN), np.float32)
         loss = 0.0
         for at in range(0, len(place), WINDOW):
             own, new = place[at : at + WINDOW], begins[at : at + WINDOW]
-            h, part = self.window(inputs, target, own, new, h)
+            h, part = self.window(inputs, target, slots, own, new, h)
             loss += part
         return loss / max(len(inputs), 1)
 
-    def window(self, inputs, target, own, new, h):
+    def window(self, inputs, target, slots, own, new, h):
         w, k = self.w, HIDDEN
         symbols = inputs[np.maximum(own, 0)]
         x = w["table"][symbols]
@@ -291,9 +343,13 @@ class Trainer:
         hit = np.take_along_axis(soft, goal[..., None], axis=2)[..., 0]
         loss = float(-np.log(np.maximum(hit[live], 1e-12)).sum())
         np.put_along_axis(soft, goal[..., None], hit[..., None] - 1, axis=2)
-        soft *= (live / max(int(live.sum()), 1))[..., None].astype(np.float32)
+        scale = 1 / max(int(live.sum()), 1)
+        soft *= (live * scale)[..., None].astype(np.float32)
         grads = {"out": np.tensordot(states, soft, ((0, 1), (0, 1))), "bias": soft.sum(axis=(0, 1))}
         down = soft @ w["out"].T
+        lost, inner = self.words(states[live], slots[own[live]], scale)
+        loss += lost
+        down[live] += inner
         back = np.zeros_like(h)
         into = np.zeros_like(x)
         through = np.zeros_like(x)
@@ -308,12 +364,40 @@ class Trainer:
             back = (d * z + through[t] @ w["state"].T) * ~new[t][:, None]
         earlier = np.stack([s[0] for s in kept])
         grads["state"] = np.tensordot(earlier, through, ((0, 1), (0, 1)))
-        used, which = np.unique(symbols[live], return_inverse=True)
-        rows = np.zeros((len(used), 3 * k), np.float32)
-        np.add.at(rows, which, into[live])
+        read = symbols[live]
+        order = np.argsort(read, kind="stable")
+        used, first = np.unique(read[order], return_index=True)
+        rows = np.add.reduceat(into[live][order], first, axis=0) if len(used) else np.zeros((0, 3 * k), np.float32)
         self.update(grads, used, rows)
         return h, loss
 
+    def words(self, states, slots, scale):
+        """Loss of the words in their classes, and its slope by state; moves their weights."""
+        down, loss = np.zeros_like(states), 0.0
+        for steps, first, end in by_class(slots, self.starts):
+            own = states[steps]
+            soft = own @ self.w["words"][first:end].T + self.w["share"][first:end]
+            soft -= soft.max(axis=1, keepdims=True)
+            np.exp(soft, out=soft)
+            soft /= soft.sum(axis=1, keepdims=True)
+            at = np.arange(len(steps)), slots[steps] - first
+            hit = soft[at]
+            loss -= float(np.log(np.maximum(hit, 1e-12)).sum())
+            soft[at] = hit - 1
+            soft *= np.float32(scale)
+            down[steps] = soft @ self.w["words"][first:end]
+            self.update_words(first, end, {"words": soft.T @ own, "share": soft.sum(axis=0)})
+        return loss, down
+
+    def update_words(self, first, end, grads):
+        c = int(np.searchsorted(self.starts, first))
+        self.times[c] += 1
+        for name, g in grads.items():
+            # The largest slope of a row, not the mean: most words of a class are absent.
+            self.spread[name][c] += 0.01 * (float(np.square(g).max()) - self.spread[name][c])
+            size = np.sqrt(self.spread[name][c] / (1 - 0.99 ** self.times[c])) + 1e-12
+            self.w[name][first:end] -= np.float32(RATE / size) * g
+
     def update(self, grads, used, rows):
         self.steps += 1
         rate = RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
@@ -374,9 +458,10 @@ def cluster(profiles: np.ndarray, count: int = GROUPS, rounds: int = 15) -> np.n
     return np.argmax(x @ centres.T, axis=1)
 
 
-def build(docs: DataFrame, text: str, counts: DataFrame, ends: int, sample: DataFrame, head: int = HEAD) -> tuple:
+def build(counts: DataFrame, ends: int, learn: DataFrame, id_: str, text: str, warm: int = WARM, head: int = HEAD) -> tuple:
     """Vocabulary and weights from stored counts and the rows to train on."""
-    spark = docs.sparkSession
+    spark = learn.sparkSession
+    first = learn.filter(F.pmod(F.xxhash64(F.col(id_).cast("string")), F.lit(warm)) == 0)
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(head).toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
@@ -393,51 +478,69 @@ def build(docs: DataFrame, text: str, counts: DataFrame, ends: int, sample: Data
         yield {"cell": cell, "n": found[cell]}
 
     # At most HEAD * GUIDES cells, whatever the input.
-    cells = map_batches(sample.select(text), company, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = map_batches(learn.select(text), company, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     profiles = np.zeros(len(words) * GUIDES)
     profiles[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
     voc.arrange(cluster(profiles.reshape(-1, GUIDES)))
-    weights = start_weights(OWN_INPUT + len(voc.priors), voc.priors)
-    for number in range(ROUNDS):
-        weights = _train_round(sample, text, voc, weights)
+    weights = start_weights(voc)
+    for rows in (first, learn):
+        weights = _train_round(rows, text, voc, weights)
     return voc, weights
 
 
-def _train_round(sample: DataFrame, text: str, voc: Vocabulary, weights: Weights) -> Weights:
-    spark = sample.sparkSession
+def _train_round(rows: DataFrame, text: str, voc: Vocabulary, weights: Weights) -> Weights:
+    """One model from those of all tasks. A task's weights travel in pieces of ``step``
+    numbers; whoever gets a piece adds up arrays, so nothing is exploded into rows and no
+    task holds more than one model."""
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((voc, weights))
-    step = 1024
+    step = 8192
 
     def train(batches):
-        import pyarrow as pa
-
         vocabulary, start = shared.value
-        trainer, seen = Trainer(start), 0
+        trainer, seen = Trainer(start, vocabulary.starts), 0
         for batch in batches:
-            inputs, target, bounds = sequences(tokens(batch.column(0), vocabulary), vocabulary)
+            inputs, target, slots, bounds = sequences(tokens(batch.column(0), vocabulary), vocabulary)
             if len(inputs):
-                trainer.run(inputs, target, bounds)
+                trainer.run(inputs, target, slots, bounds)
                 seen += len(inputs)
         if seen:
-            values = flat(trainer.w).astype(np.float64) * seen
-            parts = [values[k : k + step] for k in range(0, len(values), step)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64())), pa.array([seen] * len(parts), pa.int64())],
-                ["part", "sums", "seen"],
-            )
-
-    trained = sample.select(text).mapInArrow(train, "part int, sums array<double>, seen bigint")
-    # Tasks' weights are summed by position, partly in each task; the result is one model.
-    cells = trained.select("part", "seen", F.posexplode("sums").alias("at", "value"))
-    means = cells.groupBy("part", "at").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas()
-    if not len(means):
+            values = flat(trainer.w)
+            for number, k in enumerate(range(0, len(values), step)):
+                yield piece(number, values[k : k + step], seen)
+
+    def add(batches):
+        sums, seen = {}, {}
+        for batch in batches:
+            offsets = batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy()
+            for k, (number, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                own = values[offsets[k] : offsets[k + 1]].astype(np.float64) * n
+                sums[number] = sums[number] + own if number in sums else own
+                seen[number] = seen.get(number, 0) + n
+        for number in sums:
+            yield piece(number, sums[number] / seen[number], seen[number])
+
+    schema = "part int, weights array<float>, seen bigint"
+    trained = rows.select(text).mapInArrow(train, schema)
+    # One model of fixed size comes to the driver.
+    means = trained.repartition("part").mapInArrow(add, schema).toArrow()
+    if not means.num_rows:
         return weights
-    values = flat(weights).astype(np.float64)
-    values[means["part"].to_numpy() * step + means["at"].to_numpy()] = means["value"].to_numpy()
+    values = flat(weights)
+    for number, own in zip(means["part"].to_pylist(), means["weights"]):
+        values[number * step : number * step + len(own)] = own.values.to_numpy()
     return unflat(values, weights)
 
 
-def score(docs: DataFrame, id_: str = "doc_id", text: str = "text", share: int = SHARE, head: int = HEAD) -> DataFrame:
+def piece(number: int, values: np.ndarray, seen: int) -> pa.RecordBatch:
+    own = pa.array([values.astype(np.float32)], pa.list_(pa.float32()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int32()), own, pa.array([seen], pa.int64())], ["part", "weights", "seen"]
+    )
+
+
+def score(docs: DataFrame, id_: str = "doc_id", text: str = "text", warm: int = WARM, head: int = HEAD) -> DataFrame:
     """Per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score``."""
     docs = docs.select(id_, text)
@@ -445,9 +548,7 @@ def score(docs: DataFrame, id_: str = "doc_id", text: str = "text", share: int =
     learn = docs.filter(~out)
     counts = materialize(count_words(learn, text), "counts")
     ends = learn.count()
-    part = learn.filter(F.pmod(F.xxhash64(F.col(id_).cast("string")), F.lit(share)) == 0)
-    sample = materialize(part, "train")
-    voc, weights = build(docs, text, counts, ends, sample, head)
+    voc, weights = build(counts, ends, learn, id_, text, warm, head)
     shared = docs.sparkSession.sparkContext.broadcast((voc, weights))
 
     def run(batch):
@@ -458,8 +559,7 @@ def score(docs: DataFrame, id_: str = "doc_id", text: str = "text", share: int =
         known = toks.place >= 0
         heads = np.bincount(toks.owner[known], minlength=toks.texts)
         base = np.bincount(toks.owner[known], np.log10(voc.counts[toks.place[known]] + 1.0), toks.texts)
-        model = np.bincount(toks.owner[known], voc.within[toks.place[known]], toks.texts)
-        model = model + class_log_odds(weights, *sequences(toks, voc)) - (n - heads) * np.log10(voc.rare_norm)
+        model = log_odds(weights, voc.starts, *sequences(toks, voc)) - (n - heads) * np.log10(voc.rare_norm)
         base = base + np.log10(voc.ends + 1.0) - (n + 1) * np.log10(voc.total + voc.distinct + 1.0)
         text_of, hashes, times = toks.rest
         cut = np.searchsorted(text_of[np.argsort(text_of, kind="stable")], np.arange(toks.texts + 1))

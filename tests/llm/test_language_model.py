@@ -44,7 +44,7 @@ def check_base(rows, docs):
 def test_score_awkward(spark, documents, head):
     texts = [None, "", " \n", "one", "The the cat sat on THE mat", "the the cat É é", "a b " * 9000, "the\x0bcat"]
     df = documents(texts * 3)
-    rows = lm.score(df, share=2, head=head).collect()
+    rows = lm.score(df, warm=2, head=head).collect()
     check_base(rows, [(r.doc_id, r.text) for r in df.collect()])
     assert all(r.score <= 0 for r in rows)
 
@@ -68,7 +68,7 @@ def vocabulary():
 
 def test_shares_sum_to_one():
     voc = vocabulary()
-    mass = np.bincount(voc.classes, 10**voc.within)
+    mass = np.bincount(voc.classes, np.exp(voc.within))
     assert mass == pytest.approx(np.ones(len(mass)))
     assert np.exp(voc.priors).sum() == pytest.approx(1)
 
@@ -77,17 +77,21 @@ def test_state_is_carried_through_whole_texts():
     """Scores in lanes equal those of one text after another, step by step."""
     voc = vocabulary()
     rng = np.random.default_rng(0)
-    weights = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in lm.start_weights(lm.OWN_INPUT + len(voc.priors), voc.priors).items()}
+    weights = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in lm.start_weights(voc).items()}
     owner = np.repeat([0, 2, 3, 4], [5, 9000, 1, 40])
     toks = lm.Tokens(owner, rng.integers(-1, 8, len(owner)), None, 5)
-    inputs, target, bounds = lm.sequences(toks, voc)
-    got = lm.class_log_odds(weights, inputs, target, bounds)
+    inputs, target, slots, bounds = lm.sequences(toks, voc)
+    got = lm.log_odds(weights, voc.starts, inputs, target, slots, bounds)
     for k in range(5):
         h, total = np.zeros((1, lm.HIDDEN), np.float32), 0.0
         for t in range(bounds[k], bounds[k + 1]):
             h = lm._step(weights["table"][inputs[t]][None], h, weights["state"])[0]
             logits = (h @ weights["out"] + weights["bias"])[0].astype(float)
             total += logits[target[t]] - np.log(np.exp(logits).sum())
+            if slots[t] >= 0:
+                own = np.flatnonzero(np.searchsorted(voc.starts, np.arange(8), side="right") - 1 == target[t])
+                inner = (weights["words"][own] @ h[0] + weights["share"][own]).astype(float)
+                total += inner[own.tolist().index(slots[t])] - np.log(np.exp(inner).sum())
         assert got[k] == pytest.approx(total / math.log(10), rel=1e-4)
 
 
@@ -95,23 +99,32 @@ def test_gradient():
     """Backpropagation against finite differences, in one window."""
     voc = vocabulary()
     rng = np.random.default_rng(1)
-    weights = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in lm.start_weights(lm.OWN_INPUT + len(voc.priors), voc.priors).items()}
+    weights = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in lm.start_weights(voc).items()}
     toks = lm.Tokens(np.repeat([0, 1], [6, 9]), rng.integers(-1, 8, 15), None, 2)
-    inputs, target, bounds = lm.sequences(toks, voc)
+    inputs, target, slots, bounds = lm.sequences(toks, voc)
     found = {}
 
     class Spy(lm.Trainer):
         def update(self, grads, used, rows):
             found.update(grads, used=used, rows=rows)
 
+        def update_words(self, first, end, grads):
+            for name, g in grads.items():
+                whole = found.setdefault(name, np.zeros_like(self.w[name]))
+                whole[first:end] += g
+
+    class Still(lm.Trainer):
+        def update_words(self, first, end, grads):
+            pass
+
     place, begins = lm.spread(inputs, bounds, 2)
     h = np.zeros((place.shape[1], lm.HIDDEN), np.float32)
 
     def loss(w):
-        return lm.Trainer(w).window(inputs, target, place, begins, h)[1] / len(inputs)
+        return Still(w, voc.starts).window(inputs, target, slots, place, begins, h)[1] / len(inputs)
 
-    Spy(weights).window(inputs, target, place, begins, h)
-    for name, at in [("out", (3, 2)), ("bias", (1,)), ("state", (2, 5)), ("state", (4, 20)), ("state", (1, 40))]:
+    Spy(weights, voc.starts).window(inputs, target, slots, place, begins, h)
+    for name, at in [("words", (2, 3)), ("words", (6, 1)), ("share", (1,)), ("out", (3, 2)), ("bias", (1,)), ("state", (2, 5)), ("state", (4, 20)), ("state", (1, 40))]:
         up, down = ({k: v.astype(np.float64) for k, v in weights.items()} for _ in range(2))
         up[name][at] += 1e-3
         down[name][at] -= 1e-3
@@ -124,11 +137,11 @@ def test_training_learns_what_follows():
     rng = np.random.default_rng(2)
     place = np.concatenate([rng.integers(0, 4, 30) if k % 2 else rng.integers(4, 8, 30) for k in range(200)])
     toks = lm.Tokens(np.repeat(np.arange(200), 30), place, None, 200)
-    inputs, target, bounds = lm.sequences(toks, voc)
-    trainer = lm.Trainer(lm.start_weights(lm.OWN_INPUT + len(voc.priors), voc.priors))
-    first = trainer.run(inputs, target, bounds)
+    inputs, target, slots, bounds = lm.sequences(toks, voc)
+    trainer = lm.Trainer(lm.start_weights(voc), voc.starts)
+    first = trainer.run(inputs, target, slots, bounds, 64)
     for _ in range(10):
-        last = trainer.run(inputs, target, bounds)
+        last = trainer.run(inputs, target, slots, bounds, 64)
     assert last < 0.8 * first
 
 
