@@ -11,7 +11,8 @@ class, and a word without a count has the share of one count.
 Training is truncated backpropagation over windows of ``WINDOW`` steps, through all training
 documents. Every task trains on its own documents and Spark averages the weights by tokens. A
 first round over the documents whose hash falls into a ``1 / WARM`` part gives the tasks one
-model to start from; the second reads them all. Texts are scored whole: the state is carried
+model to start from; the second reads them all. Longer texts are learned from in stretches of
+``STRETCH`` steps, each from a fresh state, so that lanes are even. Texts are scored whole: the state is carried
 from window to window and reset between documents.
 
 Words are known by a 64-bit hash. Counts of head words (``HEAD`` at most) go to every task;
@@ -44,6 +45,7 @@ WINDOW = 32
 LANES = 128
 TRAIN_LANES = 256
 WARM = 16
+STRETCH = 1024
 RATE = 0.01
 CELLS = 1 << 20  # of a table of states by words of a class
 
@@ -245,6 +247,12 @@ def spread(sequences: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nd
     return place, begins
 
 
+def stretches(bounds: np.ndarray, longest: int = STRETCH) -> np.ndarray:
+    """Bounds of the same steps in sequences of at most ``longest``."""
+    parts = [np.arange(a, b, longest) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return np.concatenate([*parts, bounds[-1:]])
+
+
 def sequences(toks: Tokens, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Input symbol, class and slot of the word to predict (-1 outside the head) at each step
     of all texts, and where texts begin. Each text starts from the end mark and ends with it."""
@@ -313,7 +321,7 @@ class Trainer:
 
     def run(self, inputs: np.ndarray, target: np.ndarray, slots: np.ndarray, bounds: np.ndarray, width: int = TRAIN_LANES) -> float:
         """One pass; the mean loss of a step."""
-        place, begins = spread(inputs, bounds, width)
+        place, begins = spread(inputs, stretches(bounds), width)
         h = np.zeros((place.shape[1], HIDDEN), np.float32)
         loss = 0.0
         for at in range(0, len(place), WINDOW):
@@ -376,7 +384,8 @@ class Trainer:
         down, loss = np.zeros_like(states), 0.0
         for steps, first, end in by_class(slots, self.starts):
             own = states[steps]
-            soft = own @ self.w["words"][first:end].T + self.w["share"][first:end]
+            soft = own @ self.w["words"][first:end].T
+            soft += self.w["share"][first:end]
             soft -= soft.max(axis=1, keepdims=True)
             np.exp(soft, out=soft)
             soft /= soft.sum(axis=1, keepdims=True)
@@ -475,13 +484,15 @@ def build(counts: DataFrame, ends: int, learn: DataFrame, id_: str, text: str, w
     def company(batch):
         found = guides(tokens(batch.column(text), shared.value), shared.value) if len(shared.value.hashes) else np.zeros(0, np.int64)
         cell = np.flatnonzero(found)
-        yield {"cell": cell, "n": found[cell]}
+        yield {"cell": cell.astype(np.int32), "n": found[cell]}
 
     # At most HEAD * GUIDES cells, whatever the input.
-    cells = map_batches(learn.select(text), company, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    profiles = np.zeros(len(words) * GUIDES)
-    profiles[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
+    cells = map_batches(learn.select(text), company, "cell int, n bigint").groupBy("cell").agg(F.sum("n").cast("float").alias("n"))
+    profiles = np.zeros(len(words) * GUIDES, np.float32)
+    got = cells.toArrow()
+    profiles[got["cell"].to_numpy()] = got["n"].to_numpy()
     voc.arrange(cluster(profiles.reshape(-1, GUIDES)))
+    del got, profiles
     weights = start_weights(voc)
     for rows in (first, learn):
         weights = _train_round(rows, text, voc, weights)
