@@ -97,15 +97,56 @@ def orphans(child: DataFrame, parent: DataFrame, on: Mapping[str, str]) -> DataF
 def reference_violations(
     tables: Mapping[str, DataFrame], references: Sequence[tuple[str, Mapping[str, str], str]]
 ) -> DataFrame:
-    """Orphan counts for many foreign keys: ``(child, columns, parent)``."""
-    reports = [
-        orphans(tables[child], tables[parent], on).agg(F.count("*").alias("orphans")).select(
-            F.lit(child).alias("child"), F.lit(",".join(on)).alias("columns"),
-            F.lit(parent).alias("parent"), "orphans",
-        )
-        for child, on, parent in references
-    ]
-    return reduce(DataFrame.unionByName, reports)
+    """Orphan counts for many foreign keys: ``(child, columns, parent)``.
+
+    Every table is scanned once. Its rows give their own key, once for each set of columns
+    that references point at, and the keys they refer to; all keys meet in one shuffle,
+    counted by (target, key) before it, so a key that many rows share travels as one row of
+    each task. Keys compare as the common type of both columns; a reference with a NULL part
+    points nowhere and passes. References without orphans have a count of 0."""
+    targets: dict[tuple, list] = {}  # (parent, its columns) -> references
+    for child, on, parent in references:
+        targets.setdefault((parent, tuple(on.values())), []).append((child, tuple(on)))
+    kinds = {target: _common_types(tables, target, refs) for target, refs in targets.items()}
+    stacked, names = [], []
+    for name, df in tables.items():
+        keys = []
+        for number, (target, refs) in enumerate(targets.items()):
+            if target[0] == name:
+                keys.append(_key(number, -1, target[1], kinds[target]))
+            keys += [_key(number, k, own, kinds[target]) for k, (child, own) in enumerate(refs) if child == name]
+        if keys:
+            found = df.select(F.explode(F.array(*keys)).alias("_k")).select("_k.*")
+            stacked.append(found.filter(~F.exists("key", F.isnull)))
+    for number, ((parent, _), refs) in enumerate(targets.items()):
+        names += [(number, k, child, ",".join(own), parent) for k, (child, own) in enumerate(refs)]
+    if not names:
+        raise ValueError("no references given")
+    most = max(map(len, targets.values()))
+    met = reduce(DataFrame.unionByName, stacked).groupBy("target", "key").agg(
+        F.max(F.col("ref") < 0).alias("known"), *[F.count_if(F.col("ref") == k).alias(f"_n{k}") for k in range(most)]
+    )
+    lost = met.filter(~F.col("known")).groupBy("target").agg(*[F.sum(f"_n{k}").alias(f"_n{k}") for k in range(most)])
+    lost = lost.select("target", F.posexplode(F.array(*[f"_n{k}" for k in range(most)])).alias("ref", "orphans"))
+    spark = next(iter(tables.values())).sparkSession
+    listed = spark.createDataFrame(names, "target int, ref int, child string, columns string, parent string")
+    counts = listed.join(lost, ["target", "ref"], "left")
+    return counts.select("child", "columns", "parent", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans"))
+
+
+def _key(target: int, ref: int, columns: Sequence[str], kinds: Sequence[str]) -> Column:
+    """A key to be met; ``ref`` is -1 for a row's own key."""
+    parts = F.array(*[F.col(c).cast(k).cast("string") for c, k in zip(columns, kinds)])
+    return F.struct(F.lit(target).alias("target"), F.lit(ref).alias("ref"), parts.alias("key"))
+
+
+def _common_types(tables, target, refs) -> list[str]:
+    """The types to which a union brings the columns of a target and its references."""
+    parent, columns = target
+    rows = tables[parent].select(*columns)
+    for child, own in refs:
+        rows = rows.union(tables[child].select(*own))
+    return [f.dataType.simpleString() for f in rows.schema]
 
 
 def quality_report(df: DataFrame, *rules: Rule) -> DataFrame:

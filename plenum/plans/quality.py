@@ -127,6 +127,40 @@ def check_references(t):
     )
 
 
+# What refers to what among the driver tables.
+REFERENCES = [
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("labels", "doc_id", "documents", "doc_id"),
+    ("documents", "doc_id", "labels", "doc_id"),
+    ("embeddings", "vec_id", "documents", "doc_id"),
+    ("part", "p_size", "supplier", "s_suppkey"),
+]
+
+
+@query(
+    "reference_report",
+    " UNION ALL ".join(
+        f"""SELECT '{child}' AS child, '{column}' AS columns, '{parent}' AS parent, count(*) AS orphans FROM {child} c
+        WHERE c.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{column})"""
+        for child, column, parent, key in REFERENCES
+    ),
+)
+def reference_report(t):
+    """Every reference between the tables, each table read once."""
+    wanted: dict[str, set] = {}
+    for child, column, parent, key in REFERENCES:
+        wanted.setdefault(child, set()).add(column)
+        wanted.setdefault(parent, set()).add(key)
+    tables = {name: t(name, *sorted(columns)) for name, columns in wanted.items()}
+    return quality.reference_violations(tables, [(c, {column: key}, p) for c, column, p, key in REFERENCES])
+
+
 @query(
     "orphan_rows",
     """SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (

@@ -82,3 +82,24 @@ def test_scan_and_cascade_of_the_model(spark, rows, tmp_path):
     cascades = [c for c in model.cascades() if c[0] in stored and c[2] in stored]
     left = merge.cascade_delete(stored, cascades, "bills", stored["bills"].filter("id = 1").select("id"))
     assert rows(left["bill_subjects"], "id") == [(20,)]
+
+
+def test_every_reference_of_the_model_in_one_shuffle(spark):
+    """A row with all references set and a row with none, in every table: each reference is
+    reported, and each counts the one that points nowhere."""
+    data, expected = {}, {}
+    for name, table in model.tables().items():
+        data[name] = spark.createDataFrame([], table.schema)
+    for name, table in model.tables().items():
+        for ref in table.references:
+            expected[(name, f"{'+'.join(ref.columns)}→{ref.parent}")] = 0
+    refs = [
+        (n, dict(zip(r.columns, r.parent_columns)), r.parent) for n, t in model.tables().items() for r in t.references
+    ]
+    report = model.quality.reference_violations(data, refs)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    scans = sum(bool(t.references) or any(r.parent == n for u in model.tables().values() for r in u.references)
+                for n, t in model.tables().items())
+    assert len(refs) == 107 and plan.count("Generate explode") <= scans
+    found = {(r["child"], r["columns"].replace(",", "+") + "→" + r["parent"]): r["orphans"] for r in report.collect()}
+    assert found == expected

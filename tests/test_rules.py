@@ -190,3 +190,26 @@ def test_seeds(spark):
     assert seeds.us_states(spark).filter("is_territory").count() == 6
     assert seeds.finding_types(spark).select("code").distinct().count() == 12
     assert seeds.concept_taxonomy(spark).first()["name"] == "unclassified"
+
+
+def test_references_in_one_shuffle(spark, rows):
+    """NULL parts, keys of two columns, self references, other types, repeated parents."""
+    nodes = spark.createDataFrame([(1, None, 1, "a"), (2, 1, 1, None), (3, 9, 2, "b"), (3, 3, 1, "b")], "id int, up int, x int, y string")
+    pairs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c")], "x bigint, y string")
+    none = pairs.limit(0)
+    tables = {"nodes": nodes, "pairs": pairs, "none": none}
+    refs = [
+        ("nodes", {"up": "id"}, "nodes"), ("nodes", {"x": "x", "y": "y"}, "pairs"), ("pairs", {"x": "id"}, "nodes"),
+        ("nodes", {"x": "x"}, "none"), ("none", {"x": "x"}, "pairs"), ("none", {"x": "id"}, "nodes"),
+    ]
+    found = rows(quality.reference_violations(tables, refs), "child", "columns", "parent", "orphans")
+    slow = [(c, ",".join(on), p, quality.orphans(tables[c], tables[p], on).count()) for c, on, p in refs]
+    assert found == sorted(slow, key=repr) and ("nodes", "x,y", "pairs", 2) in found
+
+
+def test_hot_reference_is_counted_before_the_shuffle(spark):
+    child = spark.range(30000).select((F.col("id") % 3 * F.col("id")).alias("p"))
+    report = quality.reference_violations({"c": child, "p": spark.range(10)}, [("c", {"p": "id"}, "p")])
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and plan.count("hashpartitioning(target") <= 3
+    assert report.first()["orphans"] == child.filter("p >= 10").count()
