@@ -1,11 +1,14 @@
 """Sources and sinks on the driver tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plenum.plans.registry import query
 from plenum.schema.seeds import us_states
-from plenum.session import materialize
+from plenum.session import materialize, shared_dir
 from plenum.sources import io, merge
+from plenum.sources.buckets import BucketedTable
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -104,17 +107,21 @@ def upsert(t):
     return merge.upsert(target, delta, ["o_orderkey"], ["o_totalprice"], ["o_totalprice", "o_custkey"])
 
 
-@query(
-    "replace_by_key",
-    """WITH stored AS (
+REPLACE_SQL = """WITH stored AS (
       SELECT CASE WHEN role <> 'system' THEN conv_id END AS conv_id, turn, text FROM conversations),
     fresh AS (SELECT conv_id, turn - 6 AS turn, '~' || text AS text FROM conversations WHERE turn >= 6)
     SELECT conv_id, turn, text FROM stored
     WHERE conv_id IS NULL OR conv_id NOT IN (SELECT conv_id FROM fresh)
-    UNION ALL SELECT conv_id, turn, text FROM fresh""",
-)
+    UNION ALL SELECT conv_id, turn, text FROM fresh"""
+
+
+@query("replace_by_key", REPLACE_SQL)
 def replace_by_key(t):
     """Long conversations are replaced by their last turns; system turns have no parent."""
+    return merge.replace_by_key(*conversations(t), "conv_id")
+
+
+def conversations(t):
     rows = t("conversations", "conv_id", "turn", "role", "text")
     stored = rows.select(
         F.when(F.col("role") != "system", F.col("conv_id")).alias("conv_id"), "turn", "text"
@@ -122,7 +129,18 @@ def replace_by_key(t):
     fresh = rows.filter("turn >= 6").select(
         "conv_id", (F.col("turn") - 6).alias("turn"), F.concat(F.lit("~"), "text").alias("text")
     )
-    return merge.replace_by_key(stored, fresh, "conv_id")
+    return stored, fresh
+
+
+@query("replace_in_buckets", REPLACE_SQL)
+def replace_in_buckets(t):
+    """The same, in a stored table of which only the buckets concerned are rewritten."""
+    stored, fresh = conversations(t)
+    path = f"{shared_dir(t.spark)}/buckets-{uuid.uuid4().hex}"
+    table = BucketedTable(t.spark, path, stored.schema, ("conv_id",), 16)
+    table.rewrite(stored, lambda old, new: old.unionByName(new))
+    table.replace(fresh)
+    return table.read()
 
 
 ARCHIVED_SQL = """SELECT o.o_orderkey, o.o_totalprice, o.updated,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plenum.plans.registry import query
 from plenum.plans.tables import SCHEMAS
 from plenum.session import shared_dir
+from plenum.sources.buckets import BucketedTable
 from plenum.sources.io import seed
 from plenum.streaming import jobs
 
@@ -32,6 +33,23 @@ def stream_upsert(t):
     return jobs.read_upserted(t.spark, sink, rows.schema, ["user_id"], ["ts", "event_id"])
 
 
+@query(
+    "stream_into_buckets",
+    """SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (
+      PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos FROM events) WHERE pos = 1""",
+)
+def stream_into_buckets(t):
+    """The newest event of each user, from four micro-batches, in a table of buckets."""
+    sink, checkpoint = folders(t)
+    arrived = f"{sink}-in"
+    events = t("events", "user_id", "event_id", "ts", "event_type")
+    events.repartition(4, "event_id").write.parquet(arrived)
+    feed = jobs.file_stream(t.spark, arrived, events.schema, files_per_batch=1)
+    table = BucketedTable(t.spark, sink, events.schema, ("user_id",), 8)
+    jobs.stream_into_buckets(feed, table, checkpoint, ["ts", "event_id"]).awaitTermination()
+    return table.read()
+
+
 @query(
     "stream_ready",
     """SELECT user_id FROM events GROUP BY user_id
