@@ -174,6 +174,67 @@ def score_grain(evidence: DataFrame, grain: str) -> DataFrame:
     )
 
 
+PARTS = ["user_id", "member_id", "congress", "topic", "bill_id", "vote_id"]
+EXACT = "decimal(38,15)"
+
+
+def score_parts(evidence: DataFrame) -> DataFrame:
+    """What scores are made of, to be stored: per user, member, congress, topic, bill and
+    vote the sum of alignments, how many are not NULL, and how many rows there are. Sums are
+    decimals, so that what was added can be taken away without a remainder; an alignment
+    that is no number counts as NULL."""
+    return _parts(evidence.withColumn("sign", F.lit(1)))
+
+
+def _parts(signed: DataFrame) -> DataFrame:
+    alignment, sign = F.col("alignment_score").try_cast(EXACT), F.col("sign").cast("bigint")
+    return signed.groupBy(*PARTS).agg(
+        F.coalesce(F.sum((alignment * sign).cast(EXACT)), F.lit(0)).cast(EXACT).alias("total"),
+        F.coalesce(F.sum(F.when(alignment.isNotNull(), sign)), F.lit(0)).alias("known"),
+        F.sum(sign).alias("present"),
+    )
+
+
+def changed_parts(parts: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored parts of the pairs of user and member that ``changes`` concerns, brought
+    up to date. ``changes`` is evidence with a ``sign``: 1 for a row that came, -1 for one
+    that went; a corrected row is both. Parts without rows left are not kept. Stored parts
+    of other pairs are only looked up, not shuffled where the changes are few."""
+    delta = _parts(changes)
+    pair = ["user_id", "member_id"]
+    concerned = delta.select(*[F.col(c).alias(f"_{c}") for c in pair]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair]
+    stored = parts.join(concerned, same, "left_semi").select(*PARTS, "total", "known", "present")
+    sums = [F.sum(c).cast(EXACT if c == "total" else "bigint").alias(c) for c in ("total", "known", "present")]
+    return stored.unionByName(delta).groupBy(*PARTS).agg(*sums).filter("present > 0")
+
+
+def scores_of_parts(parts: DataFrame, grain: str) -> DataFrame:
+    """One grain of ``score_rollup`` from stored parts. Pairs whose evidence is all gone
+    have no row, so a caller that replaces the scores of changed pairs drops these."""
+    keys = ["user_id", "member_id", *{"overall": [], "topic": ["topic"], "congress": ["congress"],
+                                      "congress_topic": ["congress", "topic"]}[grain]]
+    per_vote = parts.groupBy(*keys, "bill_id", "vote_id").agg(F.sum("total").alias("_sum"), F.sum("known").alias("_rows"))
+    per_bill = per_vote.groupBy(*keys, "bill_id").agg(
+        F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows"), F.count("*").alias("_votes")
+    )
+    return per_bill.groupBy(*keys).agg(
+        F.try_divide(F.sum("_sum").cast("double"), F.sum("_rows")).alias("score"),
+        F.count("*").alias("bills"),
+        F.sum("_votes").alias("votes"),
+    )
+
+
+def rescored(parts: DataFrame, scores: DataFrame, changes: DataFrame, grain: str) -> DataFrame:
+    """The scores of one grain after ``changes``: those of the pairs concerned are made anew
+    from their parts, all others stay as they are stored."""
+    fresh = scores_of_parts(changed_parts(parts, changes), grain).select(*scores.columns)
+    pair = ["user_id", "member_id"]
+    concerned = changes.select(*[F.col(c).alias(f"_{c}") for c in pair]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in pair]
+    return scores.join(concerned, same, "left_anti").unionByName(fresh)
+
+
 def score_tables(rollup: DataFrame | Callable[[str], DataFrame]) -> dict[str, DataFrame]:
     """The four score tables of the data model, from a rollup or from a function that
     gives the scores of one grain."""

@@ -12,6 +12,7 @@ from plenum.operators.joins import resolve_identity
 from plenum.operators.skew import grouped_for_join
 from plenum.plans.joins import RESOLVED_SQL, identity_inputs
 from plenum.plans.registry import query
+from plenum.session import materialize
 
 
 def stances(t):
@@ -252,6 +253,26 @@ def score_congress(t):
     return scoring.score_tables(by_grain(evidence(t)))["score_congress"]
 
 
+@query(
+    "rescored_topics",
+    f"SELECT user_id, member_id, congress, topic, score, bills, votes FROM ({SCORE_SQL}) WHERE grain = 'congress_topic'",
+)
+def rescored_topics(t):
+    """Stored scores brought up to date: one user's seventh votes have come since, and the
+    sixth were recorded too low. The result is that of all evidence scored anew."""
+    rows = evidence(t)
+    number, concerned = F.col("vote_id") % 10, F.col("user_id") == 3
+    low = F.col("alignment_score") - F.lit(1.0)
+    late, wrong = concerned & (number == 7), concerned & (number == 6)
+    before = rows.filter(~late).withColumn("alignment_score", F.when(wrong, low).otherwise(F.col("alignment_score")))
+    changes = rows.filter(late | wrong).withColumn("sign", F.lit(1)).unionByName(
+        rows.filter(wrong).withColumn("alignment_score", low).withColumn("sign", F.lit(-1))
+    )
+    parts = materialize(scoring.score_parts(before), "parts")
+    stored = materialize(scoring.scores_of_parts(parts, "congress_topic"), "scores")
+    return scoring.rescored(parts, stored, changes, "congress_topic").withColumn("score", F.round("score", 7))
+
+
 def snapshot(t):
     rows = evidence(t)
     return scoring.snapshot_scores(

@@ -164,3 +164,35 @@ def test_changed_users(spark, rows):
     users = spark.createDataFrame([(1, "2025"), (2, "2023"), (3, "2025"), (4, None)], "user_id int, last_stance_change_at string")
     scores = spark.createDataFrame([(1, "2024"), (2, "2024"), (1, "2022")], "user_id int, last_updated string")
     assert rows(scoring.changed_users(users, scores), "user_id") == [(1,), (3,)]
+
+
+def test_changed_scores_equal_all_evidence_scored_anew(spark):
+    """Rows come, go and are corrected, some without alignment or key; one pair loses all."""
+    rng = random.Random(8)
+    before = evidence_rows() + [(1, 0, 1, None, 3, None, None), (None, 2, 1, "a", 5, 5, 0.1), (9, 9, 1, "a", 1, 1, 0.3)]
+    gone = [r for r in before if r[0] == 9] + rng.sample([r for r in before if r[1] == 0], 20)
+    corrected = rng.sample([r for r in before if r[1] == 1], 10)
+    came = [(1, 0, 2, "c", 900, 901, 0.7), (7, 7, 1, "b", 1, 1, 0.2), (None, 2, 1, "a", 6, 6, None), (1, 0, 1, "d", 3, 11, float("nan"))]
+    after = list(before)
+    for r in gone + corrected:
+        after.remove(r)
+    after += came + [(*r[:6], 0.9) for r in corrected]
+    signed = [(*r, -1) for r in gone + corrected] + [(*r, 1) for r in came] + [(*r[:6], 0.9, 1) for r in corrected]
+    changes = spark.createDataFrame(signed, EVIDENCE + ", sign int")
+    parts = scoring.score_parts(spark.createDataFrame(before, EVIDENCE))
+    known = [(*r[:6], None if r[6] != r[6] else r[6]) for r in after]
+    final = spark.createDataFrame(known, EVIDENCE)
+
+    def plain(df):
+        cols = [c for c in ("user_id", "member_id", "congress", "topic") if c in df.columns]
+        return sorted(
+            [(*[r[c] for c in cols], None if r["score"] is None else round(r["score"], 9), r["bills"], r["votes"]) for r in df.collect()],
+            key=repr,
+        )
+
+    for grain in ("overall", "topic", "congress", "congress_topic"):
+        stored = scoring.scores_of_parts(parts, grain)
+        assert plain(scoring.rescored(parts, stored, changes, grain)) == plain(scoring.score_grain(final, grain))
+        assert plain(scoring.rescored(parts, stored, changes.limit(0), grain)) == plain(stored)
+    kept = scoring.changed_parts(parts, changes)
+    assert kept.select("user_id", "member_id").distinct().count() < parts.select("user_id", "member_id").distinct().count()
