@@ -50,12 +50,12 @@ def kd_shards(
     """Per row: the id, ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
     Either the number of shards or the bytes each should reach is given. ``dims`` are
-    integer expressions on ``df``; by default the bytes per code point of the text, which
-    tell scripts apart, and its hash. The tree is built level by level on the stored
+    integer expressions on ``df``; by default the code points of the text and its bytes per
+    code point, which tell scripts apart: equal texts are equal in both, so they stay together. The tree is built level by level on the stored
     metadata; the texts are read once.
     """
     points_of = F.char_length(F.coalesce(F.col(text), F.lit("")))
-    own = dims or [F.floor(1000 * byte_size(text) / (points_of + 1)), text_crc(text)]
+    own = dims or [points_of, F.floor(1000 * byte_size(text) / (points_of + 1))]
     names = [f"_d{i}" for i in range(len(own))]
     points = df.select(
         F.col(id_),
