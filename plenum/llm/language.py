@@ -3,12 +3,13 @@
 The kernel of two texts is the blended spectrum of character n-grams: how many different
 n-grams of 1 to 3 characters they share, over the root of the product of their numbers.
 N-grams are those of the landmarks, ``LANDMARKS`` training texts of each language; letters
-are lower-cased, everything else is one symbol. The Nyström method turns the kernel with the
+are lower-cased and each is a symbol, everything else is one. The Nyström method turns the kernel with the
 landmarks into features, on which one ridge regression for each language, against the rest,
 is solved. A text is scored by matrix products in batches: its presence of n-grams, times
 the landmarks' presence, times the solved weights; the last two are multiplied beforehand.
 
-Labels come from at most ``PER_LANGUAGE`` texts of each language. Defined results: NULL texts
+Labels come from at most ``PER_LANGUAGE`` texts of each language and ``labelled.MAX_BYTES``
+of text in all. Defined results: NULL texts
 and texts without a letter are ``und`` with score 0; repeated rows agree; without any label
 all are ``und``; equal values go to the first language by code point; an empty table gives an
 empty result. Only the id, the text and, for training rows, the language are read.
@@ -29,7 +30,8 @@ from plenum.llm.labelled import held_out, sample_by_class
 FOLDS, FOLD = 3, 1
 LANDMARKS = 60
 PER_LANGUAGE = 300
-ALPHABET = 250
+SLOT_BITS = 22
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 RIDGE = 1e-2
 UNKNOWN = "und"
 PIECE = 1 << 20
@@ -51,16 +53,14 @@ def points(text: str) -> np.ndarray:
 
 
 class Spectrum:
-    """N-grams of 1 to 3 symbols, numbered."""
+    """N-grams of 1 to 3 symbols, numbered. Every letter of the landmarks is a symbol of its
+    own; letters that none of them has are one, and so is everything else."""
 
-    def __init__(self, texts: list[str], alphabet: int = ALPHABET):
+    def __init__(self, texts: list[str]):
         seen = [points(t.lower()) for t in texts]
-        count = np.bincount(np.concatenate([x[letters()[x]] for x in seen] or [np.zeros(0, int)]).astype(np.int64))
-        common = np.argsort(-count, kind="stable")[:alphabet]
-        self.symbols = [int(c) for c in common if count[c]]
-        self.prepare()
-        grams = [np.unique(np.concatenate([self.grams(x)[n] for x in seen])) for n in range(3)]
-        self.kept = grams
+        self.symbols = np.unique(np.concatenate([x[letters()[x]] for x in seen] or [np.zeros(0, np.uint32)]))
+        self.number()
+        self.kept = np.unique(np.concatenate([np.unique(self.grams(x)) for x in seen]))
         self.prepare()
 
     def __getstate__(self):
@@ -68,35 +68,59 @@ class Spectrum:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
+        self.number()
         self.prepare()
 
-    def prepare(self):
-        """Tables by code point and by n-gram, rebuilt where the object arrives."""
-        table = np.zeros(sys.maxunicode + 1, np.uint8)
-        table[letters()] = 255
+    def number(self):
+        table = np.zeros(sys.maxunicode + 1, np.uint64)
+        table[letters()] = len(self.symbols) + 1
         table[self.symbols] = np.arange(1, len(self.symbols) + 1)
         self.table = table
-        if hasattr(self, "kept"):
-            self.size = sum(map(len, self.kept))
-            self.place, start = [], 0
-            for n, own in enumerate(self.kept):
-                place = np.full(1 << (8 * (n + 1)), self.size, np.uint32)
-                place[own] = np.arange(start, start + len(own))
-                start += len(own)
-                self.place.append(place)
-
-    def grams(self, x: np.ndarray) -> list[np.ndarray]:
-        s = self.table[x].astype(np.uint32)
-        two = (s[:-1] << 8) | s[1:]
-        return [s, two, (two[:-1] << 8) | s[2:]]
+
+    def prepare(self):
+        """A table of slots that holds one n-gram each; n-grams that share the slot of an
+        earlier one are found in a sorted list."""
+        self.size = len(self.kept)
+        slots, first = np.unique(self.slots(self.kept), return_index=True)
+        self.held = np.full(1 << SLOT_BITS, self.size, np.uint32)
+        self.held[slots] = first
+        late = np.ones(self.size, bool)
+        late[first] = False
+        self.late = np.flatnonzero(late)
+        self.crowded = np.zeros(1 << SLOT_BITS, bool)
+        self.crowded[self.slots(self.kept[late])] = True
+        self.codes = np.append(self.kept, np.uint64(0))  # no n-gram has code 0
+
+    @staticmethod
+    def slots(codes: np.ndarray) -> np.ndarray:
+        return (codes * SPREAD) >> np.uint64(64 - SLOT_BITS)
+
+    def grams(self, x: np.ndarray) -> np.ndarray:
+        """Codes of all n-grams: 21 bits for a symbol, counted from 1, so that codes of
+        different lengths differ."""
+        s = self.table[x] + np.uint64(1)
+        two = (s[:-1] << np.uint64(21)) | s[1:]
+        return np.concatenate([s, two, (two[:-1] << np.uint64(21)) | s[2:]])
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each n-gram, or ``size`` where no landmark has it."""
+        slots = self.slots(codes)
+        place = self.held[slots]
+        place[self.codes[place] != codes] = self.size
+        open_ = np.flatnonzero((place == self.size) & self.crowded[slots]) if len(self.late) else ()
+        if len(open_):
+            late = self.kept[self.late]  # sorted, as all of them
+            at = np.minimum(np.searchsorted(late, codes[open_]), len(late) - 1)
+            hit = late[at] == codes[open_]
+            place[open_[hit]] = self.late[at[hit]]
+        return place
 
     def presence(self, text: str, row: np.ndarray) -> None:
         """Set the n-grams of a text in a row of ``size + 1`` numbers; the last one takes
         those that no landmark has."""
         for at in range(0, max(len(text), 1), PIECE):
             x = points(text[at : at + PIECE + 2].lower())
-            for place, own in zip(self.place, self.grams(x)):
-                row[place[own]] = 1
+            row[self.places(self.grams(x))] = 1
         row[-1] = 0
 
 

@@ -212,3 +212,26 @@ def test_registered_toxicity(spark):
     rows = [r for r in QUERIES["op3_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in truth]
     y, p = np.array([truth[r.doc_id] for r in rows]), np.array([r.predicted for r in rows])
     assert p[y == 1].mean() > 0.85 and y[p == 1].mean() > 0.85
+
+
+def test_every_letter_counts_in_large_alphabets(monkeypatch):
+    """N-grams of a thousand letters against sets of tuples, with crowded slots."""
+    from plenum.llm import language
+
+    monkeypatch.setattr(language, "SLOT_BITS", 10)
+    rng = np.random.default_rng(4)
+    letters = [chr(0x4E00 + k) for k in range(1000)] + list("aéß한글 ,1")
+    texts = ["".join(rng.choice(letters, 400)) for _ in range(8)]
+    spectrum = language.Spectrum(texts)
+    known = set("".join(texts).lower())
+
+    def grams(text):
+        own = [c if c in known and c.isalpha() else "?" if c.isalpha() else None for c in text.lower()]
+        return {tuple(own[k : k + n]) for n in (1, 2, 3) for k in range(len(own) - n + 1)}
+
+    every = set().union(*map(grams, texts))
+    assert spectrum.size == len(every) and len(spectrum.late) > 0
+    for text in [texts[0], texts[1][:50] + "xyz 龥 , é", "", "é"]:
+        row = np.zeros(spectrum.size + 1, np.float32)
+        spectrum.presence(text, row)
+        assert row.sum() == len(grams(text) & every)
