@@ -5,16 +5,18 @@ URL path, and each is paired with the one before or after it that shares the lon
 of the path. The lines of text of a pair are aligned by their longest common subsequence, and
 lines that both share go.
 
-Before that, markup is read once into lines, one for each block. What stands in elements that
-never hold an article goes: scripts, styles, menus, headers, footers, asides, forms, and
-blocks named as adverts, notices, sidebars or comments. If a page marks an article (or a main
-part), only what it holds counts, and its headings and paragraphs are body text that stays
-even where another page repeats it; on pages without such a mark, every line may be shared.
-
-Only the lines that may be shared travel to be ordered: by range of host and path, so a large
-host lies in many partitions, with the border pages handed over between neighbours. Pages without such lines
-are nobody's neighbour. Pages of a host with the same lines are one page there, at the least of their paths, so repeated pages
-keep their text. Pages are read twice, which costs less than keeping what was read.
+Before that, markup is read once into lines, one for each block: furniture, body text, or free.
+Furniture is what stands in elements that never hold an article (menus, headers, footers, asides,
+forms, and blocks named as adverts, notices, sidebars or comments) and, if a page marks an article
+(or a main part), all that lies outside it. Headings and paragraphs of a marked article are body
+text. Scripts and styles are no lines. Furniture and free lines of every page are differenced.
+Markup has the last word where it is plain: body text stays even where another page repeats it,
+for articles quote each other, and furniture goes even where no page near by has it.
+
+Lines travel as 128-bit hashes to be ordered by range of host and path, so a large
+host lies in many partitions, with the border pages handed over between neighbours. Pages of body text
+alone are nobody's neighbour. Pages of a host with the same lines but for furniture are one page there, at the least of
+their paths, so repeated pages keep their text. Pages are read twice, which costs less than keeping what was read.
 
 Defined results: NULL or empty html gives an empty text; NULL and malformed URLs share one
 host; a page alone in its host is compared with nothing; an empty table gives an empty result;
@@ -97,10 +99,19 @@ def _tag_end(page: str, at: int) -> int:
     return -1
 
 
+FURNITURE, FREE, BODY_TEXT = range(3)
+
+
 def lines(page: str) -> list[tuple[str, bool]]:
     """(text, whether it is body text) of each block that may hold the article."""
-    found: list[tuple[str, bool, bool, bool]] = []
+    return [(t, kind == BODY_TEXT) for t, kind in all_lines(page) if kind != FURNITURE]
+
+
+def all_lines(page: str) -> list[tuple[str, int]]:
+    """(text, kind) of each block."""
+    found: list[tuple[str, bool, bool, bool, bool]] = []
     held: list[str] = []
+    left: list[str] = []  # what stands in an element left out
     skip, depth = "", 0  # the element being left out, and how deep in its own kind
     inner = outer = 0  # open articles, open main parts
     body = False
@@ -111,15 +122,22 @@ def lines(page: str) -> list[tuple[str, bool]]:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            found.append((text, inner > 0, outer > 0, body))
+            found.append((text, inner > 0, outer > 0, body, False))
+
+    def close_left():
+        text = " ".join(entities.unescape("".join(left)).split())
+        left.clear()
+        if text:
+            found.append((text, False, False, False, True))
 
     while tag := next_tag(page, at, quotes):
         start, end, name, ending, attributes, quotes = tag
-        if not skip:
-            held.append(page[at:start])
+        (left if skip else held).append(page[at:start])
         at = end
         if not name:
             continue
+        if left and (not skip or name in BLOCKS):
+            close_left()
         if name in RAW and not ending:
             if _closes_itself(attributes):
                 continue
@@ -162,14 +180,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
         inner += name == "article"
         outer += name == "main"
         body = name in BODY
-    if not skip:
-        held.append(_without_open_tag(page[at:]))
+    (left if skip else held).append(_without_open_tag(page[at:]))
     close()
-    if any(a for _, a, _, _ in found):
-        return [(t, b) for t, a, _, b in found if a]
-    if any(m for _, _, m, _ in found):
-        return [(t, b) for t, _, m, b in found if m]
-    return [(t, False) for t, *_ in found]
+    close_left()
+    place = 1 if any(f[1] for f in found) else 2 if any(f[2] for f in found) else None
+    if place is None:
+        return [(f[0], FURNITURE if f[4] else FREE) for f in found]
+    return [(f[0], FURNITURE if not f[place] else BODY_TEXT if f[3] else FREE) for f in found]
 
 
 def _closes_itself(attributes: str) -> bool:
@@ -277,16 +294,19 @@ def main_text(df: DataFrame, id_: str = "page_id", url: str = "url", page: str =
     kinds = {n: df.schema[c].dataType.simpleString() for n, c in (("_id", id_), ("_url", url))}
 
     def read_loose(batch):
-        found = [lines(p or "") for p in batch.column("_page").to_pylist()]
+        found = [all_lines(p or "") for p in batch.column("_page").to_pylist()]
+        loose = [[(t, kind) for t, kind in own if kind != BODY_TEXT] for own in found]
         yield {
-            "_lines": [digest(own) for own in found],
-            "_loose": [[t for t, body in own if not body] for own in found],
+            "_lines": [digest([(t, kind == BODY_TEXT) for t, kind in own if kind != FURNITURE]) for own in found],
+            "_loose": [[hashed(t) for t, _ in own] for own in loose],
+            "_free": [[k for k, (_, kind) in enumerate(own) if kind == FREE] for own in loose],
             **{n: batch.column(n) for n in ("_host", "_path")},
         }
 
-    loose = map_batches(rows, read_loose, "_host string, _path string, _lines binary, _loose array<string>")
-    loose = loose.where(F.size("_loose") > 0)
-    known = loose.groupBy("_host", "_lines").agg(F.min(F.struct("_path", "_loose")).alias("_at")).select("_host", "_at.*", "_lines")
+    kind = "_host string, _path string, _lines binary, _loose array<binary>, _free array<int>"
+    loose = map_batches(rows, read_loose, kind).where(F.size("_loose") > 0)
+    least = F.min(F.struct("_path", "_loose", "_free"))
+    known = loose.groupBy("_host", "_lines").agg(least.alias("_at")).select("_host", "_at.*", "_lines")
     order = ["_host", "_path", "_lines"]
     sorted_ = known.repartitionByRange(*order).sortWithinPartitions(*order)
     sites = materialize(sorted_.withColumn("_part", F.spark_partition_id()), "sites")
@@ -301,7 +321,7 @@ def main_text(df: DataFrame, id_: str = "page_id", url: str = "url", page: str =
     placed = sites.select(
         "*", F.lag(what).over(inside).alias("_before"), F.lead(what).over(inside).alias("_after")
     ).join(edges, ["_part", "_host"])
-    pairs = placed.select("_host", "_path", "_lines", "_loose", *[
+    pairs = placed.select("_host", "_path", "_lines", "_loose", "_free", *[
         F.coalesce(n, edge).dropFields("_lines").alias(n) for n, edge in (("_before", "_earlier"), ("_after", "_later"))
     ])
 
@@ -309,7 +329,8 @@ def main_text(df: DataFrame, id_: str = "page_id", url: str = "url", page: str =
         gone = []
         for r in batch.to_pylist():
             near = [n and (n["_path"], n["_loose"]) for n in (r["_before"], r["_after"])]
-            gone.append(sorted(common(r["_loose"], nearest_lines(r["_path"], near))))
+            shared = common(r["_loose"], nearest_lines(r["_path"], near))
+            gone.append([k for k, place in enumerate(r["_free"]) if place in shared])
         yield {"_host": batch.column("_host"), "_lines": batch.column("_lines"), "_gone": gone}
 
     shared = map_batches(pairs, align, "_host string, _lines binary, _gone array<int>")
@@ -332,6 +353,10 @@ def main_text(df: DataFrame, id_: str = "page_id", url: str = "url", page: str =
     return found.select(F.col("_id").alias(id_), F.col("_url").alias(url), text.alias("text"))
 
 
+def hashed(line: str) -> bytes:
+    return hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
 def digest(own: list[tuple[str, bool]]) -> bytes:
     """128 bits over the lines and their marks. Lines hold no line breaks."""
     return hashlib.md5("\n".join(f"{b:d}{t}" for t, b in own).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()

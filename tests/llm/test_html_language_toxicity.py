@@ -102,6 +102,18 @@ def test_nearest_neighbours_over_partitions(spark):
     assert {t for k, t in got.items() if 2000 <= k < 3000} == {"Copied\n\ntwice"}
 
 
+def test_every_page_is_differenced(spark):
+    """Pages that mark an article are differenced too: what the last page has in no marked part
+    is furniture, as the page near by shows."""
+    page = "<nav><ul><li>Menu</li></ul></nav><div class='ad'>Buy {0}</div><article><p>Body</p></article><footer>Foot</footer>"
+    assert [t for t, _ in html_text.all_lines(page)] == ["Menu", "Buy {0}", "Body", "Foot"]
+    rows = [(k, f"http://h.com/{k}", page.format(k)) for k in range(6)] + [(9, "http://h.com/9", "<nav>Menu</nav><div>Foot</div><div>Own</div>")]
+    rows[1] = (1, "http://h.com/1", page.format(1).replace("Body", "Other"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == {k: "Other" if k == 1 else "Own" if k == 9 else "Body" for k in got} and len(got) == 7
+
+
 def brute_differences(pages):
     """Difference of every page with its nearest neighbour, all on one list."""
     read = {k: html_text.lines(h or "") for k, _, h in pages}
