@@ -1,4 +1,4 @@
-from plenum.session import materialize, shared_dir
+from plenum.session import FILE_BYTES, TASK_BYTES, materialize, partitions_by_input, shared_dir
 
 
 class Conf:
@@ -24,3 +24,19 @@ def test_materialized_table_is_read_back_from_the_folder(spark):
     df = materialize(spark.range(10).withColumnRenamed("id", "k"), "numbers")
     assert df.count() == 10 and df.columns == ["k"]
     assert all(f"{shared_dir(spark)}/numbers-".split(":")[-1] in f for f in df.inputFiles())
+
+
+def test_shuffle_partitions_grow_with_the_files(spark, tmp_path):
+    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(k, None) for k in keys]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a").write_bytes(bytes(9 * FILE_BYTES + 1))
+    (tmp_path / "b").write_bytes(b"x")
+    try:
+        partitions_by_input(spark, str(tmp_path / "b"))
+        assert spark.conf.get(keys[0]) == spark.conf.get("spark.sql.shuffle.partitions")
+        partitions_by_input(spark, str(tmp_path / "t"), str(tmp_path / "b"))
+        assert [spark.conf.get(k) for k in keys] == ["10", str(TASK_BYTES)]
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
