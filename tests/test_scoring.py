@@ -196,3 +196,18 @@ def test_changed_scores_equal_all_evidence_scored_anew(spark):
         assert plain(scoring.rescored(parts, stored, changes.limit(0), grain)) == plain(stored)
     kept = scoring.changed_parts(parts, changes)
     assert kept.select("user_id", "member_id").distinct().count() < parts.select("user_id", "member_id").distinct().count()
+
+
+def test_rollup_keeps_rows_of_a_bill_in_place(spark, rows):
+    """Rows that a join has put by bill are not shuffled again before the bill is summed up;
+    votes on several topics count once in the grains over all topics."""
+    data = [(u, m, c, t, 10 * c + b, 100 * c + 10 * b + v, float(v)) for u in (1, None) for m in (1, 2) for c in (1, 2)
+            for t in ("x", "y", None) for b in (0, 1) for v in (0, 1, 2) if t != "y" or v < 2]
+    schema = "user_id int, member_id int, congress int, topic string, bill_id int, vote_id int, alignment_score double"
+    found = scoring.score_rollup(spark.createDataFrame(data, schema).repartition("bill_id"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("vote_id" in line for line in moved) and sum("bill_id" in line for line in moved) <= 2
+    overall = [tuple(r) for r in found.filter("grain = 'overall'").select("user_id", "member_id", "bills", "votes").collect()]
+    assert sorted(overall, key=repr) == sorted([(u, m, 4, 12) for u in (1, None) for m in (1, 2)], key=repr)
+    assert found.filter("grain = 'congress_topic'").count() == 24
