@@ -188,32 +188,20 @@ class Cells:
             else:
                 right = right.sort_by("id")
                 right_ids = right.column("id")
-                cos = unit_rows(left.column("vec")) @ unit_rows(right.column("vec")).T
-                grid_ = np.round(1.0 - cos, digits) + 0.0
+                ours_, theirs_ = unit_rows(left.column("vec")), unit_rows(right.column("vec"))
+                most = left.column("most").to_numpy()
+                wanted = np.minimum(most, np.inf if limit is None else limit)
+                same = np.full(left.num_rows, -1)
                 if skip_same:
                     at = {key: col for col, key in enumerate(right_ids.to_pylist())}
-                    mine = [(row, at.get(key)) for row, key in enumerate(left.column("id").to_pylist())]
-                    same = np.array([m for m in mine if m[1] is not None], dtype=np.int64).reshape(-1, 2)
-                    grid_[same[:, 0], same[:, 1]] = np.inf
-                keep = np.isfinite(grid_) & (grid_ <= left.column("most").to_numpy()[:, None])
-                if limit is not None:
-                    keep &= grid_ <= limit
-                if k is not None and k < grid_.shape[1]:
-                    keep &= grid_ <= np.partition(grid_, k - 1, axis=1)[:, k - 1 : k]
+                    same = np.array([at.get(key, -1) for key in left.column("id").to_pylist()])
+                rows, cols, distances = _near(ours_, theirs_, wanted, same, k, digits)
                 if chains:
-                    mine, theirs = _chained(keep)
+                    mine, theirs = _chained_pairs(rows, cols, left.num_rows, right.num_rows)
                     ours = left.column("id").take(pa.array(np.flatnonzero(mine >= 0)))
                     firsts = right_ids.take(pa.array(np.concatenate([mine[mine >= 0], theirs[theirs >= 0]])))
                     ids = pa.concat_arrays([*ours.chunks, *right_ids.take(pa.array(np.flatnonzero(theirs >= 0))).chunks])
                     return pa.table([ids, firsts, pa.nulls(len(ids), pa.float64())], names=names)
-                rows, cols = np.nonzero(keep)
-                order = np.lexsort((cols, grid_[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                if k is not None:
-                    first = np.searchsorted(rows, rows, side="left")
-                    inside = np.arange(len(rows)) - first < k
-                    rows, cols = rows[inside], cols[inside]
-                distances = grid_[rows, cols]
             return pa.table(
                 [left.column("id").take(pa.array(rows)), right_ids.take(pa.array(cols)),
                  pa.array(distances, pa.float64())],
@@ -226,16 +214,67 @@ class Cells:
         )
 
 
+# Rows compared at a time, and pairs whose exact distance is worked out at a time.
+STRIP_ROWS, EXACT_PAIRS = 512, 1 << 16
+
+
+def _near(left: np.ndarray, right: np.ndarray, wanted: np.ndarray, same: np.ndarray, k: int | None, digits: int):
+    """(row, column, distance) of the pairs up to the distance each row wants, but for the
+    column ``same`` of a row; with ``k`` the best ``k`` of each row, of equals the first. Single precision
+    rules pairs out, as far as its error allows; the others are worked out in double."""
+    slack = 4e-7 * (left.shape[1] + 16) + 10.0**-digits
+    small, across = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    found = []
+    for low in range(0, len(left), STRIP_ROWS):
+        own = slice(low, min(low + STRIP_ROWS, len(left)))
+        cos = small[own] @ across
+        skipped = np.flatnonzero(same[own] >= 0)
+        cos[skipped, same[own][skipped]] = -np.inf
+        least = 1.0 - wanted[own] - slack
+        if k is not None and k < cos.shape[1] and not np.isfinite(wanted[own]).all():
+            kth = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+            least = np.maximum(least, kth.astype(np.float64) - 2 * slack)
+        least = np.maximum(least, -2.0).astype(np.float32) - np.float32(1e-6)
+        flat = np.flatnonzero(cos >= least[:, None])
+        rows, cols = np.divmod(flat, cos.shape[1])
+        if len(flat) > cos.size // 16:  # many copies: cheaper for all pairs at once
+            exact = (left[own] @ right.T).ravel()[flat]
+        else:
+            parts = [slice(at, at + EXACT_PAIRS) for at in range(0, len(flat), EXACT_PAIRS)]
+            exact = [np.einsum("ij,ij->i", left[low + rows[p]], right[cols[p]]) for p in parts]
+            exact = np.concatenate([np.zeros(0), *exact])
+        rows += low
+        distance = np.round(1.0 - exact, digits) + 0.0
+        good = distance <= wanted[rows]
+        rows, cols, distance = rows[good], cols[good], distance[good]
+        if k is not None:
+            order = np.lexsort((cols, distance, rows))
+            rows, cols, distance = rows[order], cols[order], distance[order]
+            inside = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            rows, cols, distance = rows[inside], cols[inside], distance[inside]
+        found.append((rows, cols, distance))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _chained(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and each column of a matrix of matches the first column of its component,
+    """``_chained_pairs`` for a matrix of matches."""
+    return _chained_pairs(*np.nonzero(keep), *keep.shape)
+
+
+def _chained_pairs(rows: np.ndarray, cols: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column the first column of the component that its matches form,
     or -1 without a match. Names go to and fro between rows and columns until they rest."""
-    none = keep.shape[1]
-    theirs = np.where(keep.any(axis=0), np.arange(none), none)
+    theirs = np.full(width, width)
+    theirs[cols] = cols
     while True:
-        mine = np.where(keep, theirs, none).min(axis=1, initial=none)
-        new = np.minimum(theirs, np.where(keep, mine[:, None], none).min(axis=0, initial=none))
+        mine = np.full(height, width)
+        np.minimum.at(mine, rows, theirs[cols])
+        new = theirs.copy()
+        np.minimum.at(new, cols, mine[rows])
         if (new == theirs).all():
-            return np.where(mine < none, mine, -1), np.where(theirs < none, theirs, -1)
+            return np.where(mine < width, mine, -1), np.where(theirs < width, theirs, -1)
         theirs = new
 
 

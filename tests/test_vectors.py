@@ -165,3 +165,23 @@ def test_chained_names_components():
             cols = np.flatnonzero(row[len(keep) :])
             want = cols[0] if len(cols) and (i < len(keep) or keep[:, i - len(keep)].any()) else -1
             assert (mine[i] if i < len(keep) else theirs[i - len(keep)]) == want
+
+
+def test_near_pairs_equal_those_of_all_distances_in_double():
+    rng = np.random.default_rng(5)
+    right = rng.normal(size=(1500, 12))
+    right[700:900] = right[0]
+    right[900:1000] += 1e-5 * rng.normal(size=(100, 12))
+    left = np.concatenate([right[::2], rng.normal(size=(300, 12))])
+    left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right))
+    same = np.where(np.arange(len(left)) < 750, 2 * np.arange(len(left)), -1)
+    whole = np.round(1.0 - left @ right.T, 6) + 0.0
+    whole[np.flatnonzero(same >= 0), same[same >= 0]] = np.inf
+    for wanted in (np.full(len(left), np.inf), np.sort(whole, axis=1)[:, 2], np.where(same >= 0, np.inf, 0.3)):
+        rows, cols, distance = similarity._near(left, right, wanted, same, 3, 6)
+        for r in range(len(left)):
+            best = np.lexsort((np.arange(1500), whole[r]))[:3]
+            best = best[whole[r, best] <= wanted[r]]
+            assert cols[rows == r].tolist() == best.tolist() and np.allclose(distance[rows == r], whole[r, best])
+    rows, cols, distance = similarity._near(left, right, np.full(len(left), 0.4), same, None, 6)
+    assert len(rows) == (whole <= 0.4).sum() and (whole[rows, cols] <= 0.4).all()
