@@ -27,14 +27,14 @@ def test_materialized_table_is_read_back_from_the_folder(spark):
 
 
 def test_shuffle_partitions_grow_with_the_files(spark, tmp_path):
-    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
     before = [spark.conf.get(k, None) for k in keys]
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a").write_bytes(bytes(9 * FILE_BYTES + 1))
     (tmp_path / "b").write_bytes(b"x")
     try:
         partitions_by_input(spark, str(tmp_path / "b"))
-        assert spark.conf.get(keys[0]) == spark.conf.get("spark.sql.shuffle.partitions")
+        assert spark.conf.get(keys[0]) == before[0]
         partitions_by_input(spark, str(tmp_path / "t"), str(tmp_path / "b"))
         assert [spark.conf.get(k) for k in keys] == ["10", str(TASK_BYTES)]
     finally:
