@@ -7,7 +7,9 @@ none is padded; sequences of one length form a bucket, from which batches are dr
 
 Tokens come from a public tokenizer file, applied to whole texts. The tokenizer drops
 white space and never joins across it, so each different word is encoded once and its ids
-are reused; the store of known words is bounded in bytes and only saves time. Strings of the
+are reused; the store of known words is bounded in bytes and only saves time. It knows words
+by a 64-bit hash, in arrays that take an eighth of what a dictionary of them does. New words
+are encoded together, as one text. Strings of the
 tokenizer's special tokens hold no white space and get the ids that it gives them in texts.
 
 No shuffle is needed: pieces are cut where their document is read, and a sequence id is
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,90 @@ from plenum.llm.arrow import Slice, map_batches, slices, word_hashes, word_spans
 LONGEST = 2048
 END_ID = 1
 KNOWN_BYTES = 48 << 20
-ENTRY_BYTES = 200  # of a known word, besides its letters and ids
-ENCODED_AT_ONCE = 4_000
+RECENT_BYTES = 1 << 20
+ENTRY_BYTES = 200  # of a recent word, besides its letters and ids
+ENCODED_AT_ONCE = 1_000
 SLICE = 1 << 20
 
 
+class Store:
+    """Ids of words by their hash; forgets all when the arrays take ``limit`` bytes."""
+
+    def __init__(self, limit: int = KNOWN_BYTES):
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray, encode: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in ``ids``, and how many there are. Hashes rise;
+        ``encode`` gives the ids of the words at the places that are not known."""
+        if sum(x.nbytes for x in (self.hashes, self.begin, self.length, self.ids)) > self.limit:
+            self.forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids = encode(new)
+            length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            begin = len(self.ids) + np.cumsum(length) - length
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), np.uint32))
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            self.begin = np.insert(self.begin, at[new], begin)
+            self.length = np.insert(self.length, at[new], length)
+            at = np.searchsorted(self.hashes, hashes)
+        return self.begin[at], self.length[at]
+
+
 class WordEncoder:
     """Ids of words, encoded once each; forgets all when they take ``limit`` bytes."""
 
-    def __init__(self, path: str, limit: int = KNOWN_BYTES):
+    def __init__(self, path: str, limit: int = RECENT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.known, self.size = limit, {}, 0
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.letters = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.letters[number] = len(token.removesuffix(suffix))
+        self.store = Store()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self._ids(texts)]
+
+    def _encode_together(self, texts: list[str]) -> list[bytes]:
+        """The ids of words, encoded as one text and cut where the letters of the tokens, which
+        are bytes, reach the end of a word. If they miss one, each word is a text."""
+        text, normalizer = " ".join(texts), self.tokenizer.normalizer
+        plain = texts if text.isascii() or normalizer is None else normalizer.normalize_str(text).split(" ")
+        ids = np.array(self._ids([text])[0], np.uint32)
+        size = self.letters[ids]
+        reached, ends = np.cumsum(size), np.cumsum([len(w.encode()) for w in plain])
+        if len(plain) == len(texts) and size.all() and size.sum() == ends[-1] and np.isin(ends, reached).all():
+            cuts = (4 * (np.searchsorted(reached, ends) + 1)).tolist()
+            raw = ids.tobytes()
+            return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return self._encode_each(texts)
+
+    def _encode_new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found, groups = {}, ([], [], [])
+        for w, text in zip(words, texts):  # the last hold white space of other kinds
+            groups[0 if text.isascii() else 1 if text.split() == [text] else 2].append((w, text))
+        for group, encode in zip(groups, (self._encode_together, self._encode_together, self._encode_each)):
+            if group:
+                found.update(zip([w for w, _ in group], encode([text for _, text in group])))
+        return found
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as unsigned 32-bit numbers."""
@@ -56,10 +128,9 @@ class WordEncoder:
         new = [w for w in words if w not in known]
         for at in range(0, len(new), ENCODED_AT_ONCE):
             part = new[at : at + ENCODED_AT_ONCE]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-                self.size += ENTRY_BYTES + len(w) + len(known[w])
+            found = self._encode_new(part)
+            known.update(found)
+            self.size += ENTRY_BYTES * len(part) + sum(map(len, part)) + sum(map(len, found.values()))
         return [known[w] for w in words]
 
 
@@ -79,16 +150,18 @@ def slice_ids(part: Slice, enc: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     texts = len(part.offsets) - 1
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
-    _, first, which = np.unique(word_hashes(part.data, starts, ends, False), return_index=True, return_inverse=True)
-    raw = part.data.tobytes()
-    ids = enc.encode([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-    length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begin = np.cumsum(length) - length
-    each = length[which]
+    hashes, first, which = np.unique(word_hashes(part.data, starts, ends, False), return_index=True, return_inverse=True)
+
+    def encode(new: np.ndarray) -> list[bytes]:
+        raw, at = part.data.tobytes(), first[new]
+        return enc.encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+
+    begin, length = enc.store.find(hashes, encode)
+    each = length[which].astype(np.int64)
     upto = np.cumsum(each)
     places = np.repeat(begin[which] - (upto - each), each) + np.arange(int(upto[-1]))
     bounds = np.concatenate([[0], upto])[np.searchsorted(owner, np.arange(texts + 1))]
-    return np.frombuffer(b"".join(ids), np.uint32)[places], bounds
+    return enc.store.ids[places], bounds
 
 
 def document_ids(column: pa.Array, path: str) -> Iterator[np.ndarray]:

@@ -52,6 +52,41 @@ def test_encoder_forgets():
     assert set(enc.known) == {b"dd", b"aa", b"bb"}
 
 
+def test_new_words_are_encoded_together():
+    enc = packing.WordEncoder(tokenizer_path())
+    given_texts, plain = [], enc._ids
+    enc._ids = lambda texts: given_texts.extend(texts) or plain(texts)
+    words = [f"word{k}x" for k in range(3000)] + ["A", "A'S", "''", "<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "\x00", "\x1f", "\u0301x", "\u00a0", "\u0130"]
+    got = enc.encode([w.encode() for w in words] + [b"a\xe2\x82", b"\xff"])
+    assert len(given_texts) < 20
+    whole = enc.tokenizer.encode_batch([*words, "a\ufffd", "\ufffd"], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in whole]
+
+
+def test_known_words_are_not_encoded_again():
+    enc = packing.WordEncoder(tokenizer_path())
+    plain, asked = enc.encode, []
+    enc.encode = lambda words: asked.extend(words) or plain(words)
+    texts = pa.array([" ".join(f"w{k}x" for k in range(a, a + 9000)) for a in (0, 9000, 18_000, 0, 9000, 18_000)])
+    parts = [packing.slice_ids(part, enc) for part in slices(texts, 80_000)]
+    assert len(asked) == len(set(asked)) == 27_000
+    assert sum(x.nbytes for x in (enc.store.hashes, enc.store.begin, enc.store.length, enc.store.ids)) < 50 * 27_000
+    for k in range(3):
+        assert parts[k][0].tolist() == parts[k + 3][0].tolist()
+        assert parts[k][0].tolist() == enc.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
+    enc.store.limit = 1
+    assert [packing.slice_ids(part, enc)[0].tolist() for part in slices(texts, 80_000)] == [x.tolist() for x, _ in parts]
+
+
+def test_words_that_letters_do_not_tell_apart_are_encoded_each():
+    words = [b"aa", b"bb", b"cc"]
+    whole = packing.WordEncoder(tokenizer_path()).encode(words)
+    for letters in (0, 1, 7):
+        other = packing.WordEncoder(tokenizer_path())
+        other.letters[:] = letters
+        assert other.encode(words) == whole
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 5000, 8192])
 def test_binary_lengths(n):
     lengths = packing.binary_lengths(n)
