@@ -24,6 +24,9 @@ an empty result. Only the id and the text are read.
 
 from __future__ import annotations
 
+import bisect
+import functools
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +42,7 @@ FOLDS, FOLD = 7, 2
 HEAD = 1 << 16
 OWN_INPUT = 4096  # words with an input vector of their own; others use that of their class
 GUIDES = 32  # the most frequent words, whose company groups the others
-GROUPS, BINS = 6, 16
+GROUPS, BINS = 6, 16  # classes of a group on average
 HIDDEN = 16
 WINDOW = 32
 LANES = 128
@@ -47,7 +50,9 @@ TRAIN_LANES = 256
 WARM = 16
 STRETCH = 1024
 RATE = 0.01
-CELLS = 1 << 20  # of a table of states by words of a class
+CELLS = 3 << 14  # of a table of states by words of a class; small enough for a core's cache
+STEPS = 1 << 14  # scored at once
+BUCKET_BITS = 18  # leading bits of a hash by which head words are looked up
 
 
 @dataclass
@@ -65,6 +70,7 @@ class Vocabulary:
     slot: np.ndarray = field(default=None)  # place in order of class
     starts: np.ndarray = field(default=None)  # first slot of each class, and the end
     priors: np.ndarray = field(default=None)  # log share of each class
+    buckets: np.ndarray = field(default=None)  # first place of each run of leading bits, and the end
 
     @property
     def rare(self) -> int:
@@ -83,23 +89,39 @@ class Vocabulary:
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each word in the head, or -1."""
+        found = np.full(len(hashes), -1)
         if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+            return found
+        shift = np.uint64(64 - BUCKET_BITS)
+        if self.buckets is None:
+            self.buckets = np.searchsorted(self.hashes >> shift, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
+        lead = (hashes >> shift).astype(np.int64)
+        at, end = self.buckets[lead], self.buckets[lead + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            own = at[left]
+            hit = self.hashes[own] == hashes[left]
+            found[left[hit]] = own[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
 
     def arrange(self, groups: np.ndarray) -> None:
         """Classes of like frequency inside each group; a class's share of the roots of the
-        counts is even, which keeps both the classes and the words in one few."""
+        counts is even over all groups, which keeps both the classes and the words in one few."""
         order = np.lexsort((self.hashes, -self.counts))
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
         self.classes = np.zeros(len(order), np.int64)
         number = 0
-        for g in np.unique(groups):
+        present = np.unique(groups)
+        roots = np.sqrt(self.counts).sum()
+        for g in present:
             own = order[groups[order] == g]
             root = np.sqrt(self.counts[own])
-            part = np.minimum(BINS * (np.cumsum(root) - root / 2) / root.sum(), BINS - 1).astype(int)
+            bins = max(1, round(BINS * len(present) * root.sum() / roots))
+            part = np.minimum(bins * (np.cumsum(root) - root / 2) / root.sum(), bins - 1).astype(int)
             _, part = np.unique(part, return_inverse=True)
             self.classes[own] = number + part
             number += int(part.max()) + 1
@@ -127,12 +149,13 @@ def tokens(column, vocabulary: Vocabulary) -> Tokens:
     owners, places, texts, hashes, counts = [], [], [], [], []
     for part in slices(column):
         starts, ends, owner = word_spans(part)
-        unique, which = np.unique(word_hashes(part.data, starts, ends, True), return_inverse=True)
-        place = vocabulary.place(unique)
+        hashed = word_hashes(part.data, starts, ends, True)
+        place = vocabulary.place(hashed)
         owners.append(owner + part.first)
-        places.append(place[which])
-        out = place[which] < 0
-        pair, n = np.unique((owner[out] + part.first) * max(len(unique), 1) + which[out], return_counts=True)
+        places.append(place)
+        out = place < 0
+        unique, which = np.unique(hashed[out], return_inverse=True)
+        pair, n = np.unique((owner[out] + part.first) * max(len(unique), 1) + which, return_counts=True)
         texts.append(pair // max(len(unique), 1))
         hashes.append(unique[pair % max(len(unique), 1)])
         counts.append(n)
@@ -179,35 +202,84 @@ def start_weights(voc: Vocabulary, hidden: int = HIDDEN) -> Weights:
 
 
 def by_class(slots: np.ndarray, starts: np.ndarray):
-    """The steps whose word lies in each class, in pieces that keep a table of their states
-    by the words of the class below ``CELLS``: (steps, first slot, end)."""
+    """The steps whose word lies in the head, in order of class, and for each class among
+    them where its steps begin and end in that order, and its first slot and end."""
     known = np.flatnonzero(slots >= 0)
     own = np.searchsorted(starts, slots[known], side="right") - 1
-    order = np.argsort(own, kind="stable")
-    known, own = known[order], own[order]
-    cuts = np.flatnonzero(np.diff(own)) + 1
-    for steps, c in zip(np.split(known, cuts), own[np.concatenate([[0], cuts])] if len(own) else ()):
-        first, end = int(starts[c]), int(starts[c + 1])
-        rows = max(1, CELLS // (end - first))
-        for at in range(0, len(steps), rows):
-            yield steps[at : at + rows], first, end
+    order = np.argsort(own.astype(np.int16), kind="stable")
+    count = np.bincount(own)
+    found = np.flatnonzero(count)
+    count = count[found]
+    to = np.cumsum(count)
+    return known[order], list(zip((to - count).tolist(), to.tolist(), starts[found].tolist(), starts[found + 1].tolist()))
+
+
+def pieces(first: int, end: int, width: int):
+    """Cuts of a range of steps that keep a table of them by ``width`` words below ``CELLS``."""
+    rows = max(1, CELLS // width)
+    return ((at, min(at + rows, end)) for at in range(first, end, rows))
+
+
+@functools.cache
+def ones_of(count: int, kind: np.dtype) -> np.ndarray:
+    return np.ones(count, kind)
+
+
+def exponentials(states: np.ndarray, weights: np.ndarray, goal: np.ndarray) -> tuple:
+    """The softmax of ``states @ weights`` before division: exponentials, their sums by row,
+    the goal's place in the flat table and the log of its share. States are within 1 and
+    weights small, so that the largest value of a row is taken out only where sums would
+    leave single precision."""
+    place = np.arange(len(states)) * weights.shape[1] + goal
+    ones = ones_of(weights.shape[1], weights.dtype)
+    for shift in (False, True):
+        table = states @ weights
+        if shift:
+            table -= table.max(axis=1, keepdims=True)
+        hit = table.ravel()[place]
+        np.exp(table, out=table)
+        sums = table @ ones
+        logs = np.log(sums)
+        if shift or np.abs(logs).max() < 34:
+            return table, sums, place, hit - logs
+
+
+def with_one(states: np.ndarray) -> np.ndarray:
+    """Rows of states with a 1 at the end, which the bias is multiplied by."""
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
+def class_log_odds(weights: Weights, states: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log probability of each step's class; states end with a 1."""
+    value, out = np.zeros(len(states)), np.concatenate([weights["out"], weights["bias"][None]])
+    for a, b in pieces(0, len(states), out.shape[1]):
+        value[a:b] = exponentials(states[a:b], out, target[a:b])[3]
+    return value
 
 
 def word_log_odds(weights: Weights, states: np.ndarray, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The log probability of each step's word in its class; 0 for words outside the head."""
+    """The log probability of each step's word in its class; 0 for words outside the head.
+    States end with a 1."""
     value = np.zeros(len(slots))
-    for steps, first, end in by_class(slots, starts):
-        logits = states[steps] @ weights["words"][first:end].T + weights["share"][first:end]
-        logits -= logits.max(axis=1, keepdims=True)
-        hit = logits[np.arange(len(steps)), slots[steps] - first]
-        np.exp(logits, out=logits)
-        value[steps] = hit - np.log(logits.sum(axis=1))
+    order, classes = by_class(slots, starts)
+    sorted_states, sorted_slots, found = states[order], slots[order], np.empty(len(order))
+    for low, high, first, end in classes:
+        words = np.concatenate([weights["words"][first:end].T, weights["share"][None, first:end]])
+        for a, b in pieces(low, high, end - first):
+            found[a:b] = exponentials(sorted_states[a:b], words, sorted_slots[a:b] - first)[3]
+    value[order] = found
     return value
 
 
+def by_feature(x: np.ndarray) -> np.ndarray:
+    """The same array of (step, lane, feature), with the lanes of a feature next to each other."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).transpose(0, 2, 1)
+
+
 def _step(x: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple:
+    """One step of all lanes; fastest where the lanes of a feature lie next to each other."""
     k = h.shape[1]
-    a = h @ state
+    a = (state.T @ h.T).T
     gates = x[:, : 2 * k] + a[:, : 2 * k]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
@@ -275,6 +347,7 @@ def sequences(toks: Tokens, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np
     return inputs, target, slots, bounds
 
 
+@np.errstate(over="ignore", divide="ignore", invalid="ignore")  # see exponentials
 def log_odds(weights: Weights, starts: np.ndarray, inputs, target, slots, bounds) -> np.ndarray:
     """The log10 probability of each text's classes and of its head words in these; the state
     runs through whole texts."""
@@ -282,47 +355,58 @@ def log_odds(weights: Weights, starts: np.ndarray, inputs, target, slots, bounds
     if not len(inputs):
         return total
     place, begins = spread(inputs, bounds, LANES)
-    h = np.zeros((place.shape[1], HIDDEN), np.float32)
-    chunk = 4096 // place.shape[1] + 1
+    h = np.zeros((HIDDEN, place.shape[1]), np.float32).T
+    chunk = STEPS // place.shape[1] + 1
     value = np.zeros(len(inputs))
     for at in range(0, len(place), chunk):
         own, new = place[at : at + chunk], begins[at : at + chunk]
-        x = weights["table"][inputs[np.maximum(own, 0)]]
-        states = np.empty((len(own), *h.shape), np.float32)
+        x = by_feature(weights["table"][inputs[np.maximum(own, 0)]])
+        states = np.empty((len(own), *h.T.shape), np.float32)
+        starting = new.any(axis=1).tolist()
         for t in range(len(own)):
-            if new[t].any():
-                h = np.where(new[t][:, None], np.float32(0), h)
+            if starting[t]:
+                h = h * ~new[t][:, None]
             h = _step(x[t], h, weights["state"])[0]
-            states[t] = h
+            states[t] = h.T
         live = own >= 0
-        seen, steps = states[live], own[live]
-        logits = seen @ weights["out"] + weights["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        hit = logits[np.arange(len(logits)), target[steps]]
-        np.exp(logits, out=logits)
-        value[steps] = hit - np.log(logits.sum(axis=1)) + word_log_odds(weights, seen, slots[steps], starts)
+        seen, steps = with_one(states.transpose(0, 2, 1)[live]), own[live]
+        value[steps] = class_log_odds(weights, seen, target[steps]) + word_log_odds(weights, seen, slots[steps], starts)
     text = np.repeat(np.arange(len(total)), np.diff(bounds))
     return np.bincount(text, value, len(total)) / np.log(10)
 
 
+def soft_slopes(states: np.ndarray, weights: np.ndarray, goal: np.ndarray, scale: float) -> tuple:
+    """Loss of a softmax and its slopes by state and by weight; states end with a 1. Rows of
+    the table are divided by their sums only after the products."""
+    table, sums, place, share = exponentials(states, weights, goal)
+    table.ravel()[place] -= sums
+    each = (scale / sums)[:, None].astype(states.dtype)
+    return -float(share.sum()), (table @ weights[:-1].T) * each, (states * each).T @ table
+
+
 class Trainer:
     """Adam on the loss of classes and words, by truncated backpropagation through windows.
     The words of a class share one second moment and have no first."""
 
     def __init__(self, weights: Weights, starts: np.ndarray):
         self.starts = starts
-        self.w = {k: v.copy() for k, v in weights.items()}
-        dense = {k: v for k, v in weights.items() if k not in ("words", "share")}
-        self.m = {k: np.zeros_like(v) for k, v in dense.items()}
-        self.v = {k: np.zeros_like(v) for k, v in dense.items()}
-        self.spread = {"words": np.zeros(len(starts)), "share": np.zeros(len(starts))}
-        self.times = np.zeros(len(starts), np.int64)
+        self.w = {k: v.copy() for k, v in weights.items() if k not in ("words", "share")}
+        self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
+        self.v = {k: np.zeros_like(v) for k, v in self.w.items()}
+        # The share is the weight of the 1 at the end of a state.
+        inner = np.concatenate([weights["words"].T, weights["share"][None]])
+        # Rows a power of two apart would share few places of the caches.
+        self.inner = np.pad(inner, ((0, 0), (0, 1040)))[:, : inner.shape[1]]
+        self.w |= {"words": self.inner[:-1].T, "share": self.inner[-1]}
+        self.spread = {"words": [0.0] * len(starts), "share": [0.0] * len(starts)}
+        self.times = [0] * len(starts)
+        self.firsts = starts.tolist()
         self.steps = 0
 
     def run(self, inputs: np.ndarray, target: np.ndarray, slots: np.ndarray, bounds: np.ndarray, width: int = TRAIN_LANES) -> float:
         """One pass; the mean loss of a step."""
         place, begins = spread(inputs, stretches(bounds), width)
-        h = np.zeros((place.shape[1], HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, place.shape[1]), np.float32).T
         loss = 0.0
         for at in range(0, len(place), WINDOW):
             own, new = place[at : at + WINDOW], begins[at : at + WINDOW]
@@ -330,81 +414,86 @@ class Trainer:
             loss += part
         return loss / max(len(inputs), 1)
 
+    @np.errstate(over="ignore", divide="ignore", invalid="ignore")  # see exponentials
     def window(self, inputs, target, slots, own, new, h):
         w, k = self.w, HIDDEN
         symbols = inputs[np.maximum(own, 0)]
-        x = w["table"][symbols]
-        steps = len(own)
+        x = by_feature(w["table"][symbols])
         kept = []
-        states = np.empty((steps, *h.shape), np.float32)
-        for t in range(steps):
-            before = np.where(new[t][:, None], np.float32(0), h)
+        starting = new.any(axis=1).tolist()
+        for t in range(len(own)):
+            before = h * ~new[t][:, None] if starting[t] else h
             h, z, r, n, a = _step(x[t], before, w["state"])
-            states[t] = h
-            kept.append((before, z, r, n, a))
+            kept.append((before.T, z.T, r.T, n.T, a.T, h.T))
+        earlier, z, r, n, a, states = (np.stack(part) for part in zip(*kept))  # (step, feature, lane)
         live = own >= 0
-        logits = states @ w["out"] + w["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        soft = np.exp(logits)
-        soft /= soft.sum(axis=2, keepdims=True)
-        goal = target[np.maximum(own, 0)]
-        hit = np.take_along_axis(soft, goal[..., None], axis=2)[..., 0]
-        loss = float(-np.log(np.maximum(hit[live], 1e-12)).sum())
-        np.put_along_axis(soft, goal[..., None], hit[..., None] - 1, axis=2)
-        scale = 1 / max(int(live.sum()), 1)
-        soft *= (live * scale)[..., None].astype(np.float32)
-        grads = {"out": np.tensordot(states, soft, ((0, 1), (0, 1))), "bias": soft.sum(axis=(0, 1))}
-        down = soft @ w["out"].T
-        lost, inner = self.words(states[live], slots[own[live]], scale)
+        seen, steps = with_one(states.transpose(0, 2, 1)[live]), own[live]
+        scale = 1 / max(len(steps), 1)
+        grads, down, loss = self.classes(seen, target[steps], scale)
+        inner, lost = self.words(seen, slots[steps], scale)
         loss += lost
-        down[live] += inner
-        back = np.zeros_like(h)
-        into = np.zeros_like(x)
-        through = np.zeros_like(x)
-        for t in range(steps - 1, -1, -1):
-            before, z, r, n, a = kept[t]
-            d = down[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            into[t] = np.concatenate([dz, dr, dn], axis=1)
-            through[t] = np.concatenate([dz, dr, dn * r], axis=1)
-            back = (d * z + through[t] @ w["state"].T) * ~new[t][:, None]
-        earlier = np.stack([s[0] for s in kept])
-        grads["state"] = np.tensordot(earlier, through, ((0, 1), (0, 1)))
+        slope = np.zeros((*own.shape, k), seen.dtype)
+        slope[live] = down + inner
+        slope = np.ascontiguousarray(slope.transpose(0, 2, 1))
+        # How a state's slope passes to the gates, and through them to the state before.
+        to_n = (1 - z) * (1 - n * n)
+        to_r = to_n * r
+        passes = np.concatenate([(earlier - n) * z * (1 - z), to_r * a * (1 - r), to_r], axis=1)
+        through = np.empty_like(passes)
+        back = np.zeros_like(slope[0])
+        for t in range(len(own) - 1, -1, -1):
+            slope[t] += back
+            d = slope[t]
+            np.multiply(passes[t].reshape(3, k, -1), d, out=through[t].reshape(3, k, -1))
+            back = w["state"] @ through[t]
+            back += d * z[t]
+            if starting[t]:
+                back *= ~new[t]
+        grads["state"] = (earlier @ through.transpose(0, 2, 1)).sum(axis=0)
+        through[:, 2 * k :] = slope * to_n
         read = symbols[live]
-        order = np.argsort(read, kind="stable")
-        used, first = np.unique(read[order], return_index=True)
-        rows = np.add.reduceat(into[live][order], first, axis=0) if len(used) else np.zeros((0, 3 * k), np.float32)
-        self.update(grads, used, rows)
+        times = np.bincount(read, minlength=len(w["table"]))
+        used = np.flatnonzero(times)
+        times[used] = np.arange(len(used)) * 3 * k
+        cells = times[read][:, None] + np.arange(3 * k)
+        rows = np.bincount(cells.ravel(), through.transpose(0, 2, 1)[live].ravel(), len(used) * 3 * k)
+        self.update(grads, used, rows.reshape(-1, 3 * k).astype(through.dtype))
         return h, loss
 
+    def classes(self, states, target, scale):
+        """Slopes of the class weights, slope by state, and loss of the classes."""
+        out = np.concatenate([self.w["out"], self.w["bias"][None]])
+        slopes, down, loss = np.zeros_like(out), np.empty((len(states), HIDDEN), states.dtype), 0.0
+        for a, b in pieces(0, len(states), out.shape[1]):
+            lost, down[a:b], grad = soft_slopes(states[a:b], out, target[a:b], scale)
+            loss += lost
+            slopes += grad
+        return {"out": slopes[:-1], "bias": slopes[-1]}, down, loss
+
     def words(self, states, slots, scale):
-        """Loss of the words in their classes, and its slope by state; moves their weights."""
-        down, loss = np.zeros_like(states), 0.0
-        for steps, first, end in by_class(slots, self.starts):
-            own = states[steps]
-            soft = own @ self.w["words"][first:end].T
-            soft += self.w["share"][first:end]
-            soft -= soft.max(axis=1, keepdims=True)
-            np.exp(soft, out=soft)
-            soft /= soft.sum(axis=1, keepdims=True)
-            at = np.arange(len(steps)), slots[steps] - first
-            hit = soft[at]
-            loss -= float(np.log(np.maximum(hit, 1e-12)).sum())
-            soft[at] = hit - 1
-            soft *= np.float32(scale)
-            down[steps] = soft @ self.w["words"][first:end]
-            self.update_words(first, end, {"words": soft.T @ own, "share": soft.sum(axis=0)})
-        return loss, down
+        """Slope by state of the words in their classes, and their loss; moves their weights."""
+        order, classes = by_class(slots, self.starts)
+        down = np.zeros((len(slots), HIDDEN), states.dtype)
+        states, slots = states[order], slots[order]
+        found, loss = np.empty((len(order), HIDDEN), states.dtype), 0.0
+        for low, high, first, end in classes:
+            words, slopes = self.inner[:, first:end], 0
+            for a, b in pieces(low, high, end - first):
+                lost, found[a:b], grad = soft_slopes(states[a:b], words, slots[a:b] - first, scale)
+                loss += lost
+                slopes = slopes + grad if a > low else grad
+            self.update_words(first, end, {"words": slopes[:-1].T, "share": slopes[-1]})
+        down[order] = found
+        return down, loss
 
     def update_words(self, first, end, grads):
-        c = int(np.searchsorted(self.starts, first))
+        c = bisect.bisect_left(self.firsts, first)
         self.times[c] += 1
         for name, g in grads.items():
             # The largest slope of a row, not the mean: most words of a class are absent.
-            self.spread[name][c] += 0.01 * (float(np.square(g).max()) - self.spread[name][c])
-            size = np.sqrt(self.spread[name][c] / (1 - 0.99 ** self.times[c])) + 1e-12
+            largest = max(float(g.max()), -float(g.min()))
+            self.spread[name][c] += 0.01 * (largest * largest - self.spread[name][c])
+            size = math.sqrt(self.spread[name][c] / (1 - 0.99 ** self.times[c])) + 1e-12
             self.w[name][first:end] -= np.float32(RATE / size) * g
 
     def update(self, grads, used, rows):
@@ -415,10 +504,11 @@ class Trainer:
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             self.w[name] -= rate * m / (np.sqrt(v) + 1e-8)
-        m, v = self.m["table"], self.v["table"]  # only rows that were read
-        m[used] += 0.1 * (rows - m[used])
-        v[used] += 0.001 * (rows * rows - v[used])
-        self.w["table"][used] -= rate * m[used] / (np.sqrt(v[used]) + 1e-8)
+        m, v = self.m["table"][used], self.v["table"][used]  # only rows that were read
+        m += 0.1 * (rows - m)
+        v += 0.001 * (rows * rows - v)
+        self.m["table"][used], self.v["table"][used] = m, v
+        self.w["table"][used] -= rate * m / (np.sqrt(v) + 1e-8)
 
 
 def flat(weights: Weights) -> np.ndarray:

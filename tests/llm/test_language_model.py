@@ -151,3 +151,51 @@ def test_words_are_found():
     toks = lm.tokens(part, voc)
     assert toks.owner.tolist() == [0, 0, 0, 2, 2] and set(toks.place) == {-1}
     assert sorted(zip(toks.rest[0].tolist(), toks.rest[2].tolist())) == [(0, 1), (0, 2), (2, 1), (2, 1)]
+
+
+def test_words_with_equal_leading_bits_are_found():
+    voc = vocabulary()
+    asked = np.array([9, 10, 13, 17, 18, 1 << 63, 13], np.uint64)
+    assert voc.place(asked).tolist() == [-1, 0, 3, 7, -1, -1, 3]
+
+
+def test_classes_go_to_the_groups_that_need_them():
+    """The classes of a large group are no larger than those of a small one."""
+    groups = np.repeat([0, 1, 2, 3], [4000, 20, 20, 20])
+    voc = lm.Vocabulary(np.arange(4060, dtype=np.uint64), np.full(4060, 5), 30000, 4061, 20)
+    voc.arrange(groups)
+    assert np.diff(voc.starts).max() < 80 and len(voc.starts) - 1 <= 4 * lm.BINS + 4
+
+
+@pytest.mark.parametrize("size", [1, 200])
+def test_softmax_of_any_size(size):
+    """Also where exponentials leave single precision."""
+    rng = np.random.default_rng(4)
+    states, goal = rng.uniform(-1, 1, (30, 17)).astype(np.float32), rng.integers(0, 50, 30)
+    weights = (size * rng.normal(0, 1, (17, 50))).astype(np.float32)
+    with np.errstate(over="ignore"):
+        loss, down, slopes = lm.soft_slopes(states, weights, goal, 0.5)
+    logits = states.astype(float) @ weights.astype(float)
+    logits -= logits.max(axis=1, keepdims=True)
+    share = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    hit = logits[np.arange(30), goal] - np.log(np.exp(logits).sum(axis=1))
+    share[np.arange(30), goal] -= 1
+    assert loss == pytest.approx(-hit.sum(), rel=1e-4)
+    assert down == pytest.approx(0.5 * share @ weights[:-1].T, abs=1e-4 * size)
+    assert slopes == pytest.approx(0.5 * states.T @ share, abs=1e-4)
+
+
+def test_weights_do_not_depend_on_pieces(monkeypatch):
+    """A class whose steps are worked on in several pieces is moved once a window."""
+    voc = vocabulary()
+    voc.arrange(np.zeros(8, np.int64))
+    voc.classes[:], voc.starts, voc.slot = 0, np.array([0, 8]), np.arange(8)
+    voc.priors = np.log(np.array([0.8, 0.1, 0.1]))
+    toks = lm.Tokens(np.repeat([0, 1], [60, 90]), np.random.default_rng(5).integers(-1, 8, 150), None, 2)
+    found = []
+    for cells in (1 << 15, 24):
+        monkeypatch.setattr(lm, "CELLS", cells)
+        trainer = lm.Trainer(lm.start_weights(voc), voc.starts)
+        trainer.run(*lm.sequences(toks, voc))
+        found.append(lm.flat(trainer.w))
+    assert found[0] == pytest.approx(found[1], abs=1e-3)
