@@ -40,3 +40,19 @@ def test_shuffle_partitions_grow_with_the_files(spark, tmp_path):
     finally:
         for key, value in zip(keys, before):
             spark.conf.set(key, value) if value else spark.conf.unset(key)
+
+
+def test_scans_are_cut_where_tables_are_large(spark, tmp_path):
+    """Stored rows are grouped as they are scanned, so a task's memory follows its files."""
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    keys += ["spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"]
+    before = [spark.conf.get(k, None) for k in keys]
+    table = str(tmp_path / "t")
+    spark.range(0, 4_000_000, 1, 8).selectExpr("xxhash64(id) AS k").write.parquet(table)  # 32 MB
+    try:
+        spark.conf.set(keys[3], "1")
+        partitions_by_input(spark, table)
+        assert spark.read.parquet(table).rdd.getNumPartitions() >= 4
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
